@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from saltmarsh.llm.common import slices, text_of
+from saltmarsh.llm.common import slices
 
 #: Unicode white space, as the tokenizer's \s reads it.
 BLANKS = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -178,11 +178,6 @@ def _encoder(sent: Broadcast) -> Encoder:
     return _encoders[key]
 
 
-def _add(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
-    names = {f.name for f in fields}
-    return T.StructType([f for f in df.schema.fields if f.name not in names] + fields)
-
-
 def _ids(parts: list[bytes]) -> pa.Array:
     ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
@@ -193,39 +188,35 @@ def encode(df: DataFrame, tokenizer: str, *, text: str = "text", ids: str = "ids
 
     A column that has one of the new names already is replaced.
     """
-    sent = load(df.sparkSession, tokenizer)
+    sent, df = load(df.sparkSession, tokenizer), df.drop(*[c for c in (ids, decoded) if c and c != text])
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     fields += [T.StructField(decoded, T.StringType(), False)] if decoded else []
-    schema = _add(df, fields)
-    kept = [f.name for f in schema.fields[: len(schema.fields) - len(fields)]]
-    source = "__bpe_text"
+    schema, at = T.StructType(df.schema.fields + fields), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent)
         name = encoder.vocabulary.names.__getitem__
         for whole in batches:
             for batch in slices(whole):
-                parts = [encoder.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                parts = [encoder.encode(t or "") for t in batch.column(at).to_pylist()]
                 new = [_ids(parts)]
                 if decoded:
                     new.append(pa.array([" ".join(map(name, np.frombuffer(p, dtype=np.int32).tolist())) for p in parts], pa.string()))
-                columns = [batch.column(k) for k in range(len(kept))]
-                yield pa.RecordBatch.from_arrays(columns + new, names=[*kept, *[f.name for f in fields]])
+                yield pa.RecordBatch.from_arrays(batch.columns + new, names=schema.names)
 
-    return df.select(*[df[f"`{c}`"] for c in kept], text_of(text).alias(source)).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, tokenizer: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the text that the ids stand for: the names of the symbols joined by blanks. Null ids decode to the empty string; an unknown id is an error."""
-    sent = load(df.sparkSession, tokenizer)
-    schema = _add(df, [T.StructField(decoded, T.StringType(), False)])
-    kept = [f.name for f in schema.fields[:-1]]
+    sent, df = load(df.sparkSession, tokenizer), df.drop(decoded) if decoded != ids else df
+    schema, at = T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType(), False)]), df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = _encoder(sent).vocabulary.names.__getitem__
         for whole in batches:
             for batch in slices(whole):
-                texts = [" ".join(map(name, x or [])) for x in batch.column(kept.index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(kept))], pa.array(texts, pa.string())], names=[*kept, decoded])
+                texts = [" ".join(map(name, x or [])) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.select(*[df[f"`{c}`"] for c in kept]).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -60,3 +60,8 @@ def slices(batch, rows: int = 256):
     """An Arrow batch in short pieces, so that what a piece makes stays small."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+
+
+def contents(column) -> list[bytes]:
+    """The UTF-8 bytes of an Arrow column of texts; null is empty."""
+    return [t or b"" for t in column.cast("binary").to_pylist()]

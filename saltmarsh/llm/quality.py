@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saltmarsh.llm.common import slices, text_of
+from saltmarsh.llm.common import contents, slices, text_of
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 16, 16, 2, 4
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of their id.
@@ -152,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, *, doc_id
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
     """Adds the probability of label 1 (a column of that name is replaced)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    kept = [f for f in docs.schema.fields if f.name != into]
-    schema = T.StructType([*kept, T.StructField(into, T.DoubleType(), False)])
+    docs = docs.drop(into) if into != text else docs
+    schema, at = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType(), False)]), docs.columns.index(text)
     again = zlib.crc32(REPEATED) % BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sco
         for whole in batches:
             for batch in slices(whole):
                 out = []
-                for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
+                for t in contents(batch.column(at)):
                     total = n = 0.0
                     before = None
                     words = t.split()
@@ -187,6 +187,6 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sco
                         n += sizes[ids].sum() + REPEAT_WEIGHT * same
                     z = bias + (total / n if n else 0.0)
                     out.append(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(kept))], pa.array(out, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=schema.names)
 
-    return docs.select(*[docs[f"`{f.name}`"] for f in kept], text_of(text).alias("__quality_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

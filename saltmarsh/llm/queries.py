@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import bpe, exactdedup, quality
-from saltmarsh.llm.common import id_crc, table
+from saltmarsh.llm import bpe, exactdedup, mixing, neardup, quality, urlfilter
+from saltmarsh.llm.common import count_words, id_crc, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,5 +43,85 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_quality": op4_quality, "op5_exact_dedup": op5_exact_dedup, "op7_bpe": op7_bpe}
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    rows = mixing.assigned(sized, size="size")
+    rows = rows.select("doc_id", *[F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")], F.col("mix.copies")[0]["position"].alias("position"))
+    return rows.orderBy("position", "doc_id")
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS k
+  FROM documents),
+totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, (r - 1) % 3 + 1 AS w, [-0.5::DOUBLE, 0, 0.5][((r - 1) % 3 + 1)::INT] AS slope, 3 * source_size AS cap FROM totals),
+filled AS (
+  SELECT *, (sum(source_size) OVER ())::BIGINT - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rest,
+         (sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS shared
+  FROM weighed),
+level AS (
+  SELECT max(rest) AS rest, max(shared) AS shared FROM filled WHERE cap * shared > w * rest),
+goals AS (
+  SELECT source, source_size, slope, CASE WHEN cap * f.shared <= w * f.rest THEN cap::DOUBLE ELSE (w * l.rest)::DOUBLE / l.shared END AS target
+  FROM filled f, level l),
+placed AS (
+  SELECT doc_id, size, source_size, target, slope, floor(target + 0.5)::BIGINT AS goal,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, goal - begins)) + greatest(0, least(size, goal - begins - source_size)) + greatest(0, least(size, goal - begins - 2 * source_size)))::BIGINT AS taken,
+  round(CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END, 6) AS position
+FROM (SELECT *, CASE WHEN target > 0 THEN least(1.0, begins / target) ELSE 0.0 END AS u FROM placed)
+"""
+
+
+def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+#: Longest fit wins: what is blocked, and what is allowed all the same.
+URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the canonical URLs of the pages whose id is divisible by 50."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judged(pages, pages.where("page_id % 50 = 0"), URL_RULES).drop("url")
+
+
+OP9_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&+', '') AS query
+  FROM cut),
+named AS (
+  SELECT *, host || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canon,
+    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN canon <> '' AND canon IN (SELECT canon FROM named WHERE page_id % 50 = 0) THEN 'block' ELSE 'allow' END AS verdict
+FROM named
+"""
+
+
+QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_bpe": op7_bpe,
+    "op8_simhash_neardup": op8_simhash_neardup,
+    "op9_url_filter": op9_url_filter,
+}
+ORACLES = {"op3_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
