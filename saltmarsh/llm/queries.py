@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import bpe, exactdedup, mixing, neardup, quality, urlfilter
+from saltmarsh.llm import bpe, exactdedup, fingerprints, mixing, neardup, quality, urlfilter
 from saltmarsh.llm.common import count_words, id_crc, table
 
 
@@ -116,6 +116,10 @@ FROM named
 """
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
@@ -123,5 +127,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_url_filter": op9_url_filter,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {"op3_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
