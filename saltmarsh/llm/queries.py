@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import bpe, exactdedup, fingerprints, mixing, neardup, quality, urlfilter
+from saltmarsh.llm import bpe, exactdedup, fingerprints, mixing, neardup, quality, secrets, urlfilter
 from saltmarsh.llm.common import count_words, id_crc, table
 
 
@@ -116,6 +116,16 @@ FROM named
 """
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scanned(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    return rows.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edits(table(spark, sf_dir, "documents"))
 
@@ -124,6 +134,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_url_filter": op9_url_filter,
