@@ -1 +1 @@
-
+"""Relational operators over messages."""
