@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.config import COSTS
@@ -26,8 +27,8 @@ def by_group(rows: DataFrame, group: str, expected: Column, actioned: Column) ->
 def shares(rows: DataFrame, column: str) -> DataFrame:
     """Rows and their share by a column's value."""
     counted = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))
-    return counted.join(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("total")).alias("share"))  # total is one row
+    every = F.sum("n").over(W.partitionBy())  # of one row for each value
+    return counted.withColumn("share", F.col("n") / every)
 
 
 def percentiles(rows: DataFrame, column: str) -> DataFrame:
