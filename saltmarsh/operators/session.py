@@ -31,7 +31,7 @@ BLOCK = 400
 
 
 def millis(ts: str = "ts") -> Column:
-    return F.unix_millis(F.col(ts))
+    return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
 def decayed_sum(df: DataFrame, key: str, amount: Column, half_life_ms: int, into: str, *, ts: str = "ts", order: str = "message_id") -> DataFrame:

@@ -61,7 +61,7 @@ def train(texts: DataFrame, text: str = "text") -> TrigramModel:
     log_probs, unseen = smoothed(counts(texts, text))
     found = texts.select(F.explode(tokens(clean(F.coalesce(F.col(text), F.lit(""))))).alias("token")).groupBy("token").count()
     scores = token_scores(found, log_probs, unseen).join(found, "token")
-    threshold = scores.agg(F.percentile("score", F.lit(PERCENTILE), "count")).first()[0]
+    threshold = scores.agg(F.percentile("score", F.lit(PERCENTILE), F.col("count"))).first()[0]
     return TrigramModel(log_probs, unseen, round(threshold or 0.0, 3))
 
 
