@@ -1,4 +1,393 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, by operator. Each takes (spark, folder) and returns flat rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from saltmarsh.functions import detectors, digitruns, normalize, policy, score
+from saltmarsh.functions.spans import alternation, located
+from saltmarsh.lexicons import HOSTILITY_MILD, HOSTILITY_SEV1, HOSTILITY_SEV2, INTENT_CHANNEL
+from saltmarsh.operators import adjudicate, classifier, evaluate, moderate, session, stateful, weirdness
+from saltmarsh.sources import messages
 
 QUERIES = {}
-FLAGSHIP = None
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def synth(spark: SparkSession, folder: str) -> DataFrame:
+    return messages.synthetic(table(spark, folder, "orders"))
+
+
+def rounded(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# --- the cascade over synthesised messages
+
+
+@query
+def moderate_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages by stage, role, band, verdict and tier, with the sum of their scores."""
+    done = moderate.moderated(synth(spark, folder))
+    keys = ["booking_stage", "sender_role", "band", "verdict", "resolved_by"]
+    return done.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
+
+
+FLAGSHIP = moderate_report
+
+
+@query
+def moderate_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each message's score and verdict."""
+    done = moderate.moderated(synth(spark, folder))
+    return done.select("message_id", rounded("score").alias("score"), "band", "verdict", F.size("detections").cast("long").alias("n_detections"), rounded("confidence").alias("confidence"))
+
+
+@query
+def policy_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """What is delivered, with masking preferred."""
+    done = policy.with_policy(moderate.moderated(synth(spark, folder)), prefer_masking=True)
+    return done.select("message_id", "action", "reason", "delivered_text", "cooldown")
+
+
+@query
+def stateful_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The cascade with conversations' state."""
+    done = stateful.moderated(synth(spark, folder))
+    return done.select("message_id", rounded("score", 4).alias("score"), "verdict", "merged", rounded("digit_pressure", 4).alias("digit_pressure"), F.col("strikes").cast("long").alias("strikes"), F.col("recent_blocks").cast("long").alias("recent_blocks"))
+
+
+@query
+def moderate_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts over the conversations' turns."""
+    done = moderate.moderated(messages.from_conversations(table(spark, folder, "conversations")))
+    return done.groupBy("sender_role", "verdict", "resolved_by").agg(F.count("*").alias("n"))
+
+
+# --- sources
+
+
+@query
+def io2_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests made of conversations, some broken on purpose, by the reason that they are rejected for."""
+    t = table(spark, folder, "conversations")
+    rows = t.select(
+        F.when(F.col("conv_id") % 7 == 0, " ").otherwise(F.col("conv_id").cast("string")).alias("message_id"), F.lit("c").alias("conversation_id"),
+        F.col("role").alias("sender_role"), F.when(F.col("turn") % 5 == 4, "later").otherwise("pre_booking").alias("booking_stage"), "text", F.lit(None).cast("string").alias("mode"),
+    )
+    rows = rows.withColumn("sender_role", F.when(F.col("sender_role") == "user", "guest").otherwise(F.col("sender_role")))
+    return rows.select(F.coalesce(messages.reject_reason(), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def io4_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, shares and percentiles by type of event."""
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    g = table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"), p.alias("p"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy())
+    return g.select("event_type", "n", rounded(share).alias("share"), *[rounded(F.col("p")[k]).alias(f"p{q}") for k, q in enumerate((50, 95, 99))])
+
+
+@query
+def synth_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return synth(spark, folder).select("message_id", "conversation_id", "sender_role", "booking_stage", "text")
+
+
+# --- normalization
+
+
+@query
+def n3_n6_folded(spark: SparkSession, folder: str) -> DataFrame:
+    """Folding of the documents, as lengths and counters."""
+    d = table(spark, folder, "documents")
+    f = normalize.folded(F.col("text"))
+    return d.select("doc_id", F.length(f).cast("long").alias("n"), F.md5(f.cast("binary")).alias("digest"), normalize.confusables(F.col("text")).cast("long").alias("confusables"))
+
+
+@query
+def n2_invisible(spark: SparkSession, folder: str) -> DataFrame:
+    """Invisible characters, planted by id, counted and taken out."""
+    mark = F.when(F.col("doc_id") % 3 == 0, "​").when(F.col("doc_id") % 3 == 1, "⁦").otherwise("")
+    t = F.concat(F.substring("text", 1, 20), mark, F.substring("text", 21, 40))
+    d = table(spark, folder, "documents").select("doc_id", t.alias("t"))
+    v = normalize.visible(F.col("t"))
+    return d.select("doc_id", v.alias("visible"), (F.length("t") - F.length(v)).cast("long").alias("n"))
+
+
+@query
+def n7_n8_deleet(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "conversations")
+    f = F.lower("text")
+    return c.select("conv_id", "turn", normalize.deleet(f).alias("deleet"), normalize.leet_count(f).cast("long").alias("leet"))
+
+
+@query
+def n9_n10_denoised(spark: SparkSession, folder: str) -> DataFrame:
+    """Noise digits, planted by id into customers' names."""
+    o = table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("ab"), F.col("o_custkey").cast("string"), F.lit("cd "), F.col("o_orderkey").cast("string"), F.lit("x7y8z")).alias("t"))
+    d = normalize.denoised(F.col("t"))
+    return o.select("o_orderkey", d.alias("denoised"), (F.length("t") - F.length(d)).cast("long").alias("noise"))
+
+
+@query
+def n12_n18_digit_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of a number that is spelled by a rule: a numeral, a word and a repeated numeral."""
+    words = F.element_at(F.array(*[F.lit(w) for w in ("zero", "three", "five", "six", "seven", "nine")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    t = F.concat(F.lit("ref "), (F.col("o_orderkey") % 100).cast("string"), F.lit(" "), words, F.lit(" double "), (F.col("o_custkey") % 10).cast("string"), F.lit(" ok"))
+    rows = table(spark, folder, "orders").select("o_orderkey", digitruns.runs(t).alias("r"), t.alias("t"))
+    first = F.col("r")[0]
+    return rows.select(
+        "o_orderkey", F.size("r").cast("long").alias("n"), first["digits"].alias("digits"), first["start"].cast("long").alias("start"), first["end"].cast("long").alias("end"),
+        first["word_n"].cast("long").alias("word_n"), first["num_n"].cast("long").alias("num_n"), first["mixed"].alias("mixed"), digitruns.digitized(F.col("t"), F.col("r")).alias("digitized"),
+    )
+
+
+# --- trigram model
+
+
+@query
+def w7_w8_trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Trigram counts of the documents and their smoothed log-probabilities."""
+    counts = weirdness.counts(table(spark, folder, "documents"))
+    log_probs, _ = weirdness.smoothed(counts)
+    return counts.join(log_probs, "trigram").select("trigram", "n", rounded("logp").alias("logp"))
+
+
+@query
+def w1_w5_weird_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the conversations' tokens under the documents' model, and the number over the threshold."""
+    model = weirdness.train(table(spark, folder, "documents"))
+    c = table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("folded")).dropDuplicates(["id"])
+    done = weirdness.with_weirdness(c, model, "id")
+    return done.select("id", rounded("weird_score").alias("weird_score"), F.col("weird_tokens").cast("long").alias("weird_tokens"))
+
+
+# --- detectors
+
+
+@query
+def d8_emails(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain addresses in the documents."""
+    d = table(spark, folder, "documents").select("doc_id", located(F.lower("text"), detectors.EMAIL).alias("hits"))
+    return d.select("doc_id", F.size("hits").cast("long").alias("n"), F.array_join(F.transform("hits", lambda h: h["match"]), ",").alias("found")).where("n > 0")
+
+
+@query
+def d10_url_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts of the pages by class."""
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
+    kind, sure = detectors._classified(host)
+    p = table(spark, folder, "pages").select(F.element_at(F.array(kind), 1).alias("kind"), sure.alias("sure"))
+    return p.groupBy("kind").agg(F.count("*").alias("n"), rounded(F.max("sure")).alias("confidence"))
+
+
+@query
+def d14_d19_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Handles and payment addresses in the synthesised messages."""
+    s = synth(spark, folder).select("message_id", F.col("text").alias("folded"))
+    upi = detectors.upis(F.col("folded"))
+    s = s.select("message_id", upi.alias("u"))
+    return s.select("message_id", F.size("u").cast("long").alias("n"), F.try_element_at("u", F.lit(1))["evidence"].alias("evidence"), F.try_element_at("u", F.lit(1))["start"].cast("long").alias("start"))
+
+
+@query
+def d22_d25_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """How often single words of the lexicons stand in the documents."""
+    single = [t for t in dict.fromkeys([*INTENT_CHANNEL, *HOSTILITY_MILD, *HOSTILITY_SEV1, *HOSTILITY_SEV2]) if t.isalpha()]
+    d = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(alternation(single)), F.lit(0))).alias("term"))
+    return d.groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query
+def d30_keep_longest(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of a user as intervals, without those inside another."""
+    e = table(spark, folder, "events").select("user_id", "event_id", (F.col("event_id") % 97).alias("a"), (F.col("event_id") % 97 + F.col("event_id") % 11 + 1).alias("b"))
+    w = W.partitionBy("user_id").orderBy("a", F.desc("b"), "event_id").rowsBetween(W.unboundedPreceding, -1)
+    kept = e.withColumn("reach", F.max("b").over(w)).where("reach IS NULL OR reach < b")
+    return kept.select("user_id", "event_id", "a", "b")
+
+
+# --- scores
+
+
+@query
+def r11_saturation(spark: SparkSession, folder: str) -> DataFrame:
+    """Contribution of digit pressure, and the band that a price stands for."""
+    p = F.col("l_quantity")
+    value = 0.35 * score.PRESSURE_CAP * (1 - F.exp(-p / score.PRESSURE_SCALE))
+    band = F.when(p < 3, "allow").when(p > 8, "block").otherwise("escalate")
+    return table(spark, folder, "lineitem").groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("value"))
+
+
+# --- sessions
+
+
+@query
+def s1_s2_pressure(spark: SparkSession, folder: str) -> DataFrame:
+    """Decayed sums of earlier events of a user, an event counting its value."""
+    e = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
+    done = session.decayed_sum(e, "user_id", F.abs("value"), 3_600_000, "pressure", order="event_id")
+    return done.select("event_id", F.round("pressure", 4).alias("pressure"))
+
+
+@query
+def s4_s5_last_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same sender's texts among the last five, at most three, and the current one."""
+    c = messages.from_conversations(table(spark, folder, "conversations")).withColumns({"runs": F.array().cast(digitruns.RUN), "detections": F.array().cast(detectors.DETECTION)})
+    c = c.dropDuplicates(["message_id"])
+    return session.with_session(c).select("message_id", F.col("rescan_text"))
+
+
+@query
+def s13_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """Earlier purchases of a user within ten minutes, as blocks."""
+    e = table(spark, folder, "events").select("event_id", F.col("user_id").alias("conversation_id"), F.lit("guest").alias("sender_role"), "ts", F.col("event_id").alias("message_id"), "event_type")
+    done = session.strikes(e, F.col("event_type") == "purchase")
+    return done.select("event_id", F.col("strikes").cast("long").alias("strikes"), F.col("recent_blocks").cast("long").alias("recent_blocks"), (F.col("recent_blocks") >= 3).alias("cooldown"))
+
+
+# --- classifier
+
+
+@query
+def c2_fnv1a(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashes of the customers' market segments and nations' names."""
+    n = table(spark, folder, "nation").select(F.col("n_name").alias("word"))
+    return n.select("word", classifier.fnv1a(F.col("word")).alias("hash"), (classifier.fnv1a(F.col("word")) % classifier.HASHED).alias("cell"))
+
+
+@query
+def c3_hashed_trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """The hashed trigrams of the benchmark's texts, of unit length."""
+    b = table(spark, folder, "benchmark").select("item_id", "text")
+    cells = classifier.hashed_trigrams(b, "item_id")
+    return cells.groupBy("item_id").agg(F.count("*").alias("cells"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query
+def c1_dense_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of the named features over the synthesised messages."""
+    done = score.with_score(moderate.analysed(synth(spark, folder)))
+    named = done.select(F.posexplode(classifier.dense(done)).alias("idx", "value"))
+    return named.groupBy("idx").agg(F.round(F.sum("value"), 4).alias("total"))
+
+
+@query
+def c5_c6_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Sigmoid and decision over the events' values as logits."""
+    p = score.sigmoid(F.col("value") / 100 - 1)
+    e = table(spark, folder, "events").select("event_id", p.alias("p"))
+    return e.select("event_id", rounded("p").alias("p"), score.decided(F.round("p", 9)).alias("decision"))
+
+
+# --- adjudication
+
+
+@query
+def l1_cache_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct keys of the conversations' texts, and the rows that share each."""
+    c = table(spark, folder, "conversations").select(adjudicate.cache_key(F.lower("text")).alias("cache_key"))
+    return c.groupBy("cache_key").agg(F.count("*").alias("n"))
+
+
+@query
+def l2_evicted(spark: SparkSession, folder: str) -> DataFrame:
+    """The cache's hundred entries that were used last; the size is the feature."""
+    e = table(spark, folder, "events").select(F.col("event_id").cast("string").alias("key"), F.col("ts").alias("used"))
+    return adjudicate.evicted(e, F.lit("2100-01-01").cast("timestamp"), ttl_seconds=1 << 40, most=100).select("key")
+
+
+@query
+def l4_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies as a model might word them, by event."""
+    reply = F.concat(
+        F.lit('sure: {"contact": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise('"true"'), F.lit(', "contact_type": "'), F.when(F.col("event_id") % 3 == 0, "phone").otherwise("pigeon"),
+        F.lit('", "safety": false, "confidence": '), F.when(F.col("event_id") % 5 == 0, "7").otherwise("0.25"), F.lit("} ok"),
+    )
+    v = table(spark, folder, "events").select("event_id", adjudicate.parsed(reply).alias("v"))
+    return v.select("event_id", "v.contact", "v.contact_type", "v.safety", "v.confidence")
+
+
+@query
+def l6_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """Cost of adjudicating each month's orders, by their keys as tokens."""
+    o = table(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    g = o.agg(F.sum(F.col("o_orderkey") % 400).alias("tokens_in"), F.sum(F.col("o_orderkey") % 70).alias("tokens_out"))
+    return g.select("month", "tokens_in", "tokens_out", F.round(adjudicate.cost(F.col("tokens_in"), F.col("tokens_out")), 8).alias("dollars"))
+
+
+# --- reports
+
+
+@query
+def e1_confusion(spark: SparkSession, folder: str) -> DataFrame:
+    """How well a rule of single insults finds toxic documents."""
+    d, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    hit = F.lower("text").rlike(alternation([t for t in [*HOSTILITY_SEV1, *HOSTILITY_SEV2] if t.isalpha()]))
+    rows = d.select("doc_id", hit.alias("hit")).join(labels, "doc_id")
+    c = evaluate.confusion(rows, F.col("toxic") == 1, F.col("hit"))
+    return c.select("tp", "fp", "fn", "tn", *[rounded(x).alias(x) for x in ("precision", "recall", "f1", "friction")])
+
+
+@query
+def e2_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rule's rate by language and label."""
+    d, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    hit = F.lower("text").rlike(alternation([t for t in [*HOSTILITY_SEV1, *HOSTILITY_SEV2] if t.isalpha()]))
+    rows = d.select("doc_id", "lang", hit.alias("hit")).join(labels, "doc_id")
+    g = evaluate.by_group(rows, "lang", F.col("toxic") == 1, F.col("hit"))
+    return g.select("grp", "expected", "n", "actioned", rounded("rate").alias("rate"))
+
+
+@query
+def e3_shares(spark: SparkSession, folder: str) -> DataFrame:
+    g = evaluate.shares(table(spark, folder, "documents"), "source")
+    return g.select("value", "n", rounded("share").alias("share"))
+
+
+@query
+def e4_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """Cost of a hundred thousand messages for each share of events."""
+    g = evaluate.shares(table(spark, folder, "events"), "event_type")
+    return g.select("value", F.round(evaluate.cost_per_100k(F.col("share")), 6).alias("dollars"))
+
+
+@query
+def e5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    p = evaluate.percentiles(table(spark, folder, "lineitem"), "l_extendedprice")
+    return p.select(*[rounded(c, 4).alias(c) for c in ("p50", "p95", "p99", "max")])
+
+
+@query
+def e7_mined(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases that two conversations' turns or more share."""
+    c = table(spark, folder, "conversations").select(F.lower(F.coalesce("text", F.lit(""))).alias("folded"))
+    return evaluate.mined(c, top=None)
+
+
+@query
+def e8_self_play(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct synthesised texts, and those that the stateless cascade acts on."""
+    done = moderate.moderated(synth(spark, folder))
+    rate, _ = evaluate.self_play(done.select("text", "verdict"), F.col("verdict") != "allow")
+    return rate
+
+
+@query
+def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments masked at places given by their keys."""
+    o = table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" is here and on its way")).alias("t"))
+    span = lambda a, b: F.struct(F.lit("contact.phone").alias("type"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    k = F.col("o_orderkey") % 5
+    spans = policy.maskable(F.col("t"), F.array(span(k, k + 2), span(k + 4, k + 4 + F.col("o_orderkey") % 3 + 1)))
+    return o.select("o_orderkey", policy.masked(F.col("t"), spans).alias("masked"))
