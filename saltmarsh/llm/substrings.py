@@ -34,25 +34,34 @@ from saltmarsh.llm.common import contents, shuffle_partitions, slices, text_of
 
 WINDOW, GRAM = 13, 3
 #: Groups for each shuffle partition; bytes of runs that a task packs at a time.
-GROUPS, PACKED_BYTES = 3, 24 << 20
+GROUPS, PACKED_BYTES = 3, 40 << 20
 #: Suffixes that one subtree is built of.
 MOST_WINDOWS = 1_000_000
-REMEMBERED = 300_000
 NULL_ID = (1 << 63) - 1
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 TAG = 0xFFFFFFFF
 
 
-class Hashes(dict):
-    """Hashes of words, remembered."""
+POWERS = np.cumprod(np.full(64, ODD[0], np.uint64), dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = h
-        return h
+
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte of each word, the one after the last, and the word's hash."""
+    global POWERS
+    b = np.frombuffer(text, np.uint8)
+    inside = (b > 32) | (b < 9) | ((b > 13) & (b < 32))
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    length = ends - starts
+    if (longest := int(length.max())) > len(POWERS):
+        POWERS = np.cumprod(np.full(2 * longest, ODD[0], np.uint64), dtype=np.uint64)
+    first = np.cumsum(length) - length
+    place = np.arange(int(first[-1] + length[-1]), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
+    h = np.add.reduceat((b[inside] + np.uint64(1)) * POWERS[place], first)
+    h = (h ^ (h >> np.uint64(31))) * ODD[1]
+    return starts, ends, h ^ (h >> np.uint64(29))
 
 
 def runs(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +92,7 @@ class Packer:
         self.size += len(text) + 40
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for group, texts in self.texts.items():
             head = np.array(self.heads[group], np.int64).reshape(-1, 4)
             head[1:, 0] -= head[:-1, 0].copy()
@@ -92,13 +101,13 @@ class Packer:
         self.__init__()
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """ids, tags, first words and numbers of words of the runs, and all words."""
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """ids, tags, first words and numbers of words of the runs, and their text."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:8], "little")
     ids = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
     rest = [np.frombuffer(raw, np.uint32, n, 8 + 8 * n + 4 * n * k).astype(np.int64) for k in range(3)]
-    return ids, *rest, raw[8 + 20 * n :].split()
+    return ids, *rest, raw[8 + 20 * n :]
 
 
 def deep_nodes(suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +123,12 @@ def deep_nodes(suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, np.concatenate(([0], np.flatnonzero(common < depth) + 1))
 
 
-def _mixed(columns: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        h = (h ^ c.astype(np.uint64)) * ODD[0]
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each place of the `size` words from there on; the last places have none."""
+    n = len(hashes) - size + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = (h ^ hashes[k : k + n]) * ODD[0]
         h ^= h >> np.uint64(29)
     return h
 
@@ -131,40 +142,49 @@ def repeats(blobs: list[bytes], window: int, most: int) -> Iterator[tuple[np.nda
     parts = -(-total // most)
     prefix = min(window, 1 << max(0, parts - 1).bit_length())  # words by which parts are told apart
     for part in range(parts):
-        numbers: dict[bytes, int] = {}
-        rows, where = [], []
+        # leaves first: suffixes whose window's hash is alone
+        found = []
         for blob in blobs:
-            ids, tags, first, n, words = unpacked(blob)
-            number = numbers.setdefault
-            codes = np.array([number(w, len(numbers)) for w in words] if parts == 1 else [hash_of(w) for w in words], np.int64)
-            starts = n - window + 1
-            run = np.repeat(np.arange(len(n)), starts)
-            offset = np.arange(len(run)) - np.repeat(np.cumsum(starts) - starts, starts)
-            at = np.repeat(np.cumsum(n) - n, starts) + offset
+            *_, n, text = unpacked(blob)
+            starts, ends, h = hashed(text)
+            at = _suffixes(n, window)[1]
             if parts > 1:
-                mine = _mixed([codes[at + k] for k in range(prefix)]) % np.uint64(parts) == part
-                run, offset, at = run[mine], offset[mine], at[mine]
-            rows.append(np.lib.stride_tricks.sliding_window_view(codes, window)[at] if len(at) else np.zeros((0, window), np.int64))
-            where.append(np.stack([ids[run], tags[run], first[run] + offset]))
-        suffixes, place = np.concatenate(rows), np.concatenate(where, axis=1)
-        yield from _found(suffixes, place, window)
-
-
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
+                at = at[windows(h, prefix)[at] % np.uint64(parts) == part]
+            # a group in parts is large: its words are found again for the few that need them
+            found.append((at, windows(h, window)[at], (starts.astype(np.int32), ends.astype(np.int32)) if parts == 1 else None))
+        h = np.sort(np.concatenate([x for _, x, _ in found]))
+        twice = np.unique(h[1:][h[1:] == h[:-1]])
+        if not len(twice):
+            continue
+        # then the tree of the others
+        numbers: dict[bytes, int] = {}
+        rows, where = [], []
+        for blob, (at, own, edges) in zip(blobs, found):
+            near = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+            chosen = at[twice[near] == own]
+            if not len(chosen):
+                continue
+            ids, tags, first, n, text = unpacked(blob)
+            run, every = _suffixes(n, window)
+            k = np.searchsorted(every, chosen)
+            offset = chosen - (np.cumsum(n) - n)[run[k]]
+            starts, ends = edges or hashed(text)[:2]
+            places = (chosen[:, None] + np.arange(window)).ravel()
+            used, back = np.unique(places, return_inverse=True)
+            codes = np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(starts[used].tolist(), ends[used].tolist())], np.int32)
+            rows.append(codes[back].reshape(-1, window))
+            where.append(np.stack([ids[run[k]], tags[run[k]], first[run[k]] + offset]))
+        yield from _found(np.concatenate(rows), np.concatenate(where, axis=1), window)
+
+
+def _suffixes(n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run and the place among all words of each suffix, of runs with n words."""
+    starts = n - window + 1
+    run = np.repeat(np.arange(len(n)), starts)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(np.cumsum(n) - n, starts)
 
 
 def _found(suffixes: np.ndarray, place: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    if not len(suffixes):
-        return
-    h = _mixed([suffixes[:, k] for k in range(window)])
-    order = np.argsort(h, kind="stable")
-    equal = np.diff(h[order]) == 0
-    alone = ~(np.concatenate(([False], equal)) | np.concatenate((equal, [False])))
-    chosen = order[~alone]
-    if not len(chosen):
-        return
-    suffixes, place = suffixes[chosen], place[:, chosen]
     order, begins = deep_nodes(suffixes, window)
     ids = place[0][order]
     least = np.minimum.reduceat(ids, begins)
@@ -190,7 +210,7 @@ def _spans(docs: DataFrame, window: int, most: int) -> DataFrame:
     groups = GROUPS * n
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer, seen = Hashes(), Packer(), {}
+        packer, seen = Packer(), {}
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -200,25 +220,21 @@ def _spans(docs: DataFrame, window: int, most: int) -> DataFrame:
             for batch in slices(whole):
                 copies = []
                 for i, text in zip(batch.column(0).to_pylist(), contents(batch.column(1))):
-                    words = text.split()
-                    if len(words) < window:
+                    begin, end, h = hashed(text)
+                    if len(h) < window:
                         continue
                     i, key = NULL_ID if i is None else i, xxhash.xxh3_128_digest(text)
                     tag = xxhash.xxh64_intdigest(text, 42) & TAG
                     if (before := seen.get(key)) is not None and before <= i:
                         if before < i:
-                            copies.append((i % groups, None, i, tag, len(words)))
+                            copies.append((i % groups, None, i, tag, len(h)))
                         continue
                     seen[key] = i
-                    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
                     first, after, least = runs(h, window)
-                    joined = b" ".join(words)
-                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                    starts = np.concatenate(([0], ends[:-1]))[first].tolist()
-                    stops = (ends[after + window - 2] - 1).tolist()
+                    starts, stops = begin[first].tolist(), end[after + window - 2].tolist()
                     to = (((least * ODD[2]) >> np.uint64(20)) % np.uint64(groups)).tolist()
                     for g, a, b, f, e in zip(to, starts, stops, first.tolist(), after.tolist()):
-                        packer.add(g, joined[a:b], (i, tag, f, e - f + window - 1))
+                        packer.add(g, text[a:b], (i, tag, f, e - f + window - 1))
                     if packer.size > PACKED_BYTES:
                         for g, blob in packer.packed():
                             yield out([(g, blob, None, None, None)])
