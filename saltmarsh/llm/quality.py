@@ -31,13 +31,23 @@ SAMPLE = 2500
 EPOCHS, RATE = 3, 0.5
 #: Words that a worker remembers the features of.
 REMEMBERED = 200_000
+BASIS, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of a word and of its character n-grams, the edges marked. Character here is a letter, not a byte."""
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [text[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(text) - n + 1)]
-    return [zlib.crc32(word) % BUCKETS, *[zlib.crc32(g.encode()) % BUCKETS for g in grams]]
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of words, as the number of the word and the bucket: the word, and its character n-grams with the edges marked."""
+    texts = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    owners, buckets = [np.arange(len(words))], [np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)]
+    h = np.full(len(codes), BASIS) + np.uint64(0)
+    for n in range(1, LONGEST + 1):
+        h = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * PRIME
+        if n >= SHORTEST:
+            within = owner[: len(h)] == owner[n - 1 :]
+            owners.append(owner[: len(h)][within])
+            buckets.append(((h[within] ^ (h[within] >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 #: A repeated word is a feature of its own, whichever word it is, and one of that word.
@@ -56,14 +66,12 @@ class Words:
         if len(self.number) > REMEMBERED:
             self.number.clear()
             self.buckets.clear()
-        out, get = [], self.number.get
-        for w in words:
-            k = get(w)
-            if k is None:
-                k = self.number[w] = len(self.buckets)
-                self.buckets.append(np.array(features(w), dtype=np.int64))
-            out.append(k)
-        return np.array(out, dtype=np.int64)
+        if new := [w for w in dict.fromkeys(words) if w not in self.number]:
+            self.number.update(zip(new, range(len(self.buckets), len(self.buckets) + len(new))))
+            owner, bucket = features(new)
+            order = np.argsort(owner, kind="stable")
+            self.buckets += np.split(bucket[order], np.cumsum(np.bincount(owner, minlength=len(new)))[:-1])
+        return np.array([self.number[w] for w in words], dtype=np.int64)
 
 
 def counted(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,8 +85,8 @@ def counted(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             continue
         which, times = np.unique(numbers, return_counts=True)
         counts = np.zeros(BUCKETS)
-        for k, n in zip(which.tolist(), times.tolist()):
-            np.add.at(counts, words.buckets[k], n)
+        lists = [words.buckets[k] for k in which.tolist()]
+        counts += np.bincount(np.concatenate(lists), np.repeat(times, [len(x) for x in lists]), minlength=BUCKETS)
         # as many features as a word has, so that their share doesn't hang on how long words are
         counts[again] += REPEAT_WEIGHT * int((numbers[1:] == numbers[:-1]).sum())
         idx = np.flatnonzero(counts)
@@ -126,7 +134,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, *, d
     known = labels.where(learn & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label"))
     ids = known.groupBy("__id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     once = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("content"))
-    return once.join(F.broadcast(ids), "__id").select("__id", "label", "content")  # of at most `sample` ids
+    # of at most `sample` ids; an id that rows repeat is learned from once
+    return once.join(F.broadcast(ids), "__id").groupBy("__id", "label").agg(F.min("content").alias("content"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
@@ -159,33 +168,24 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value.weights, sent.value.bias
         memory: dict[bytes, int] = {}
-        sums, sizes = np.zeros(REMEMBERED + 1), np.zeros(REMEMBERED + 1)
-
-        def number(w: bytes) -> int:
-            k = memory[w] = len(memory)
-            f = features(w)
-            sums[k], sizes[k] = weights[f].sum(), len(f)
-            return k
-
+        sums, sizes = np.zeros(0), np.zeros(0)
         for whole in batches:
             for batch in slices(whole):
+                split = [t.split() for t in contents(batch.column(at))]
+                if len(memory) > REMEMBERED:
+                    memory.clear()
+                    sums, sizes = np.zeros(0), np.zeros(0)
+                if new := list({w for words in split for w in words if w not in memory}):
+                    memory.update(zip(new, range(len(memory), len(memory) + len(new))))
+                    owner, bucket = features(new)
+                    sums = np.concatenate([sums, np.bincount(owner, weights[bucket], minlength=len(new))])
+                    sizes = np.concatenate([sizes, np.bincount(owner, minlength=len(new))])
                 out = []
-                for t in contents(batch.column(at)):
-                    total = n = 0.0
-                    before = None
-                    words = t.split()
-                    for start in range(0, len(words), 50_000):
-                        if len(memory) > REMEMBERED - 50_000:
-                            memory.clear()
-                            before = None if before is None else number(words[start - 1])
-                        part = [memory[w] if w in memory else number(w) for w in words[start : start + 50_000]]
-                        ids = np.array(part if before is None else [before, *part])
-                        same = int((ids[1:] == ids[:-1]).sum())
-                        ids = ids if before is None else ids[1:]
-                        before = int(ids[-1])
-                        total += sums[ids].sum() + REPEAT_WEIGHT * same * weights[again]
-                        n += sizes[ids].sum() + REPEAT_WEIGHT * same
-                    z = bias + (total / n if n else 0.0)
+                for words in split:
+                    ids = np.array([memory[w] for w in words], dtype=np.int64)
+                    same = int((ids[1:] == ids[:-1]).sum())
+                    total = sums[ids].sum() + REPEAT_WEIGHT * same * weights[again]
+                    z = bias + (total / (sizes[ids].sum() + REPEAT_WEIGHT * same) if words else 0.0)
                     out.append(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=schema.names)
 
