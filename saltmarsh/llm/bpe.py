@@ -23,6 +23,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from saltmarsh.llm.common import slices
 
@@ -48,7 +49,7 @@ class Vocabulary:
     """What encoding needs of a tokenizer file (a few MB, whatever the corpus holds)."""
 
     def __init__(self, text: str) -> None:
-        spec = json.loads(text)
+        spec, self.text = json.loads(text), text
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.names = {i: s for s, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -130,17 +131,28 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pieces, self.words = regex.compile(PIECES), regex.compile(f"[^{BLANKS}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")")
+        self.library: Tokenizer | None = None
         self.of_word, self.of_piece = Recent(self.word, WORDS), Recent(self.piece, PIECES_KEPT)
 
     def word(self, word: str) -> bytes:
-        text = word
-        if not word.isascii():
+        if word.isascii():
+            found = self.pieces.findall(word.lower())
+        elif "Cn" in map(unicodedata.category, word):
+            found = self.newer(word)
+        else:
             text = unicodedata.normalize("NFC", word)
-        # letter by letter: a final sigma gets no form of its own
-        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-        found = self.pieces.findall(text)
+            # letter by letter: a final sigma gets no form of its own
+            text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+            found = self.pieces.findall(text)
         return self.of_piece[found[0]] if len(found) == 1 else b"".join([self.of_piece[p] for p in found])
 
+    def newer(self, word: str) -> list[str]:
+        """Pieces of a word with characters that Python's tables lack: which of them are letters, the library's tables say."""
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.vocabulary.text)
+        text = self.library.normalizer.normalize_str(word)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def piece(self, piece: str) -> bytes:
         raw, inner = piece.encode(), self.vocabulary.inner
         symbols = [inner[b] for b in raw]
