@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.functions.score import count, has, sigmoid
@@ -59,21 +60,39 @@ def features(df: DataFrame, key: str) -> DataFrame:
     return named.unionByName(hashed_trigrams(df, key))
 
 
+def samples(rows: DataFrame, label: str, *, least: int = 200, order: str = "message_id") -> DataFrame:
+    """What the classifier learns from: all rows in the escalation band, and as context a bounded number of the others for each label,
+    twice as many of label 0. First halves of split numbers (turn 0 of more turns) are left out; so are mined rows without any signal.
+    Rows have band, detections, runs and noise; conversation_id and turn, and mined, are optional."""
+    if "turn" in rows.columns:
+        turns = F.max("turn").over(W.partitionBy("conversation_id"))
+        rows = rows.withColumn("__turns", turns).where((F.col(label) == 0) | (F.col("turn") > 0) | (F.col("__turns") == 0)).drop("__turns")
+    if "mined" in rows.columns:
+        rows = rows.where(~F.col("mined") | (F.size("detections") > 0) | (F.size("runs") > 0) | (F.col("noise") > 0))
+    escalated, settled = rows.where("band = 'escalate'"), rows.where("band <> 'escalate'")
+    most = max(escalated.count(), least)
+    place = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(order), order))
+    context = settled.withColumn("__place", place).where(F.col("__place") <= F.when(F.col(label) == 0, 2 * most).otherwise(most)).drop("__place")
+    return escalated.unionByName(context)
+
+
 def train(rows: DataFrame, key: str, label: str, *, iterations: int = 60, l2: float = 1e-6, weight: str | None = None) -> tuple[DataFrame, float]:
     """(idx, w) of weights that matter, and the bias: class-weighted logistic regression by Spark ML over sparse vectors."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
     size = len(DENSE) + HASHED
-    sparse = features(rows, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("cells"))  # of one message
+    cells = F.array_sort(F.collect_list(F.struct("idx", "value")))  # of one message
+    sparse = features(rows, key).groupBy(key).agg(cells.alias("cells"))
     labelled = sparse.join(rows.select(key, F.col(label).cast("double").alias("label")), key)
     n = labelled.groupBy("label").count().collect()  # one row for each class
     total = sum(r["count"] for r in n)
     balance = F.lit(1.0)
     for r in n:
         balance = F.when(F.col("label") == r.label, total / (len(n) * r["count"])).otherwise(balance)
-    vector = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))))
-    data = labelled.select(vector.alias("features"), "label", balance.alias("weight"))
+    # Spark has no expression for sparse vectors; this runs over labelled rows only
+    vector = F.udf(lambda c: SparseVector(size, [x.idx for x in c], [x.value for x in c]), VectorUDT())
+    data = labelled.select(vector("cells").alias("features"), "label", balance.alias("weight"))
     model = LogisticRegression(maxIter=iterations, regParam=l2, weightCol="weight").fit(data)
     spark = rows.sparkSession
     kept = [(i, float(w)) for i, w in enumerate(model.coefficients.toArray()) if abs(w) >= 1e-4]  # 16,413 at most

@@ -66,3 +66,14 @@ def self_play(candidates: DataFrame, caught: Column) -> tuple[DataFrame, DataFra
     """The catch rate over distinct candidates (by lower case), and the misses."""
     distinct = candidates.withColumn("__lower", F.lower("text")).dropDuplicates(["__lower"]).drop("__lower")
     return distinct.agg(F.count("*").alias("n"), F.count_if(caught).alias("caught")), distinct.where(~caught)
+
+
+def replayed(rows: DataFrame, order: str = "message_id", size: int = 12, seconds: int = 1) -> DataFrame:
+    """Single messages as conversations of `size` each, some seconds apart: conversation_id and ts replace what was there.
+    Which conversation a row is in hangs on a hash of its id, so that numbering it needs no global order."""
+    buckets = F.pmod(F.xxhash64(order), F.lit(1024))
+    place = F.row_number().over(W.partitionBy("__bucket").orderBy(F.xxhash64(order), order)) - 1
+    rows = rows.withColumn("__bucket", buckets).withColumn("__place", place)
+    name = F.concat_ws("-", F.lit("replay"), F.col("__bucket").cast("string"), F.floor(F.col("__place") / size).cast("string"))
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("__place") % size * seconds)
+    return rows.withColumns({"conversation_id": name, "ts": ts}).drop("__bucket", "__place")

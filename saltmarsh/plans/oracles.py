@@ -81,6 +81,11 @@ ORACLES = {
              WHEN k = 0 THEN 'call me on ' || repeat('•', 10) WHEN k = 2 THEN 'pay me on ' || long WHEN k = 4 THEN 'write to ' || long WHEN k = 5 THEN 'see ' || long END AS delivered_text,
         false AS cooldown
       FROM masks""",
+    "io11_wording": f"""WITH {SYNTH} SELECT label, tone, summary, count(*) AS n FROM (
+      SELECT CASE verdict WHEN 'allow' THEN 'Sent' WHEN 'block' THEN 'Not delivered' ELSE 'Held for review' END AS label, CASE verdict WHEN 'allow' THEN 'good' WHEN 'block' THEN 'stop' ELSE 'caution' END AS tone,
+        CASE WHEN verdict = 'allow' THEN 'Nothing concerning found.' ELSE CASE k WHEN 0 THEN 'Looks like a phone number, and 1 more.' WHEN 2 THEN 'Looks like a payment ID.'
+          WHEN 4 THEN 'Looks like an email address, and 1 more.' WHEN 5 THEN 'Looks like a phone number, and 1 more.' WHEN 6 THEN 'Contains hostile language.' END END AS summary FROM scored) GROUP BY ALL""",
+    "io3_health": "SELECT 'ok' AS status, true AS deterministic, false AS adjudicator, 'open' AS fail_post_booking, 'closed' AS fail_pre_booking",
     "io2_validation": """SELECT reason, count(*) AS n FROM (
       SELECT CASE WHEN conv_id % 7 = 0 THEN 'message_id is required' WHEN text IS NULL THEN 'text is required' WHEN length(text) > 8000 THEN 'text exceeds 8000 characters'
         WHEN role IS DISTINCT FROM 'user' THEN 'sender_role is unknown' WHEN turn % 5 = 4 THEN 'booking_stage is unknown' ELSE 'valid' END AS reason FROM conversations) GROUP BY reason""",
@@ -89,7 +94,7 @@ ORACLES = {
     "synth_messages": f"WITH {SYNTH} SELECT message_id, conversation_id, sender_role, booking_stage, text FROM synth",
     "n3_n6_folded": f"""SELECT doc_id, length(f) AS n, md5(f) AS digest, c AS confusables FROM (
       SELECT doc_id, lower({FOLDED}) AS f, len(regexp_extract_all(text, '{classes(COUNTED)}'))::BIGINT AS c FROM documents)""",
-    "n2_invisible": """SELECT doc_id, substring(text, 1, 20) || substring(text, 21, 40) AS visible, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END::BIGINT AS n FROM documents""",
+    "n2_invisible": """SELECT doc_id, text AS visible, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END::BIGINT AS n FROM documents""",
     "n7_n8_deleet": f"""SELECT conv_id, turn,
         coalesce(array_to_string(list_transform(regexp_extract_all(lower(text), '\\S+|\\s+'), lambda t: CASE WHEN {LEET_OK} THEN translate(t, '{LEETABLE}', '{"".join(LEET.values())}') ELSE t END), ''), '') AS deleet,
         coalesce(list_sum(list_transform(regexp_extract_all(lower(text), '\\S+'), lambda t: CASE WHEN {LEET_OK} THEN len(regexp_extract_all(t, '{classes(LEETABLE)}')) ELSE 0 END)), 0)::BIGINT AS leet
@@ -169,9 +174,6 @@ ORACLES = {
       p AS (SELECT unnest(list_distinct(list_filter(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
         list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), lambda x: length(x) >= 4))) AS phrase FROM t)
       SELECT phrase, count(*) AS n FROM p GROUP BY phrase HAVING count(*) >= 2""",
-    "e8_self_play": f"""WITH {SYNTH}, d AS (SELECT k, text FROM scored WHERE k IN (0, 1, 2, 4, 5) UNION SELECT k, text FROM scored WHERE k IN (3, 6, 7))
-      SELECT count(DISTINCT lower(text)) AS n, 0 AS caught FROM d""",
     "p3_masked": """SELECT o_orderkey, substring(t, 1, k) || '•••' || substring(t, k + 3, 2) || '•••' || substring(t, k + 4 + o_orderkey % 3 + 2) AS masked FROM (
       SELECT o_orderkey, o_orderkey % 5 AS k, 'order ' || o_orderkey || ' is here and on its way' AS t FROM orders)""",
 }
-del ORACLES["e8_self_play"]  # which of several messages with one text is judged isn't fixed

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from saltmarsh.functions import detectors, digitruns, normalize, policy, score
+from saltmarsh.config import RiskConfig
+from saltmarsh.functions import detectors, digitruns, normalize, policy, score, wording
 from saltmarsh.functions.spans import alternation, located
 from saltmarsh.lexicons import HOSTILITY_MILD, HOSTILITY_SEV1, HOSTILITY_SEV2, INTENT_CHANNEL
 from saltmarsh.operators import adjudicate, classifier, evaluate, moderate, session, stateful, weirdness
-from saltmarsh.sources import messages
+from saltmarsh.sources import corpus, messages
+from saltmarsh.streaming import moderation
 
 QUERIES = {}
 
@@ -74,9 +79,65 @@ def moderate_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return done.groupBy("sender_role", "verdict", "resolved_by").agg(F.count("*").alias("n"))
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; only a local master may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="saltmarsh-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stream_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """The stateful cascade over the conversations' turns as a stream of files, run until all are read."""
+    given = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{folder}/conversations.parque[t]")
+    done = moderation.moderated(messages.from_conversations(given))
+    out, marks = shared(spark, "stream"), shared(spark, "marks")
+    flat = done.select("message_id", "sender_role", "verdict", rounded("score", 4).alias("score"), "merged")
+    flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("message_id string, sender_role string, verdict string, score double, merged string").parquet(out)
+
+
+@query
+def c7_trained(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled synthetic conversations under a classifier trained on them: rows by label and decision."""
+    rows = corpus.generated(spark, 150).withColumnRenamed("id", "message_id")
+    rows = score.with_score(moderate.analysed(rows)).withColumn("y", (F.col("label") == "adversarial").cast("int"))
+    chosen = classifier.samples(rows, "y")
+    weights, bias = classifier.train(chosen, "message_id", "y", iterations=20)
+    p = classifier.probabilities(classifier.features(rows, "message_id"), weights, bias, "message_id")
+    return rows.join(p, "message_id").groupBy("label", score.decided(F.col("probability")).alias("decision")).agg(F.count("*").alias("n"))
+
+
 # --- sources
 
 
+@query
+def io11_wording(spark: SparkSession, folder: str) -> DataFrame:
+    """What senders read about the synthesised messages."""
+    done = moderate.moderated(synth(spark, folder))
+    kinds, verdict = F.array_sort("categories"), F.col("verdict")
+    told = done.select(wording.label(verdict).alias("label"), wording.tone(verdict).alias("tone"), wording.summary(kinds, verdict).alias("summary"))
+    return told.groupBy("label", "tone", "summary").agg(F.count("*").alias("n"))
+
+
+@query
+def e6_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as conversations of twelve: how many there are of each length."""
+    rows = evaluate.replayed(synth(spark, folder).drop("conversation_id", "ts"))
+    lengths = rows.groupBy("conversation_id").agg(F.count("*").alias("length"))
+    return lengths.groupBy("length").agg(F.count("*").alias("conversations"))
+
+
+@query
+def io3_health(spark: SparkSession, folder: str) -> DataFrame:
+    """Which tiers are live, and what happens when the last one fails."""
+    c = RiskConfig()
+    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(True).alias("deterministic"), F.lit(False).alias("adjudicator"), *[F.lit(m).alias(f"fail_{k}") for k, m in sorted(c.failMode.items())])
+
+
 @query
 def io2_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Requests made of conversations, some broken on purpose, by the reason that they are rejected for."""
@@ -118,7 +179,7 @@ def n3_n6_folded(spark: SparkSession, folder: str) -> DataFrame:
 def n2_invisible(spark: SparkSession, folder: str) -> DataFrame:
     """Invisible characters, planted by id, counted and taken out."""
     mark = F.when(F.col("doc_id") % 3 == 0, "​").when(F.col("doc_id") % 3 == 1, "⁦").otherwise("")
-    t = F.concat(F.substring("text", 1, 20), mark, F.substring("text", 21, 40))
+    t = F.concat(F.substring("text", F.lit(1), F.lit(20)), mark, F.substring("text", F.lit(21), F.length("text")))
     d = table(spark, folder, "documents").select("doc_id", t.alias("t"))
     v = normalize.visible(F.col("t"))
     return d.select("doc_id", v.alias("visible"), (F.length("t") - F.length(v)).cast("long").alias("n"))
