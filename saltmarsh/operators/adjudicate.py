@@ -36,12 +36,11 @@ def parsed(reply: Column) -> Column:
     # a string "true" isn't true: flags are read from the text as written
     flag = lambda k: body.rlike(rf'"{k}"\s*:\s*true\b') & (raw[k] == "true")
     known = lambda k, kinds: F.when(raw[k].isin(*kinds), raw[k])
-    sure = F.expr("try_cast(NULL AS DOUBLE)")
-    sure = F.when(raw["confidence"].rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), raw["confidence"].cast("double")).otherwise(sure)
+    sure = F.when(raw["confidence"].rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), raw["confidence"].cast("double"))
     empty = F.coalesce(raw["extracted"], F.lit("")) == ""
     fields = F.struct(
         F.coalesce(flag("contact"), F.lit(False)).alias("contact"), known("contact_type", CONTACT_KINDS).alias("contact_type"), F.coalesce(flag("safety"), F.lit(False)).alias("safety"),
-        known("safety_type", SAFETY_KINDS).alias("safety_type"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), F.lit(0.5)).alias("confidence"),
+        known("safety_type", SAFETY_KINDS).alias("safety_type"), F.when(sure.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"),
         F.when(~empty, F.substring(raw["extracted"], 1, 120)).alias("extracted"),
     )
     # from_json gives nulls for what isn't an object
