@@ -137,15 +137,15 @@ ORACLES = {
         AND (o.a < e.a OR o.b > e.b OR o.event_id < e.event_id))""",
     "r11_saturation": """SELECT CASE WHEN l_quantity < 3 THEN 'allow' WHEN l_quantity > 8 THEN 'block' ELSE 'escalate' END AS band, count(*) AS n,
       round(sum(0.35 * 6 * (1 - exp(-l_quantity / 12))), 4) AS value FROM lineitem GROUP BY 1""",
-    "s1_s2_pressure": """SELECT e.event_id, round(coalesce(sum(abs(o.value) * power(2, -(epoch_ms(e.ts) - epoch_ms(o.ts)) / 3600000.0)), 0), 4) AS pressure
-      FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND (epoch_ms(o.ts), o.event_id) < (epoch_ms(e.ts), e.event_id) GROUP BY e.event_id""",
+    "s1_s2_pressure": """SELECT e.event_id, round(coalesce(sum(abs(o.value) * power(2, -((epoch_us(e.ts) // 1000) - (epoch_us(o.ts) // 1000)) / 3600000::DOUBLE)), 0), 6) AS pressure
+      FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND ((epoch_us(o.ts) // 1000), o.event_id) < ((epoch_us(e.ts) // 1000), e.event_id) GROUP BY e.event_id""",
     "s4_s5_last_messages": """WITH m AS (SELECT DISTINCT ON (id) id AS message_id, conv_id, turn, role, text FROM (SELECT conv_id || '-' || turn AS id, * FROM conversations WHERE role IN ('user', 'assistant'))),
       w AS (SELECT *, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id::VARCHAR ORDER BY turn, message_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l FROM m),
       o AS (SELECT *, list_filter(l, lambda x: x.role = w.role) AS own FROM w)
       SELECT message_id, CASE WHEN len(own) > 0 THEN array_to_string(list_transform(own[greatest(len(own) - 2, 1):], lambda x: x.text), ' ') || ' ' || text END AS rescan_text FROM o""",
     "s13_rate_limit": """SELECT event_id, strikes::BIGINT AS strikes, coalesce(recent, 0)::BIGINT AS recent_blocks, coalesce(recent, 0) >= 3 AS cooldown FROM (
       SELECT event_id, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS strikes,
-        sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 600000 PRECEDING AND 1 PRECEDING) AS recent FROM events)""",
+        sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 600000 PRECEDING AND 1 PRECEDING) AS recent FROM events)""",
     "c2_fnv1a": """SELECT word, hash::BIGINT AS hash, (hash % 16384)::BIGINT AS cell FROM (
       SELECT n_name AS word, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(n_name, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash FROM nation)""",
     "c3_hashed_trigrams": """WITH grams AS (SELECT item_id, unnest(list_transform(range(1, length(text) + 1), lambda i: substring(' ' || lower(text) || ' ', i, 3))) AS g FROM benchmark),
