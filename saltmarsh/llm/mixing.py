@@ -29,7 +29,7 @@ WEIGHTS, REPEATS = (1, 2, 3), 3
 #: How a source's weight changes over time, repeating over the sources: falling, level, rising.
 SLOPES = (-0.5, 0.0, 0.5)
 #: Rows of a source that one task sorts, about.
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 4_000
 
 
 def _cycled(values: Sequence, rank: Column) -> Column:
