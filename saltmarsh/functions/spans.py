@@ -40,14 +40,15 @@ def located(text: Column, pattern: str) -> Column:
 
 
 def alternation(terms: Iterable[str]) -> str:
-    """A pattern for whole terms, the longest first; an edge that is no letter or digit needs no boundary."""
-
-    def whole(t: str) -> str:
-        before = r"(?<![\p{L}\p{N}])" if t[0].isalnum() else ""
-        after = r"(?![\p{L}\p{N}])" if t[-1].isalnum() else ""
-        return before + re.sub(r"([.*+?^${}()|\[\]\\/])", r"\\\1", t) + after
-
-    return "(?:" + "|".join(whole(t) for t in sorted(dict.fromkeys(terms), key=len, reverse=True)) + ")"
+    """A pattern for whole terms, the longest first; an edge that is no letter or digit needs no boundary.
+
+    Terms with the same kind of edges share their lookarounds, so that most places of a text fail at once.
+    """
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    for t in sorted(dict.fromkeys(terms), key=len, reverse=True):
+        kinds.setdefault((t[0].isalnum(), t[-1].isalnum()), []).append(re.sub(r"([.*+?^${}()|\[\]\\/])", r"\\\1", t))
+    before, after = {True: r"(?<![\p{L}\p{N}])", False: ""}, {True: r"(?![\p{L}\p{N}])", False: ""}
+    return "(?:" + "|".join(f"{before[a]}(?:{'|'.join(ts)}){after[b]}" for (a, b), ts in kinds.items()) + ")"
 
 
 def ascii_words(pattern: str) -> str:
