@@ -3,8 +3,10 @@
 Base spans are the matches of three patterns. Further candidates are runs of 20 or more characters of the usual encodings. The
 narrowest encoding that explains a candidate gives its alphabet; over it three tests ask whether the characters look
 drawn at random: chi-squared uniformity, runs above and below the middle of the alphabet, and serial correlation. A candidate that
-one of them refutes (Bonferroni) is dropped. The others still have to be told from ordinary text, which
-short ones hardly can: the p-value that text has so even a distribution falls with length. False discoveries are held
+one of them refutes (Bonferroni) is dropped. The others still have to be told from ordinary text: names, slugs and paths
+are modelled as a chain of kinds of characters (small and capital letters, digits, marks) with the letters of prose, and the
+likelihood of the inferred alphabet drawn evenly, over that of text, is under text larger than x with a chance of 1/x at most
+(Markov's inequality), which is the p-value. Digits alone look the same either way. False discoveries are held
 under `fdr` by Benjamini and Hochberg's rule within bands of length, over the candidates of all documents; p-values are
 counted on a grid of tenths of a decade, so that a bounded number of counts, and no candidate, reaches the driver. Only DataFrame
 operations are used.
@@ -30,6 +32,7 @@ BASE = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = [
+    ("^[0-9]+$", DIGITS),
     ("^[0-9a-f]+$", DIGITS + "abcdef"),
     ("^[0-9A-F]+$", DIGITS + "ABCDEF"),
     ("^[A-Z2-7]+$", UPPER + "234567"),
@@ -40,8 +43,13 @@ ENCODINGS = [
 ]
 #: Bands of length for the false-discovery control: their first lengths.
 BANDS = [20, 24, 32, 48, 96]
-#: Chance that two letters of ordinary text are equal, and that three are: of English prose.
-TWO_EQUAL, THREE_EQUAL = 0.066, 0.0056
+#: Characters of text by kind, and their shares: per mille of the letters of English prose, a tenth of them spread evenly.
+MARKS = "_-/+"
+SYMBOLS = LOWER + UPPER + DIGITS + MARKS
+LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
+WITHIN = [0.9 * n / sum(LETTERS) + 0.1 / 26 for n in LETTERS] * 2 + [0.1] * 10 + [0.35, 0.35, 0.25, 0.05]
+#: Chances of the next character's kind after each kind: small, capital, digit, mark.
+NEXT = [[0.84, 0.04, 0.03, 0.09], [0.35, 0.53, 0.04, 0.08], [0.08, 0.04, 0.75, 0.13], [0.60, 0.16, 0.20, 0.04]]
 FDR, REFUTED = 0.01, 0.001
 #: The grid of p-values ends at 10 ** -(LEVELS / 10).
 LEVELS = 300
@@ -97,6 +105,21 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, normal_tail(F.least(z, F.lit(37.0)))).otherwise(1 - normal_tail(F.least(-z, F.lit(37.0))))
 
 
+def text_likelihood(chars: Column) -> Column:
+    """Decimal logarithm of the chance that text has these characters, in this order."""
+    within = F.array(*[F.lit(math.log10(p)) for p in WITHIN])
+    following = F.array(*[F.lit(math.log10(p)) for row in NEXT for p in row])
+    kind = lambda i: F.when(i <= 26, 0).when(i <= 52, 1).when(i <= 62, 2).otherwise(3)
+    zero = F.struct(F.lit(-1).alias("kind"), F.lit(math.log10(1 / 4)).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        moved = F.when(s["kind"] < 0, F.lit(0.0)).otherwise(F.element_at(following, s["kind"] * 4 + kind(i) + 1))
+        return F.struct(kind(i).alias("kind"), (s["sum"] + moved + F.element_at(within, i)).alias("sum"))
+
+    places = F.transform(chars, lambda c: F.call_function("instr", F.lit(SYMBOLS), c))
+    return F.aggregate(places, zero, step, lambda s: s["sum"])
+
+
 def tested(match: Column) -> Column:
     """(random, level): whether no test refutes randomness, and the p-value of text as tenths of a decade."""
     body = F.regexp_replace(match, "=+$", "")
@@ -110,7 +133,7 @@ def tested(match: Column) -> Column:
         squares = F.aggregate(
             F.array_distinct(chars), F.lit(0.0), lambda t, c: t + F.pow(F.length(x["s"]) - F.length(F.call_function("replace", x["s"], c, F.lit(""))), F.lit(2.0))
         )
-        return F.struct(F.length(x["s"]).cast("double").alias("n"), F.length(letters).cast("double").alias("k"), squares.alias("squares"), index.alias("x"))
+        return F.struct(F.length(x["s"]).cast("double").alias("n"), F.length(letters).cast("double").alias("k"), squares.alias("squares"), index.alias("x"), text_likelihood(chars).alias("text"))
 
     def moments(s: Column) -> Column:
         x = s["x"]
@@ -119,7 +142,7 @@ def tested(match: Column) -> Column:
         upper = F.transform(x, lambda v: F.when(v > s["k"] / 2, F.lit(1.0)).otherwise(F.lit(0.0)))
         turns = F.zip_with(F.slice(upper, F.lit(2), F.size(x) - 1), F.slice(upper, F.lit(1), F.size(x) - 1), lambda a, b: F.abs(a - b))
         return F.struct(
-            s["n"].alias("n"), s["k"].alias("k"), s["squares"].alias("squares"), total(x).alias("sum"), total(F.transform(x, lambda v: v * v)).alias("sum2"),
+            s["n"].alias("n"), s["k"].alias("k"), s["squares"].alias("squares"), s["text"].alias("text"), total(x).alias("sum"), total(F.transform(x, lambda v: v * v)).alias("sum2"),
             total(F.zip_with(x, following, lambda a, b: a * b)).alias("lagged"), total(upper).alias("upper"), (total(turns) + 1).alias("runs"),
         )
 
@@ -134,11 +157,7 @@ def tested(match: Column) -> Column:
         correlation = (n * m["lagged"] - m["sum"] * m["sum"]) / F.greatest(below, F.lit(1e-9))
         z = F.abs(correlation + 1 / (n - 1)) * (n - 1) * F.sqrt(n - 2) / n
         p_serial = F.when(below > 0, F.least(F.lit(1.0), 2 * normal_tail(F.least(z, F.lit(37.0))))).otherwise(0.0)
-        # pairs of equal characters that text of this length has, and their spread
-        text_squares = n + n * (n - 1) * TWO_EQUAL
-        text_spread = F.sqrt(2 * n * n * TWO_EQUAL + 4 * n * n * n * (THREE_EQUAL - TWO_EQUAL * TWO_EQUAL))
-        p_text = _tail((text_squares - m["squares"]) / text_spread)
-        level = F.least(F.lit(LEVELS), F.floor(-10 * F.log10(F.greatest(p_text, F.lit(10.0 ** (-LEVELS / 10 - 1)))))).cast("int")
+        level = F.least(F.lit(LEVELS), F.floor((-n * F.log10(k) - m["text"]) * 10)).cast("int")
         return F.struct((3 * F.least(p_even, p_runs, p_serial) >= REFUTED).alias("random"), F.greatest(F.lit(0), level).alias("level"))
 
     x = F.struct(body.alias("s"), alphabet.alias("letters"), F.split(body, "").alias("chars"))

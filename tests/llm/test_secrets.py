@@ -62,3 +62,20 @@ def test_digest(spark, small):
         spans = brute(text[r.doc_id])
         joined = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.n_assign + r.n_access + r.n_hex == len(spans)
+
+
+def test_keys_of_every_encoding_among_ordinary_candidates(spark):
+    r = random.Random(5)
+    kinds = {"hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "small": string.ascii_lowercase + string.digits, "base62": string.ascii_letters + string.digits}
+    keys = [(k, n) for k in kinds for n in (20, 24, 32, 40) for _ in range(8)]
+    rows = [(i, f"see {''.join(r.choice(kinds[k]) for _ in range(n))} here", "en", "s", 1) for i, (k, n) in enumerate(keys)]
+    names = "house garden report notes release window customer account invoice travel summer winter planning archive".split()
+    for i in range(2400):
+        w = [r.choice(names) for _ in range(r.randint(3, 6))]
+        plain = [f"{'-'.join(w)}-20{r.randint(10, 26)}-1{r.randint(0, 2)}", "/".join(w) + "/index", "_".join(w).upper(), "".join(x.title() for x in w) + "Factory", f"{r.getrandbits(80):024d}"][i % 5]
+        rows.append((1000 + i, f"the {plain} thing", "en", "s", 1))
+    found = {x.doc_id: any(s.kind == "random" for s in x.spans) for x in secrets.scanned(documents(spark, rows)).collect()}
+    assert sum(found[i] for i in found if i >= 1000) <= 2
+    for k in kinds:
+        own = [found[i] for i, (kind, _) in enumerate(keys) if kind == k]
+        assert sum(own) >= 0.8 * len(own), (k, own)
