@@ -20,9 +20,9 @@ def moderated(messages: DataFrame, config: RiskConfig | None = None, *, ascii_on
     cross = F.coalesce(session.recovered(F.col("joint"), F.col("runs"), F.col("detections")), F.array().cast(dict(df.dtypes)["detections"]))
     df = df.withColumn("cross", cross).withColumn("fragments", session.fragments(F.col("runs"), F.col("denoised"), F.col("detections"), config.compat))
     df = df.join(session.merged_numbers(df, config), "message_id", "left")
-    df = score.with_score(df, config)
+    df = score.with_score(df.withColumn("detections", F.concat("detections", "cross")), config)
     whole = F.col("merged").isNotNull()
     df = df.withColumns({"score": F.when(whole, F.greatest("score", F.lit(9.0))).otherwise(F.col("score")), "band": F.when(whole, "block").otherwise(F.col("band"))})
     df = df.withColumn("cross_message_categories", F.array_distinct(F.transform("cross", lambda d: d["type"])))
-    df = score.with_verdict(df.withColumn("detections", F.concat("detections", "cross")), config)
+    df = score.with_verdict(df, config)
     return session.strikes(df, F.col("verdict") == "block", config).drop("joint", "cross")

@@ -171,3 +171,13 @@ def test_json_lines(spark, tmp_path):
     messages.write_jsonl(df, path)
     (tmp_path / "m" / "odd.json").write_text('{"message_id": "3"\n\n')
     assert messages.read_jsonl(spark, path).where("message_id is not null").count() == 2
+
+
+def test_rescanned_detections_count(spark):
+    """What only the two messages together have is scored like what one has."""
+    pairs = [("mail john.doe99 at", "99 gmail dot com"), ("pay 98765", "43210@okaxis"), ("order 98765", "43210 ok"), ("room 98765", "43210 please"), ("mail me a.b@", "99.com"), ("write john.doe@", "gmail99.com"), ("upi is someone@", "okaxis 1"), ("mail me john", "77 at gmail dot com"), ("mail me john99@gmail", "99.com")]
+    rows = [(f"{c}-{k}", f"c{c}", "guest", "pre_booking", 1_700_000_000 + 60 * k, t) for c, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    df = spark.createDataFrame(rows, "message_id string, conversation_id string, sender_role string, booking_stage string, t long, text string").withColumn("ts", F.timestamp_seconds("t"))
+    done = stateful.moderated(df, ascii_only=True).select("message_id", "score", "band", "verdict", "merged", "cross_message_categories").collect()
+    crossed = [r for r in done if r.cross_message_categories and r.merged is None]
+    assert crossed and all(r.score >= 4 and r.verdict != "allow" for r in crossed)
