@@ -9,7 +9,7 @@ the integral's inverse, which gives the copy's training position. The copy that
 A source's running sums are made in two steps, by the hash's leading digits and within them, so no task
 gets a whole source. Nothing but sums of sources goes through a single task.
 
-Defined cases: a null text has no words, and a document without words is taken 0 times at the position where it would
+Defined cases: texts of any length count whole. Columns named as the scratch ones, with two underscores before, are not taken. A null text has no words, and a document without words is taken 0 times at the position where it would
 stand. A null source is a source, the last one. Ties of the hash are ordered by id and size; rows alike in all three are
 interchangeable, and each counts. Without any word all targets are 0. An empty table gives an empty result.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import count_words
+from saltmarsh.llm.common import count_words, written
 
 WEIGHTS, REPEATS = (1, 2, 3), 3
 #: How a source's weight changes over time, repeating over the sources: falling, level, rising.
@@ -70,8 +70,10 @@ def assigned(
     counted = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else count_words(F.col(text))
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     rows = docs.drop("mix").withColumns({"__source": F.col(source).cast("string"), "__size": counted, "__order": key})
+    # sums and buckets are made of a slim table, so that texts are counted for it once and for their own rows once
     slim = docs.select(F.col(source).cast("string").alias("__source"), counted.alias("__size"), key.alias("__order"))
-    digits = max(0, math.ceil(math.log(max(1, docs.count()) / rows_a_bucket, 16)))
+    slim = slim if size else written(slim, "sizes")
+    digits = max(0, math.ceil(math.log(max(1, slim.count()) / rows_a_bucket, 16)))
     lead = F.substring("__order", 1, digits)
     rows = rows.withColumn("__lead", lead)
 
@@ -92,7 +94,7 @@ def assigned(
         begins = F.col("__start") + F.col("__goal.source_size") * k
         words = F.greatest(F.lit(0), F.least(F.col("__size"), whole - begins)).cast("long")
         demand = F.coalesce(F.least(F.lit(1.0), begins / F.when(F.col("__goal.target") > 0, F.col("__goal.target"))), F.lit(0.0))
-        copies.append(F.struct(F.lit(k).alias("copy"), words.alias("words"), F.round(position(demand, F.col("__goal.slope")), 6).alias("position")))
+        copies.append(F.struct(F.lit(k).alias("copy"), words.alias("words"), position(demand, F.col("__goal.slope")).alias("position")))
     all_copies = F.array(*copies)
     taken = sum((c.getField("words") for c in copies), F.lit(0).cast("long"))
     mix = F.struct(F.col("__size").alias("size"), F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"), taken.alias("taken"), all_copies.alias("copies"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm import bpe, exactdedup, fingerprints, mixing, neardup, quality, secrets, substrings, toxicity, urlfilter
-from saltmarsh.llm.common import count_words, id_crc, table
+from saltmarsh.llm.common import count_words, id_crc, table, written
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,10 +57,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    sized = written(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes")
     rows = mixing.assigned(sized, size="size")
-    rows = rows.select("doc_id", *[F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")], F.col("mix.copies")[0]["position"].alias("position"))
-    return rows.orderBy("position", "doc_id")
+    rows = rows.select("doc_id", *[F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")], F.col("mix.copies")[0]["position"].alias("at"))
+    return rows.orderBy("at", "doc_id").withColumn("position", F.round("at", 6)).drop("at")
 
 
 OP3_SQL = r"""
