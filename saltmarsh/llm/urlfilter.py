@@ -7,7 +7,7 @@ beyond that joined by its block number. Only DataFrame operations are used.
 
 Defined cases: a null URL, or one without "://", has an empty host, path and canonical form; no rule fits it and it is
 never listed, so it is allowed. Rows are judged one by one, repeated ones alike. Null or empty URLs in the list are ignored; an empty list
-blocks nothing. Host, path and rules are compared as they are: a port belongs to the host, an empty path has no "/".
+blocks nothing. URLs of any length are read whole; columns of pages named host, path, rule or verdict are replaced. Host, path and rules are compared as they are: a port belongs to the host, an empty path has no "/".
 """
 
 from __future__ import annotations
@@ -95,11 +95,13 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, url: str =
     for r in rules:
         verdict = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(verdict)
     rows = rows.withColumn("verdict", verdict)
-    probed = rows.withColumn("__block", _block(F.col("__url"), blocks)).withColumn("__mask", _bits(F.col("__url"))).join(bloom, "__block", "left")
-    possible = F.col("rule").isNull() & (F.coalesce(F.col("__bits"), F.lit(0).cast("long")).bitwiseAND(F.col("__mask")) == F.col("__mask"))
     out = [*[F.col(f"`{c}`") for c in kept], *names]
-
+    # what a rule settles, or what has no canonical form, is in no list and isn't looked for
+    open_ = F.col("rule").isNull() & (F.col("__url") != "")
+    settled = rows.where(~open_).withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(*out)
+    probed = rows.where(open_).withColumn("__block", _block(F.col("__url"), blocks)).withColumn("__mask", _bits(F.col("__url"))).join(bloom, "__block", "left")
+    possible = F.coalesce(F.col("__bits"), F.lit(0).cast("long")).bitwiseAND(F.col("__mask")) == F.col("__mask")
     hits = probed.where(possible).join(members.withColumn("__listed", F.lit(True)), F.col("__url") == F.col("__member"), "left")
     hits = hits.withColumn("verdict", F.when(F.col("__listed"), "block").otherwise("allow")).select(*out)
-    others = probed.where(~possible).withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(*out)
-    return hits.unionByName(others)
+    others = probed.where(~possible).withColumn("verdict", F.lit("allow")).select(*out)
+    return settled.unionByName(hits).unionByName(others)
