@@ -7,7 +7,8 @@ one of them refutes (Bonferroni) is dropped. The others still have to be told fr
 are modelled as a chain of kinds of characters (small and capital letters, digits, marks) with the letters of prose, and the
 likelihood of the inferred alphabet drawn evenly, over that of text, is under text larger than x with a chance of 1/x at most
 (Markov's inequality), which is the p-value. Digits alone look the same either way. False discoveries are held
-under `fdr` by Benjamini and Hochberg's rule within bands of length, over the candidates of all documents; p-values are
+under `fdr` by Benjamini and Hochberg's rule within each inferred encoding and band of length, over the candidates of all documents, so
+that a source full of slugs doesn't hide keys of other kinds; p-values are
 counted on a grid of tenths of a decade, so that a bounded number of counts, and no candidate, reaches the driver. Only DataFrame
 operations are used.
 
@@ -121,11 +122,12 @@ def text_likelihood(chars: Column) -> Column:
 
 
 def tested(match: Column) -> Column:
-    """(random, level): whether no test refutes randomness, and the p-value of text as tenths of a decade."""
+    """(random, level, encoding): whether no test refutes randomness, the p-value of text as tenths of a decade, and the number of the encoding."""
     body = F.regexp_replace(match, "=+$", "")
-    alphabet = F.lit(ENCODINGS[-1][1])
-    for pattern, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(body.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    encoding = F.lit(len(ENCODINGS) - 1)
+    for k, (pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
+        encoding = F.when(body.rlike(pattern), F.lit(k)).otherwise(encoding)
+    alphabets = F.array(*[F.lit(letters) for _, letters in ENCODINGS])
 
     def stats(x: Column) -> Column:
         chars, letters = x["chars"], x["letters"]
@@ -160,21 +162,24 @@ def tested(match: Column) -> Column:
         level = F.least(F.lit(LEVELS), F.floor((-n * F.log10(k) - m["text"]) * 10)).cast("int")
         return F.struct((3 * F.least(p_even, p_runs, p_serial) >= REFUTED).alias("random"), F.greatest(F.lit(0), level).alias("level"))
 
-    x = F.struct(body.alias("s"), alphabet.alias("letters"), F.split(body, "").alias("chars"))
-    return _let(_let(_let(x, stats), moments), decide)
+    def told(k: Column) -> Column:
+        x = F.struct(body.alias("s"), F.element_at(alphabets, k + 1).alias("letters"), F.split(body, "").alias("chars"))
+        return _let(_let(_let(x, stats), moments), lambda m: decide(m).withField("encoding", k))
+
+    return _let(encoding, told)
 
 
 def candidates(text: Column, base: Column) -> Column:
     """Array of (start, end, band, level, random) of the strings that overlap no base span."""
-    band = lambda m: sum((F.when(m["end"] - m["start"] >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
+    longer = lambda m: sum((F.when(m["end"] - m["start"] >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
     free = F.filter(located(text, CANDIDATE), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.transform(free, lambda m: _let(tested(m["match"]), lambda t: F.struct(m["start"], m["end"], band(m).alias("band"), t["level"], t["random"])))
+    return F.transform(free, lambda m: _let(tested(m["match"]), lambda t: F.struct(m["start"], m["end"], (t["encoding"] * len(BANDS) + longer(m)).alias("band"), t["level"], t["random"])))
 
 
 def discoveries(counts: dict[tuple[int, int], int], fdr: float) -> list[int]:
-    """For each band the least level that is a discovery, by counts of (band, level)."""
+    """For each encoding and band of length the least level that is a discovery, by counts of (band, level)."""
     least = []
-    for band in range(len(BANDS)):
+    for band in range(len(ENCODINGS) * len(BANDS)):
         total, reached, found = sum(n for (b, _), n in counts.items() if b == band), 0, LEVELS + 1
         for level in range(LEVELS, -1, -1):
             reached += counts.get((band, level), 0)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -47,7 +48,7 @@ def test_discoveries_follow_the_rule():
     counts = {(0, 0): 90, (0, 10): 9, (0, 40): 5}
     least = secrets.discoveries(counts, 0.05)[0]
     assert 10 < least <= 40 and 104 * 10 ** (-least / 10) <= 0.05 * 5 < 104 * 10 ** (-(least - 1) / 10)
-    assert secrets.discoveries({}, 0.05) == [secrets.LEVELS + 1] * len(secrets.BANDS)
+    assert secrets.discoveries({}, 0.05) == [secrets.LEVELS + 1] * len(secrets.BANDS) * len(secrets.ENCODINGS)
 
 
 def test_odd_rows(spark):
@@ -79,3 +80,45 @@ def test_keys_of_every_encoding_among_ordinary_candidates(spark):
     for k in kinds:
         own = [found[i] for i, (kind, _) in enumerate(keys) if kind == k]
         assert sum(own) >= 0.8 * len(own), (k, own)
+
+
+def test_added_spans_are_those_of_plain_python(spark):
+    """The battery, the likelihood and the rule again, with loops."""
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choice(a) for _ in range(r.randint(18, 60))) if r.random() < 0.3 else r.choice(["house", "some-thing_else", "a/b/c/defghijklmnopqrstuvwxyz", "THE_LONG_NAME_OF_IT", "x" * 30, "1234567890" * 3]) for _ in range(12)), "en", "s", 1)
+            for i in range(150) for a in [[string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, "0123456789ABCDEF", string.ascii_uppercase + "234567"][i % 4]]]
+    tail = lambda z: 0.5 * math.erfc(min(z, 37.0) / math.sqrt(2))
+
+    def judged(s):
+        k = next(k for k, (p, _) in enumerate(secrets.ENCODINGS) if re.search(p, s))
+        letters = secrets.ENCODINGS[k][1]
+        n, size = len(s), len(letters)
+        x = [letters.index(c) + 1 if c in letters else 0 for c in s]
+        chi = size / n * sum(s.count(c) ** 2 for c in set(s)) - n
+        even = tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))
+        up = [v > size / 2 for v in x]
+        expected = 2 * sum(up) * (n - sum(up)) / n + 1
+        spread = (expected - 1) * (expected - 2) / (n - 1)
+        turns = 1 + sum(a != b for a, b in zip(up, up[1:]))
+        p_runs = min(1, 2 * tail(abs(turns - expected) / math.sqrt(max(spread, 1e-9)))) if spread > 0 else 0
+        below = n * sum(v * v for v in x) - sum(x) ** 2
+        corr = (n * sum(a * b for a, b in zip(x, x[1:] + x[:1])) - sum(x) ** 2) / max(below, 1e-9)
+        p_serial = min(1, 2 * tail(abs(corr + 1 / (n - 1)) * (n - 1) * math.sqrt(n - 2) / n)) if below > 0 else 0
+        kinds = [0 if c in secrets.LOWER else 1 if c in secrets.UPPER else 2 if c in secrets.DIGITS else 3 for c in s]
+        text = math.log10(1 / 4) + sum(math.log10(secrets.WITHIN[secrets.SYMBOLS.index(c)]) for c in s) + sum(math.log10(secrets.NEXT[a][b]) for a, b in zip(kinds, kinds[1:]))
+        level = max(0, min(secrets.LEVELS, math.floor((-n * math.log10(size) - text) * 10)))
+        return 3 * min(even, p_runs, p_serial) >= secrets.REFUTED, level, k
+
+    found, counts = [], {}
+    for i, text, *_ in rows:
+        for m in re.finditer(secrets.CANDIDATE, text):
+            if any(a < m.end() and m.start() < b for a, _, b in brute(text)):
+                continue
+            ok, level, k = judged(m[0].rstrip("="))
+            band = k * len(secrets.BANDS) + sum(len(m[0]) >= b for b in secrets.BANDS[1:])
+            counts[band, level] = counts.get((band, level), 0) + 1
+            found.append((i, m.start(), m.end(), band, level, ok))
+    least = secrets.discoveries(counts, secrets.FDR)
+    want = {(i, a, b) for i, a, b, band, level, ok in found if ok and level >= least[band]}
+    got = {(x.doc_id, s.start, s.end) for x in secrets.scanned(documents(spark, rows)).collect() for s in x.spans if s.kind == "random"}
+    assert len(want) > 100 and got == want
