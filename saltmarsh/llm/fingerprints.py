@@ -10,12 +10,13 @@ blocks; there is a table for each choice of three, keyed by those bits moved to
 counts in the first of them only. Only DataFrame operations are used.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero. Equal texts have equal fingerprints, rows
-alike are found as often as they occur. An empty table gives an empty result. Columns of docs other than a replaced
+alike are found as often as they occur. Ids are taken as integers; what isn't one counts as null. Texts are read whole, of any length. An empty table gives an empty result. Columns of docs other than a replaced
 one pass through.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -103,37 +104,58 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
     return met.select("q", "fp", F.bit_count(differ).alias("bits"))
 
 
-def _bucket(key: Column, splits: list[int], low: int, high: int) -> Column:
-    """Number of the last split that isn't above the key, by halves."""
-    if high - low == 1:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key < splits[mid], _bucket(key, splits, low, mid)).otherwise(_bucket(key, splits, mid, high))
+#: Rows of a range that is sorted by one task, about; what is drawn for each of them to set its bounds.
+ROWS_A_RANGE, DRAWN = 4_000, 12
+#: Letters by which rows of equal ids are put into ranges; within one, whole texts are compared.
+CUT = 64
 
 
-#: Ranges of ids at most; each is sorted by one task.
-MOST_RANGES = 4096
+def _place(key: Column, tie: Column, splits: Column, n: int) -> Column:
+    """Number of the last of n ordered splits (key, tie) that isn't above the pair, by halves."""
+    above = lambda s: (key < s["key"]) | ((key == s["key"]) & (tie < s["tie"]))
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
 
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        down = above(F.get(splits, mid))
+        low, high = F.when(down, s["low"]).otherwise(mid), F.when(down, mid).otherwise(s["high"])
+        return F.when(s["high"] - s["low"] > 1, F.struct(low.alias("low"), high.alias("high"))).otherwise(s)
 
-def with_next(docs: DataFrame, values: list[str], *, order: str, ties: str, buckets: int | None = None) -> DataFrame:
-    """Adds next_<value>: the values of the next row in the order of an integer column (null first; equal ones by `ties`); after the last, of the first.
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve, lambda s: s["low"])
 
-    Ranges of ids are sorted apart. Their bounds are ids that occur, so a range's first rows are known beforehand, and a copy of them is
-    dealt to the range before as well. The rows cross the network once.
+
+def with_next(docs: DataFrame, values: list[str], *, order: str, ties: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """Adds next_<value>: the values of the next row in the order of an integer column (null first; equal ones by the string column
+    `ties`); after the last, of the first.
+
+    Ranges of some rows each are sorted apart; an id, or null, that many rows share is cut by the beginnings of `ties`. Bounds are pairs that
+    occur, drawn by hash, some for each range, so a range's first rows are known beforehand, and a copy of them is
+    dealt to the range before as well. The rows cross the network once; a range is a task.
     """
     key = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)).cast("long"))
-    n = min(MOST_RANGES, buckets or 2 * shuffle_partitions(docs.sparkSession))
-    found = docs.agg(F.percentile_approx(key, [k / n for k in range(n)], 20 * n).alias("at"), F.min(key).alias("least")).first()
-    splits = sorted({*(found["at"] or []), found["least"] if found["least"] is not None else 0})
-    at = F.array(*[F.lit(s).cast("long") for s in splits])
-    rows = docs.withColumns({"__key": key}).withColumn("__in", _bucket(F.col("__key"), splits, 0, len(splits)))
+    tie = F.coalesce(F.substring(ties, 1, CUT), F.lit(""))
+    keys = docs.select(key.alias("key"), tie.alias("tie"))
+    rows = keys.count()
+    ranges = max(1, -(-rows // rows_a_range))
+    every = max(1, rows // (ranges * DRAWN))
+    drawn = sorted({(r.key, r.tie) for r in keys.where(F.pmod(F.xxhash64("key", "tie"), F.lit(every)) == 0).collect()}) if ranges > 1 else []  # DRAWN for each range, about
+    first = keys.orderBy("key", "tie").limit(1).collect()  # a row, so that the first range begins with one
+    splits = sorted({*((r.key, r.tie) for r in first), *(drawn[k] for k in range(len(drawn) // ranges, len(drawn), max(1, -(-len(drawn) // ranges))))})
+    n = len(splits)
+    if not n:
+        return docs.withColumns({f"next_{v}": F.col(v) for v in values})
+    # one literal, whatever its length, and not an expression for each split
+    listed = F.from_json(F.lit(json.dumps([{"key": a, "tie": b} for a, b in splits])), "array<struct<key:long,tie:string>>")
+    rows = docs.withColumns({"__key": key, "__tie": tie}).withColumn("__in", _place(F.col("__key"), F.col("__tie"), listed, n))
     own = F.struct(F.col("__in").alias("range"), F.lit(False).alias("guest"))
-    before = F.struct(F.pmod(F.col("__in") - 1, F.lit(len(splits))).alias("range"), F.lit(True).alias("guest"))
-    begins = F.element_at(at, F.col("__in") + 1) == F.col("__key")
+    before = F.struct(F.pmod(F.col("__in") - 1, F.lit(n)).alias("range"), F.lit(True).alias("guest"))
+    at = F.get(listed, F.col("__in"))
+    begins = (at["key"] == F.col("__key")) & (at["tie"] == F.col("__tie"))
     rows = rows.withColumn("__to", F.explode(F.when(begins, F.array(own, before)).otherwise(F.array(own)))).withColumn("__range", F.col("__to.range"))
+    rows = rows.repartition(max(n, shuffle_partitions(docs.sparkSession)), "__range")
     w = W.partitionBy("__range").orderBy("__to.guest", "__key", ties)
     rows = rows.withColumns({f"next_{v}": F.lead(v).over(w) for v in values}).where("not __to.guest")
-    return rows.drop("__key", "__in", "__to", "__range")
+    return rows.drop("__key", "__tie", "__in", "__to", "__range")
 
 
 def edited(text: Column, following: Column) -> Column:
