@@ -1,135 +1,163 @@
 """Digit runs: numerals and number words, next to each other, as one string of digits with its place and shape.
 
-A text is cut into tokens; each becomes chunks of digits, or a break. Chunks of a token and its neighbours are looked at in
-one array: a break is an element without digits, so a neighbour beyond it counts as none.
+A text is cut into tokens; each becomes chunks of digits, or a break. Whether a chunk takes part hangs on its neighbours, and a multiplier
+on the token before, so this is a small machine over tokens. It runs in Arrow batches over the texts that have a digit or the letters
+of a number word; all other rows reach the worker as null.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from saltmarsh.functions.spans import empty, let
+from saltmarsh.functions.spans import empty
 from saltmarsh.lexicons import AMBIGUOUS_WORDS, HIGH_RISK_AMBIGUOUS, MULTIPLIERS, NUM_WORDS
 
-SEP = r"\s_\-.,;:"
-RUN = "array<struct<digits:string,start:int,end:int,word_n:int,num_n:int,seps:array<string>,mixed:boolean>>"
-CHUNK = "array<struct<digits:string,word:boolean,start:int,end:int,sep:string,amb:boolean,risk:boolean,many:boolean>>"
+SEP = r" \t\n\r\f\v_\-.,;:"
+#: start and end are places in the text that runs are looked for in; raw_start and raw_end those in the message (see placed()).
+RUN = "array<struct<digits:string,start:int,end:int,word_n:int,num_n:int,seps:array<string>,mixed:boolean,raw_start:int,raw_end:int>>"
 # Names of separators, in the order in which they are looked for.
-SEPARATORS = [(r"\s", "space"), ("-", "dash"), (r"\.", "dot"), ("_", "underscore"), (",", "comma"), (":", "colon"), (";", "semicolon")]
-
-
-def _lookup(table: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
-
-
-def tokens(text: Column, compat: bool = False) -> Column:
-    """Array of (sep, text, start, end). Unless compat, punctuation at a token's edges belongs to neither side."""
-    piece = rf"([{SEP}]*)([^{SEP}]+)"
-    seps, words = (F.regexp_extract_all(text, F.lit(piece), F.lit(k)) for k in (1, 2))
-    zero = F.struct(F.lit(0).alias("at"), empty("array<struct<sep:string,text:string,start:int,end:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["sep"])
-        end = start + F.length(x["text"])
-        lead = F.lit(0) if compat else F.length(F.regexp_extract(x["text"], r"^[^\p{L}\p{M}\p{N}\p{Sc}]*", 0))
-        core = x["text"] if compat else F.regexp_replace(x["text"], r"^[^\p{L}\p{M}\p{N}\p{Sc}]+|[^\p{L}\p{M}\p{N}]+$", "")
-        token = F.struct(x["sep"].alias("sep"), core.alias("text"), (start + lead).alias("start"), (start + lead + F.length(core)).alias("end"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(token)).alias("out"))
-
-    pairs = F.zip_with(seps, words, lambda a, b: F.struct(a.alias("sep"), b.alias("text")))
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
-
-
-def _letters(token: Column) -> Column:
-    return F.regexp_replace(F.lower(token["text"]), r"[^\p{L}\p{M}]", "")
-
-
-def _chunk(token: Column, digits: Column, word: bool, key: Column | None, many: Column, sep: Column) -> Column:
-    member = lambda names: key.isin(*names) if key is not None else F.lit(False)
-    return F.struct(
-        digits.alias("digits"), F.lit(word).alias("word"), token["start"].alias("start"), token["end"].alias("end"), sep.alias("sep"),
-        member(AMBIGUOUS_WORDS).alias("amb"), member(HIGH_RISK_AMBIGUOUS).alias("risk"), many.alias("many"),
-    )
-
-
-def chunks(text: Column, compat: bool = False) -> Column:
-    """Array of chunks in order; one without digits is a break. A multiplier acts on the token after it and is itself left out."""
-    none = F.lit(None)
-
-    def of_token(x: Column) -> Column:
-        token, times = x["token"], x["times"]
-        lower, key = F.lower(token["text"]), _letters(token)
-        word = _lookup(NUM_WORDS, key)
-        n, many = F.coalesce(times, F.lit(1)), times.isNotNull()
-        glued = lower.rlike(r"^([a-z]+[0-9]+|[0-9]+[a-z]+)$")
-        digit_part = F.regexp_replace(lower, "[^0-9]", "")
-        numeral = F.array(_chunk(token, F.repeat(lower, n), False, None, many, token["sep"]))
-        worded = F.array(_chunk(token, F.repeat(word, n), True, key, many, token["sep"]))
-        tail = _chunk(token, digit_part, False, None, F.lit(False), token["sep"])
-        first = _chunk(token, word, True, key, many, token["sep"])
-        gap = F.struct(none.cast("string").alias("digits"), F.lit(False).alias("word"), token["start"].alias("start"), token["end"].alias("end"), token["sep"].alias("sep"),
-                       F.lit(False).alias("amb"), F.lit(False).alias("risk"), F.lit(False).alias("many"))
-        split = F.when(lower.rlike("^[a-z]"), F.array(first, tail.withField("sep", F.lit("")))).otherwise(F.array(tail, first.withField("sep", F.lit(""))))
-        out = F.when(lower.rlike("^[0-9]+$"), numeral)
-        if not compat:
-            out = out.when(glued & word.isNotNull(), split)
-        return out.when(word.isNotNull(), worded).when(glued, F.array(tail)).otherwise(F.array(gap)).cast(CHUNK)
-
-    def all_of(found: Column) -> Column:
-        times = lambda t: _lookup(MULTIPLIERS, _letters(t))
-        before = F.concat(F.array(none.cast("int")), F.slice(F.transform(found, times), F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))))
-        paired = F.zip_with(found, before, lambda t, n: F.struct(t.alias("token"), n.alias("times"), times(t).isNotNull().alias("multiplier")))
-        return F.flatten(F.transform(F.filter(paired, lambda p: p["token"].isNotNull() & ~p["multiplier"]), of_token))
-
-    return let(tokens(text, compat), all_of)
-
-
-def _accepted(c: Column, i: Column, all_: Column) -> Column:
-    """Whether a chunk takes part: an ambiguous word only between chunks that look dictated."""
-    neighbour = lambda k: F.when((k >= 0) & (k < F.size(all_)), F.get(all_, k))
-    prev, nxt = neighbour(i - 1), neighbour(i + 1)
-    there = lambda n: F.coalesce(n["digits"].isNotNull(), F.lit(False))
-    dictated = lambda n: there(n) & ((F.length(n["digits"]) == 1) | n["many"])
-    calm = (there(prev) | there(nxt)) & (~there(prev) | dictated(prev)) & (~there(nxt) | dictated(nxt))
-    return c["digits"].isNotNull() & (~c["amb"] | F.when(c["risk"], dictated(prev) & dictated(nxt)).otherwise(calm))
+SEPARATORS = [(" \t\n\r\f\v", "space"), ("-", "dash"), (".", "dot"), ("_", "underscore"), (",", "comma"), (":", "colon"), (";", "semicolon")]
+PIECE = re.compile(rf"([{SEP}]*)([^{SEP}]+)")
+NUMERAL, GLUED = re.compile("[0-9]+"), re.compile("(?:[a-z]+[0-9]+|[0-9]+[a-z]+)")
+AMBIGUOUS, RISKY = frozenset(AMBIGUOUS_WORDS), frozenset(HIGH_RISK_AMBIGUOUS)
+#: Texts that can have a run at all.
+LIKELY = "[0-9]|" + "|".join(dict.fromkeys(NUM_WORDS))
+
+
+class Chunk(NamedTuple):
+    """Digits of a token, or a break if it has none; the word that they are read from, if any, and whether a multiplier repeats them."""
+
+    digits: str | None
+    start: int
+    end: int
+    sep: str
+    word: str | None = None
+    many: bool = False
+
+    @property
+    def dictated(self) -> bool:
+        return self.digits is not None and (len(self.digits) == 1 or self.many)
+
+
+@lru_cache(maxsize=1 << 14)
+def _kind(c: str) -> str:
+    return unicodedata.category(c)
+
+
+def _core(token: str) -> tuple[int, str]:
+    """The token without marks at its edges, and how many went before; a currency sign before stays."""
+    a, b = 0, len(token)
+    while a < b and _kind(token[a])[0] not in "LMN" and _kind(token[a]) != "Sc":
+        a += 1
+    while b > a and _kind(token[b - 1])[0] not in "LMN":
+        b -= 1
+    return a, token[a:b]
+
+
+def tokens(text: str, compat: bool = False) -> list[tuple[str, str, int]]:
+    """(separator before, token, start). Unless compat, marks at a token's edges belong to neither side."""
+    out = []
+    for m in PIECE.finditer(text):
+        lead, core = (0, m[2]) if compat else _core(m[2])
+        out.append((m[1], core, m.start(2) + lead))
+    return out
+
+
+def chunks(text: str, compat: bool = False) -> list[Chunk]:
+    """Chunks in order. A multiplier acts on the token after it and is itself left out."""
+    out: list[Chunk] = []
+    times = None
+    for sep, token, start in tokens(text, compat):
+        lower, end = token.lower(), start + len(token)
+        if NUMERAL.fullmatch(lower):
+            out.append(Chunk(lower * (times or 1), start, end, sep, None, times is not None))
+            times = None
+            continue
+        key = lower if lower.isalpha() else "".join(c for c in lower if _kind(c)[0] in "LM")
+        if key in MULTIPLIERS:
+            times = MULTIPLIERS[key]
+            continue
+        word, glued, many = NUM_WORDS.get(key), GLUED.fullmatch(lower), times is not None
+        if glued and word is not None and not compat:
+            number = Chunk(re.sub("[^0-9]", "", lower), start, end, sep)
+            spelled = Chunk(word, start, end, sep, key, many)
+            first, second = (spelled, number) if lower[0].isalpha() else (number, spelled)
+            out += [first, second._replace(sep="")]
+        elif word is not None:
+            out.append(Chunk(word * (times or 1), start, end, sep, key, many))
+        elif glued:
+            out.append(Chunk(re.sub("[^0-9]", "", lower), start, end, sep))
+        else:
+            out.append(Chunk(None, start, end, sep))
+        times = None
+    return out
+
+
+def _accepted(chunk: Chunk, before: Chunk | None, after: Chunk | None) -> bool:
+    """Whether a chunk takes part: an ambiguous word only beside chunks that look dictated."""
+    if chunk.digits is None or chunk.word not in AMBIGUOUS:
+        return chunk.digits is not None
+    beside = [c for c in (before, after) if c is not None and c.digits is not None]
+    if chunk.word in RISKY:
+        return len(beside) == 2 and all(c.dictated for c in beside)
+    return bool(beside) and all(c.dictated for c in beside)
+
+
+def _shape(group: list[Chunk]) -> tuple:
+    kinds: list[str] = []
+    for c in group[1:]:
+        found = [name for chars, name in SEPARATORS if any(x in c.sep for x in chars)] or ["none"]
+        kinds += [k for k in found if k not in kinds]
+    n = sum(c.word is not None for c in group)
+    start, end = group[0].start, group[-1].end
+    return "".join(c.digits for c in group), start, end, n, len(group) - n, kinds, 0 < n < len(group), start, end
+
+
+def found(text: str | None, least: int = 1, compat: bool = False) -> list[tuple]:
+    """Digit runs of at least that many digits; one of ambiguous words alone is none."""
+    if text is None:
+        return []
+    every = chunks(text, compat)
+    out, group = [], []
+    for k, c in enumerate([*every, None]):
+        if c is not None and _accepted(c, every[k - 1] if k else None, every[k + 1] if k + 1 < len(every) else None):
+            group.append(c)
+            continue
+        if any(g.word not in AMBIGUOUS for g in group):
+            out.append(_shape(group))
+        group = []
+    return [r for r in out if len(r[0]) >= least]
+
+
+FIELDS = ("digits", "start", "end", "word_n", "num_n", "seps", "mixed", "raw_start", "raw_end")
 
 
 def runs(text: Column, least: int = 1, compat: bool = False) -> Column:
-    """Digit runs of at least that many digits; a run of ambiguous words alone is none."""
-    none = empty("array<struct<digits:string,word:boolean,start:int,end:int,sep:string,amb:boolean,risk:boolean,many:boolean>>")
-    state = F.struct(none.alias("now"), F.array().cast(f"array<{CHUNK}>").alias("done"))
-
-    def step(s: Column, c: Column) -> Column:
-        grown = F.struct(F.concat(s["now"], F.array(c["chunk"])).alias("now"), s["done"].alias("done"))
-        closed = F.struct(none.alias("now"), F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"))
-        return F.when(c["ok"], grown).otherwise(closed)
+    """Digit runs of a column of texts, as found() has them."""
 
-    def finish(s: Column) -> Column:
-        return F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+    @F.pandas_udf(RUN)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(FIELDS, r)) for r in found(t, least, compat)] if t is not None else None for t in s], dtype=object)
 
-    def shape(g: Column) -> Column:
-        later = F.transform(F.slice(g, F.lit(2), F.greatest(F.size(g) - 1, F.lit(0))), lambda c: c["sep"])
-        kinds = F.transform(later, lambda x: let(F.filter(F.array(*[F.when(x.rlike(p), F.lit(n)) for p, n in SEPARATORS]), lambda k: k.isNotNull()), lambda f: F.when(F.size(f) == 0, F.array(F.lit("none"))).otherwise(f)))
-        words = F.size(F.filter(g, lambda c: c["word"]))
-        return F.struct(
-            F.array_join(F.transform(g, lambda c: c["digits"]), "").alias("digits"), F.element_at(g, 1)["start"].alias("start"), F.element_at(g, -1)["end"].alias("end"),
-            words.alias("word_n"), (F.size(g) - words).alias("num_n"), F.array_distinct(F.flatten(kinds)).alias("seps"), ((words > 0) & (words < F.size(g))).alias("mixed"),
-        )
+    return F.coalesce(run(F.when(F.lower(text).rlike(LIKELY), text)), empty(RUN))
 
-    def grouped(all_: Column) -> Column:
-        marked = F.transform(all_, lambda c, i: F.struct(c.alias("chunk"), _accepted(c, i, all_).alias("ok")))
-        groups = F.aggregate(marked, state, step, finish)
-        certain = F.filter(groups, lambda g: F.exists(g, lambda c: ~c["amb"]))
-        return F.filter(F.transform(certain, shape), lambda r: F.length(r["digits"]) >= least).cast(RUN)
 
-    return let(chunks(text, compat), grouped)
+def placed(found_: Column, place) -> Column:
+    """Runs with raw_start and raw_end by place(run), a struct of start and end."""
+    return F.transform(found_, lambda r: r.withField("raw_start", place(r)["start"]).withField("raw_end", place(r)["end"]))
 
 
-def digitized(text: Column, found: Column) -> Column:
+def digitized(text: Column, found_: Column) -> Column:
     """The text with each run replaced by its digits."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda s, r: F.struct(
         r["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, r["start"] - s["at"]), r["digits"]).alias("out")
     )
-    return F.aggregate(found, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.aggregate(found_, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -23,14 +24,48 @@ def escaped(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):X}}}" for c in chars)
 
 
-def nfkc(text: Column) -> Column:
-    """Compatibility form. Rows of ASCII alone reach the Python worker as null and keep their text."""
+SEEN = "form string, starts array<int>, ends array<int>, nfkc_starts array<int>, nfkc_ends array<int>"
+_HIDDEN = re.compile(INVISIBLE)
+
+
+def _pieces(text: str) -> list[tuple[int, int, str]]:
+    """The text cut before each character that doesn't combine with what is before it, and the compatibility form of each piece."""
+    cuts = [k for k, c in enumerate(text) if k == 0 or not (unicodedata.combining(c) or 0x1160 <= ord(c) <= 0x11FF)] + [len(text)]
+    pieces = [(a, b, unicodedata.normalize("NFKC", text[a:b])) for a, b in zip(cuts, cuts[1:])]
+    whole = unicodedata.normalize("NFKC", text)
+    return pieces if "".join(p for *_, p in pieces) == whole else [(0, len(text), whole)]
+
+
+def seen(text: str | None) -> tuple:
+    """The compatibility form, and for each character of the folded and the visible view where what it was made of begins and ends; null
+    where that is its own place throughout."""
+    if text is None:
+        return None, None, None, None, None
+    pieces = _pieces(text)
+    visible_, folded_ = [], []
+    for a, b, p in pieces:
+        for c in p:
+            if not _HIDDEN.match(c):
+                visible_.append((a, b))
+                folded_ += [(a, b)] * len(CONFUSABLES.get(c, c).lower())
+    if folded_ == visible_ and all(x == (k, k + 1) for k, x in enumerate(folded_)) and len(folded_) == len(text):
+        return "".join(p for *_, p in pieces), None, None, None, None
+    return "".join(p for *_, p in pieces), [a for a, _ in folded_], [b for _, b in folded_], [a for a, _ in visible_], [b for _, b in visible_]
+
 
-    @F.pandas_udf("string")
-    def form(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+def nfkc_seen(text: Column) -> Column:
+    """The compatibility form with places, as seen() gives them. Rows of ASCII alone reach the Python worker as null and come back as null."""
 
-    return F.coalesce(form(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    @F.pandas_udf(SEEN)
+    def form(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([seen(t) for t in s], columns=["form", "starts", "ends", "nfkc_starts", "nfkc_ends"])
+
+    return form(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility form."""
+    return F.coalesce(nfkc_seen(text)["form"], text)
 
 
 def visible(text: Column) -> Column:
@@ -59,13 +94,14 @@ def _deleet_token(token: Column) -> Column:
 
 def deleet(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit(r"\S+|\s+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda t: F.when(_deleet_token(t), F.translate(t, "".join(LEET), "".join(LEET.values()))).otherwise(t)), "")
+    changed = F.array_join(F.transform(parts, lambda t: F.when(_deleet_token(t), F.translate(t, "".join(LEET), "".join(LEET.values()))).otherwise(t)), "")
+    return F.when(text.rlike(f"[{escaped(''.join(LEET))}]"), changed).otherwise(text)
 
 
 def leet_count(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
     n = F.transform(tokens, lambda t: F.when(_deleet_token(t), F.regexp_count(t, F.lit(f"[{escaped(''.join(LEET))}]"))).otherwise(0))
-    return F.aggregate(n, F.lit(0), lambda a, b: a + b)
+    return F.when(text.rlike(f"[{escaped(''.join(LEET))}]"), F.aggregate(n, F.lit(0), lambda a, b: a + b)).otherwise(F.when(text.isNotNull(), 0))
 
 
 NOISE = r"(?<=\p{L})[0-9]{1,3}(?=\p{L})"
@@ -91,11 +127,22 @@ def denoised_offsets(text: Column) -> Column:
 
 
 def with_views(df: DataFrame, text: str = "text", *, compat: bool = False, ascii_only: bool = False) -> DataFrame:
-    """Adds nfkc, folded, deleet, denoised and the counters zero_width, confusables, leet and noise. ascii_only leaves out the
+    """Adds nfkc, folded, deleet, denoised, the counters zero_width, confusables, leet and noise, and places: raw_at (as nfkc_seen() gives it)
+    and noise_at (of the denoised view's characters in the folded one; null without noise). ascii_only leaves out the
     Python step, for texts that are known to be in compatibility form."""
     source = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("nfkc_raw", source if ascii_only else nfkc(source))
+    df = df.withColumn("raw_at", F.lit(None).cast(f"struct<{SEEN.replace(' ', ':').replace(',:', ',')}>") if ascii_only else nfkc_seen(source))
+    df = df.withColumn("nfkc_raw", F.coalesce(F.col("raw_at.form"), source))
     df = df.withColumn("nfkc", visible(F.col("nfkc_raw"))).withColumn("zero_width", F.length("nfkc_raw") - F.length("nfkc"))
     df = df.withColumns({"folded": folded(F.col("nfkc")), "confusables": confusables(F.col("nfkc"), compat)})
     df = df.withColumns({"deleet": deleet(F.col("folded")), "leet": leet_count(F.col("folded")), "denoised": denoised(F.col("folded"))})
-    return df.withColumn("noise", F.length("folded") - F.length("denoised")).drop("nfkc_raw")
+    df = df.withColumn("noise", F.length("folded") - F.length("denoised"))
+    return df.withColumn("noise_at", F.when(F.col("noise") > 0, denoised_offsets(F.col("folded")))).drop("nfkc_raw")
+
+
+def raw_place(run: Column) -> Column:
+    """Start and end in the text of a span of the denoised view; rows have raw_at and noise_at."""
+    start, end = F.get("noise_at", run["start"]), F.get("noise_at", run["end"] - 1) + 1
+    start, end = (F.when(F.col("noise_at").isNull(), run[k]).otherwise(v) for k, v in (("start", start), ("end", end)))
+    starts, ends = F.col("raw_at.starts"), F.col("raw_at.ends")
+    return F.struct(F.when(starts.isNull(), start).otherwise(F.get(starts, start)).alias("start"), F.when(starts.isNull(), end).otherwise(F.get(ends, end - 1)).alias("end"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,16 +40,57 @@ def located(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
-def alternation(terms: Iterable[str]) -> str:
-    """A pattern for whole terms, the longest first; an edge that is no letter or digit needs no boundary.
+def alternation(terms: Iterable[str], whole: bool = True) -> str:
+    """A pattern for whole terms, the longest first; an edge that is no letter or digit needs no boundary, and none does unless whole.
 
-    Terms with the same kind of edges share their lookarounds, so that most places of a text fail at once.
+    Neighbours in that order with the same kind of edges share their lookarounds, so that most places of a text fail at once.
     """
-    kinds: dict[tuple[bool, bool], list[str]] = {}
-    for t in sorted(dict.fromkeys(terms), key=len, reverse=True):
-        kinds.setdefault((t[0].isalnum(), t[-1].isalnum()), []).append(re.sub(r"([.*+?^${}()|\[\]\\/])", r"\\\1", t))
+    ordered = sorted(dict.fromkeys(terms), key=len, reverse=True)
     before, after = {True: r"(?<![\p{L}\p{N}])", False: ""}, {True: r"(?![\p{L}\p{N}])", False: ""}
-    return "(?:" + "|".join(f"{before[a]}(?:{'|'.join(ts)}){after[b]}" for (a, b), ts in kinds.items()) + ")"
+    parts = []
+    for (a, b), some in groupby(ordered, key=lambda t: (whole and t[0].isalnum(), whole and t[-1].isalnum())):
+        parts.append(f"{before[a]}(?:{'|'.join(re.sub(r'([.*+?^${}()|\[\]\\/])', r'\\\1', t) for t in some)}){after[b]}")
+    return "(?:" + "|".join(parts) + ")"
+
+
+def terms_in(text: Column, terms: Iterable[str], whole: bool = True) -> Column:
+    """Where terms are, on whole words unless told otherwise. Of those that begin at one place the longest counts, and one inside another is
+    left out; such as overlap in part all stay. A pattern that takes no letters is found at each beginning."""
+    pattern = alternation(terms, whole)
+    at = f"(?={pattern})"
+
+    def place(found: Column) -> Column:
+        pieces = F.split(text, at, -1)  # without an empty piece if the first hit is at 0
+        shift = F.size(pieces) - F.size(found)
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("reach"), empty(HIT).alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + x["gap"]
+            end = start + F.length(x["match"])
+            hit = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
+            return F.struct(start.alias("at"), F.greatest(s["reach"], end).alias("reach"), F.when(end > s["reach"], F.concat(s["out"], hit)).otherwise(s["out"]).alias("out"))
+
+        gaps = F.transform(pieces, lambda g: F.length(g))
+        gaps = F.when(shift == 0, F.concat(F.array(F.lit(0)), gaps)).otherwise(gaps)
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        return F.aggregate(pairs, zero, step, lambda s: s["out"])
+
+    # the cheaper question first: most texts have no term
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)), place)).otherwise(empty(HIT))
+
+
+def kept_longest(spans: Column) -> Column:
+    """Spans in order of start, then falling end, without those inside one before; of equal ones the first in order stays."""
+    keyed = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s"))))
+    reach = lambda i: F.array_max(F.transform(F.slice(keyed, F.lit(1), i), lambda k: -k["b"]))
+    kept = F.filter(keyed, lambda k, i: (i == 0) | (reach(i) < -k["b"]))
+    return F.transform(kept, lambda k: k["s"])
+
+
+def moved(detections: Column, starts: Column, ends: Column) -> Column:
+    """Detections with offsets of a view, as ones of the text: starts and ends have each character's, and are null where views have the text's."""
+    place = lambda d: d.withField("start", F.get(starts, d["start"])).withField("end", F.get(ends, d["end"] - 1))
+    return F.when(starts.isNull(), detections).otherwise(F.transform(detections, place))
 
 
 def ascii_words(pattern: str) -> str:
