@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +23,21 @@ ASK = ascii_words(r"\b(?:send|give|share|drop|have|whats|what is|bhej|de do)\b")
 HARD = ("contact.phone", "contact.phone.obfuscated", "contact.url.messenger")
 
 
-def count(prefix: str) -> Column:
-    return F.size(F.filter("detections", lambda d: d["type"].startswith(prefix)))
+def count(prefix: str, detections: str = "detections") -> Column:
+    return F.size(F.filter(detections, lambda d: d["type"].startswith(prefix)))
+
+
+def has(*kinds: str, detections: str = "detections") -> Column:
+    return F.exists(detections, lambda d: d["type"].isin(*kinds))
 
 
-def has(*kinds: str) -> Column:
-    return F.exists("detections", lambda d: d["type"].isin(*kinds))
+_count, _has = count, has
 
 
-def with_score(df: DataFrame, config: RiskConfig | None = None) -> DataFrame:
-    """Adds terms (by name), contact, safety, score and band. Rows have text, detections, runs, zero_width, confusables, noise,
+def with_score(df: DataFrame, config: RiskConfig | None = None, detections: str = "detections") -> DataFrame:
+    """Adds terms (by name), contact, safety, score and band. Rows have folded (or else text), detections, runs, zero_width, confusables, noise,
     booking_stage and sender_role; weird_tokens, digit_pressure and session_intent count as 0 where they are missing."""
+    count, has = partial(_count, detections=detections), partial(_has, detections=detections)
     config = config or RiskConfig()
     w, sw = config.weights, config.safetyWeights
     df = df.withColumns({c: F.lit(0.0 if c != "weird_tokens" else 0) for c in ("weird_tokens", "digit_pressure", "session_intent") if c not in df.columns})
@@ -51,9 +57,9 @@ def with_score(df: DataFrame, config: RiskConfig | None = None) -> DataFrame:
         "weirdnessFlags": w["weirdnessFlags"] * F.col("weird_tokens"),
         "intentHits": F.when(total > 0, w["intentHits"] * (total + intents["offplatform"])),
     }
-    asks = F.exists("detections", lambda d: d["type"].startswith("intent.contact") & d["evidence"].rlike(THING) & d["evidence"].rlike(ASK))
+    asks = F.exists(detections, lambda d: d["type"].startswith("intent.contact") & d["evidence"].rlike(THING) & d["evidence"].rlike(ASK))
     proposed = (intents["offplatform"] > 0) | ((intents["channel"] > 0) & (intents["contact"] > 0)) | asks
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("folded" if "folded" in df.columns else "text"), F.lit(""))
     running = F.lit(0.0)
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     for t in terms.values():
@@ -83,12 +89,12 @@ def with_score(df: DataFrame, config: RiskConfig | None = None) -> DataFrame:
     df = df.withColumns({f"__{k}": zero(v) for k, v in (late | late_safe).items()})
     add = lambda names: sum((F.col(f"__{k}") for k in names), F.lit(0.0))
     df = df.withColumns({"contact": F.col("__running") + add(late), "safety": add(late_safe)})
-    factor = F.lit(1.0)
-    for column, values in (("booking_stage", config.modifiers["stage"]), ("sender_role", config.modifiers["role"])):
+    for name, column, values in (("stage_modifier", "booking_stage", config.modifiers["stage"]), ("role_modifier", "sender_role", config.modifiers["role"])):
         chosen = F.lit(1.0)
         for k, v in values.items():
             chosen = F.when(F.col(column) == k, v).otherwise(chosen)
-        factor = factor * chosen
+        df = df.withColumn(name, chosen)
+    factor = F.col("stage_modifier") * F.col("role_modifier")
     raw = F.col("contact") * factor + F.col("safety")
     own = (F.col("contact") - F.col("__digitPressure") - w["intentHits"] * carried) * factor + F.col("safety")
     low, high = config.bands["low"], config.bands["high"]
@@ -107,15 +113,18 @@ def hard_evidence() -> Column:
     return has(*HARD) | (count("contact.email") > 0) | (count("payment.upi") > 0)
 
 
-def with_verdict(df: DataFrame, config: RiskConfig | None = None) -> DataFrame:
+def with_verdict(df: DataFrame, config: RiskConfig | None = None, *, every_review: bool = False) -> DataFrame:
     """Adds verdict, resolved_by, confidence and categories. Columns that may be there: tier4 (allow, block or escalate),
-    tier5 (a struct source, ok, flagged: what the adjudicator said; null where it wasn't asked)."""
+    tier5 (a struct with source, ok, flagged: what the adjudicator said; null where it wasn't asked). With every_review, it also has the last word on
+    what the classifier would allow against hard evidence."""
     config = config or RiskConfig()
     for name, kind in (("tier4", "string"), ("tier5", "struct<source:string,ok:boolean,flagged:boolean>")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
     band, four, five = F.col("band"), F.col("tier4"), F.col("tier5")
-    settled = (band == "escalate") & four.isNotNull() & (four != "escalate")
+    settled = (band == "escalate") & F.coalesce(four != "escalate", F.lit(False))
+    if every_review:
+        settled = settled & ~((four == "allow") & hard_evidence() & five.isNotNull())
     closed = F.lit(False)
     for stage, mode in config.failMode.items():
         closed = F.when(F.col("booking_stage") == stage, F.lit(mode == "closed")).otherwise(closed)
@@ -146,3 +155,20 @@ def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
 
+def signals(df: DataFrame) -> Column:
+    """What led to a verdict, as JSON; what doesn't apply to a row, or isn't a column of df, is left out."""
+    third = lambda c: rounded(F.col(c))
+    evidence = F.array_distinct(F.transform(F.filter("detections", lambda d: d["type"].startswith("intent.")), lambda d: d["evidence"]))
+    parts = {
+        "intent_hits": (["detections"], lambda: evidence), "risk_score": (["score"], lambda: third("score")), "contact_score": (["contact"], lambda: third("contact")),
+        "safety_score": (["safety"], lambda: third("safety")), "contributions": (["terms"], lambda: F.transform_values("terms", lambda _, v: rounded(v))),
+        "stage_modifier": (["stage_modifier"], lambda: F.col("stage_modifier")), "role_modifier": (["role_modifier"], lambda: F.col("role_modifier")),
+        "noise_digits_removed": (["noise"], lambda: F.col("noise")), "zero_width_count": (["zero_width"], lambda: F.col("zero_width")), "confusables_folded": (["confusables"], lambda: F.col("confusables")),
+        "digit_runs": (["runs"], lambda: F.size("runs")), "detections": (["detections"], lambda: F.size("detections")), "weirdness": (["weird_score"], lambda: third("weird_score")),
+        "weird_tokens": (["weird_score", "weird_tokens"], lambda: F.col("weird_tokens")), "cross_message_categories": (["cross_message_categories"], lambda: F.when(F.size("cross_message_categories") > 0, F.col("cross_message_categories"))),
+        "classifier_p": (["probability"], lambda: third("probability")), "classifier_decision": (["tier4"], lambda: F.col("tier4")),
+        "llm_source": (["tier5"], lambda: F.col("tier5.source")), "llm_flagged": (["tier5"], lambda: F.when(F.col("tier5.ok"), F.col("tier5.flagged"))),
+        "digit_pressure": (["pressure_after"], lambda: third("pressure_after")), "session_intent_hits": (["session_intent"], lambda: third("session_intent")), "strikes": (["strikes"], lambda: F.col("strikes")),
+        "merged_fragments": (["merged"], lambda: F.col("merged")),
+    }
+    return F.to_json(F.struct(*[make().alias(name) for name, (needs, make) in parts.items() if set(needs) <= set(df.columns)]))

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A category's beginning and its sentence, the first that fits; and labels of verdicts.
+#: A category's beginning and what is said of it, the first that fits; and labels of verdicts.
 SENTENCES = {
-    "contact.phone": "Looks like a phone number",
-    "contact.email": "Looks like an email address",
-    "contact.handle": "Looks like a social media handle",
-    "contact.url.messenger": "Links to a messaging app",
-    "contact.url.shortener": "Shortened link (destination hidden)",
-    "contact.url.homograph": "Link uses lookalike characters",
-    "contact.url": "Contains a link",
-    "payment.upi": "Looks like a payment ID",
-    "intent.offplatform": "Suggests moving off the platform",
-    "intent.channel": "Names a messaging app",
-    "intent.contact": "Asks for or offers contact info",
-    "intent.payment": "Mentions paying outside the app",
-    "safety.hostility": "Contains hostile language",
-    "safety.extortion": "Reads like a threat tied to a review or refund",
-    "safety.scamlink": "Link paired with urgent or payment language",
+    "contact.phone": "A phone number seems to be in it",
+    "contact.email": "An email address seems to be in it",
+    "contact.handle": "An account on another service seems to be in it",
+    "contact.url.messenger": "A link leads to a messenger",
+    "contact.url.shortener": "A short link hides where it leads",
+    "contact.url.homograph": "A link mixes letters that look alike",
+    "contact.url": "There is a link in it",
+    "payment.upi": "A payment address seems to be in it",
+    "intent.offplatform": "It proposes to go on elsewhere",
+    "intent.channel": "It names another chat service",
+    "intent.contact": "It asks for or offers a way to get in touch",
+    "intent.payment": "It speaks of paying elsewhere",
+    "safety.hostility": "Its wording is hostile",
+    "safety.extortion": "It ties a review or report to a demand",
+    "safety.scamlink": "A link stands beside words of haste or payment",
 }
-LABELS = {"allow": "Sent", "warn": "Sent with a warning", "mask": "Sent with details hidden", "block": "Not delivered", "review": "Held for review"}
+LABELS = {"allow": "Delivered", "warn": "Delivered, with a note", "mask": "Delivered in part", "block": "Held back", "review": "Being checked"}
+# Tones of verdicts.
 TONES = {"allow": "good", "warn": "caution", "mask": "caution", "review": "caution"}
 
 
@@ -51,4 +52,4 @@ def tone(verdict: Column) -> Column:
 def summary(categories: Column, verdict: Column) -> Column:
     first, more = sentence(F.get(categories, F.lit(0))), F.size(categories) - 1
     some = F.when(more > 0, F.concat(first, F.lit(", and "), more.cast("string"), F.lit(" more."))).otherwise(F.concat(first, F.lit(".")))
-    return F.when(verdict == "allow", "Nothing concerning found.").when(F.size(categories) == 0, "Flagged by the risk model.").otherwise(some)
+    return F.when(verdict == "allow", "Nothing found.").when(F.size(categories) == 0, "The score alone is high.").otherwise(some)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from saltmarsh.functions.score import count, has, sigmoid
+from saltmarsh.config import CLASSIFIER
+from saltmarsh.functions import score
+from saltmarsh.functions.score import sigmoid
 
 HASHED = 16_384
+# The named features in the order of the model's first weights.
 DENSE = [
     "validPhone", "partialPhone", "partialLength", "mixedForm", "noiseDigits", "weirdTokens", "intentChannel", "intentContact", "intentOffplatform", "intentPayment",
     "handle", "handleDigits", "upi", "email", "url", "riskyUrl", "zeroWidth", "confusables", "hostility", "extortion", "scamlink", "digitRunCount",
@@ -16,17 +22,28 @@ DENSE = [
 ]
 
 
+@dataclass
+class Classifier:
+    """weights (idx, w): a row for each feature at most, 16,413; and the bounds of its decisions."""
+
+    weights: DataFrame
+    bias: float
+    allow: float = CLASSIFIER["allow"]
+    block: float = CLASSIFIER["block"]
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over code points."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
 
-def dense(df: DataFrame) -> Column:
-    """The named features in order, of rows as score.with_score has them; weird_tokens and digit_pressure are optional."""
+def dense(df: DataFrame, detections: str = "detections") -> Column:
+    """The named features in order, of rows as score.with_score has them; weird_tokens and pressure_after are optional."""
+    count, has = partial(score.count, detections=detections), partial(score.has, detections=detections)
     lengths = F.transform("runs", lambda r: F.length(r["digits"]))
     longest, total = F.coalesce(F.array_max(lengths), F.lit(0)), F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
-    size = F.length("text")
+    size = F.length("folded")
     col = lambda c: F.col(c) if c in df.columns else F.lit(0)
     flag = lambda c: c.cast("double")
     values = {
@@ -38,30 +55,32 @@ def dense(df: DataFrame) -> Column:
         "zeroWidth": F.col("zero_width"), "confusables": F.col("confusables"), "hostility": flag(count("safety.hostility") > 0),
         "extortion": flag(count("safety.extortion") > 0), "scamlink": flag(count("safety.scamlink") > 0), "digitRunCount": F.size("runs"),
         "maxDigitRunLength": longest, "totalDigits": total, "textLength": F.log1p(size), "digitRatio": F.when(size > 0, total / size).otherwise(0.0),
-        "digitPressure": col("digit_pressure"), "isHost": flag(F.col("sender_role") == "host"), "isPostBooking": flag(F.col("booking_stage") == "post_booking"),
+        "digitPressure": col("pressure_after"), "isHost": flag(F.col("sender_role") == "host"), "isPostBooking": flag(F.col("booking_stage") == "post_booking"),
     }
     return F.array(*[values[n].cast("double") for n in DENSE])
 
 
 def hashed_trigrams(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, idx, value): a text's trigrams by hash, of unit length. idx counts from the dense features on."""
+    """(key, idx, value): a text's trigrams by hash, of unit length. idx counts from the dense features on. Rows are dealt by key once; all
+    counting stays where they are."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
     grams = F.when(F.length(padded) >= 3, F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
     # counting distinct trigrams first hashes each of them once for a row
-    counts = df.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").count()
+    dealt = df.select(key, text).repartition(key)
+    counts = dealt.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").count()
     cells = counts.groupBy(key, (fnv1a(F.col("gram")) % HASHED + len(DENSE)).cast("int").alias("idx")).agg(F.sum("count").cast("double").alias("n"))
-    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return cells.join(norms, key).select(key, "idx", (F.col("n") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)))
+    return cells.select(key, "idx", (F.col("n") / norm).alias("value"))
 
 
-def features(df: DataFrame, key: str) -> DataFrame:
-    """(key, idx, value) of all features that aren't zero."""
-    named = df.select(key, F.posexplode(dense(df)).alias("idx", "value")).where("value <> 0")
-    return named.unionByName(hashed_trigrams(df, key))
+def features(df: DataFrame, key: str, detections: str = "detections") -> DataFrame:
+    """(key, idx, value) of all features that aren't zero; trigrams are those of the folded view."""
+    named = df.select(key, F.posexplode(dense(df, detections)).alias("idx", "value")).where("value <> 0")
+    return named.unionByName(hashed_trigrams(df, key, "folded"))
 
 
 def samples(rows: DataFrame, label: str, *, least: int = 200, order: str = "message_id") -> DataFrame:
-    """What the classifier learns from: all rows in the escalation band, and as context a bounded number of the others for each label,
+    """What the classifier learns from: all rows in the escalation band, and as context about as many of the others for each label, or `least`,
     twice as many of label 0. First halves of split numbers (turn 0 of more turns) are left out; so are mined rows without any signal.
     Rows have band, detections, runs and noise; conversation_id and turn, and mined, are optional."""
     if "turn" in rows.columns:
@@ -71,16 +90,25 @@ def samples(rows: DataFrame, label: str, *, least: int = 200, order: str = "mess
         rows = rows.where(~F.col("mined") | (F.size("detections") > 0) | (F.size("runs") > 0) | (F.col("noise") > 0))
     escalated, settled = rows.where("band = 'escalate'"), rows.where("band <> 'escalate'")
     most = max(escalated.count(), least)
-    place = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(order), order))
-    context = settled.withColumn("__place", place).where(F.col("__place") <= F.when(F.col(label) == 0, 2 * most).otherwise(most)).drop("__place")
-    return escalated.unionByName(context)
+    sizes = {r[0]: r[1] for r in settled.groupBy(label).count().collect()}  # a row for each label
+    # by a threshold on a hash of the id: about as many as wanted, without sorting any
+    chance = F.lit(0.0)
+    for value, wanted in ((0, 2 * most), (1, most)):
+        chance = F.when(F.col(label) == value, min(1.0, wanted / max(1, sizes.get(value, 0)))).otherwise(chance)
+    return escalated.unionByName(settled.where(F.pmod(F.xxhash64(order), F.lit(1 << 30)) < chance * (1 << 30)))
 
 
-def train(rows: DataFrame, key: str, label: str, *, iterations: int = 60, l2: float = 1e-6, weight: str | None = None) -> tuple[DataFrame, float]:
-    """(idx, w) of weights that matter, and the bias: class-weighted logistic regression by Spark ML over sparse vectors."""
-    from pyspark.ml.classification import LogisticRegression
+def _vectors(size: int):
+    """A function of columns of cells that gives sparse vectors."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
+    return F.udf(lambda c: SparseVector(size, [x.idx for x in c], [x.value for x in c]), VectorUDT(), useArrow=True)
+
+
+def train(rows: DataFrame, key: str, label: str, *, iterations: int = 60, l2: float = 1e-6, weight: str | None = None) -> Classifier:
+    """The weights that matter, and the bias: class-weighted logistic regression by Spark ML over sparse vectors."""
+    from pyspark.ml.classification import LogisticRegression
+
     size = len(DENSE) + HASHED
     cells = F.array_sort(F.collect_list(F.struct("idx", "value")))  # of one message
     sparse = features(rows, key).groupBy(key).agg(cells.alias("cells"))
@@ -90,13 +118,12 @@ def train(rows: DataFrame, key: str, label: str, *, iterations: int = 60, l2: fl
     balance = F.lit(1.0)
     for r in n:
         balance = F.when(F.col("label") == r.label, total / (len(n) * r["count"])).otherwise(balance)
-    # Spark has no expression for sparse vectors; this runs over labelled rows only
-    vector = F.udf(lambda c: SparseVector(size, [x.idx for x in c], [x.value for x in c]), VectorUDT())
-    data = labelled.select(vector("cells").alias("features"), "label", balance.alias("weight"))
+    # Spark has no expression for sparse vectors; cells travel in Arrow batches, of labelled rows only
+    data = labelled.select(_vectors(size)("cells").alias("features"), "label", balance.alias("weight"))
     model = LogisticRegression(maxIter=iterations, regParam=l2, weightCol="weight").fit(data)
     spark = rows.sparkSession
     kept = [(i, float(w)) for i, w in enumerate(model.coefficients.toArray()) if abs(w) >= 1e-4]  # 16,413 at most
-    return spark.createDataFrame(kept, "idx int, w double"), float(model.intercept)
+    return Classifier(spark.createDataFrame(kept, "idx int, w double"), float(model.intercept))
 
 
 def probabilities(cells: DataFrame, weights: DataFrame, bias: float, key: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from saltmarsh.config import COSTS
+from saltmarsh.config import COSTS, RiskConfig
+from saltmarsh.functions.spans import let
 
 
 def confusion(rows: DataFrame, expected: Column, actioned: Column) -> DataFrame:
@@ -40,23 +41,56 @@ def cost_per_100k(share: Column) -> Column:
     return share * 100_000 * (COSTS["inTokens"] * COSTS["inPerMillion"] + COSTS["outTokens"] * COSTS["outPerMillion"]) / 1_000_000
 
 
+def health(spark: SparkSession, config: RiskConfig, tiers=None) -> DataFrame:
+    """One row: which tiers are live, and what happens where the last one gives no answer. tiers: as moderate.Tiers, or none."""
+    live = lambda name: getattr(tiers, name, None) is not None
+    row = {"status": "ok", "deterministic": True, "trigrams": live("trigrams"), "classifier": live("classifier"), "adjudicator": live("transport")}
+    row |= {f"fail_{stage}": mode for stage, mode in sorted(config.failMode.items())}
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()])
+
+
+def stats(rows: DataFrame, latency: str = "latency_ms", cost: str = "cost_usd") -> DataFrame:
+    """(kind, name, n, share) of verdicts and tiers, and one row `all` with the latency's percentiles and the cost of a hundred thousand messages."""
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    parts = []
+    for kind, column in (("verdict", "verdict"), ("tier", "resolved_by")):
+        parts.append(shares(rows, column).select(F.lit(kind).alias("kind"), F.col("value").alias("name"), "n", "share", *[none(c, "double") for c in ("p50", "p95", "p99", "per_100k")]))
+    whole = rows.agg(F.count("*").alias("n"), F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), (F.sum(cost) / F.count("*") * 100_000).alias("per_100k"))
+    whole = whole.select(F.lit("all").alias("kind"), none("name", "string"), "n", F.lit(1.0).alias("share"), *[F.col("p")[k].alias(f"p{q}") for k, q in enumerate((50, 95, 99))], "per_100k")
+    return parts[0].unionByName(parts[1]).unionByName(whole)
+
+
 # Words that carry no meaning of their own.
-STOPWORDS = ["the", "and", "you", "your", "for", "with", "this", "that", "can", "will", "just", "please", "hi", "hello", "hai", "hain", "ka", "ki", "ke", "ko", "se", "par", "pe", "bhi", "kar"]
+STOPWORDS = (
+    "the a an and or but if then me my you your i we us it is are was be to of in on at for with this that can will just please hi hello "
+    "hai hain ka ki ke ko se par pe bhi kar"
+).split()
 
 
 def phrases(tokens: Column, longest: int = 3, least_letters: int = 4) -> Column:
     """Distinct phrases of one to three tokens that aren't stopwords."""
-    kept = F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
-    def grams(n: int) -> Column:
-        starts = F.when(F.size(kept) >= n, F.sequence(F.lit(1), F.size(kept) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(kept, i, F.lit(n)), " "))
+    def of(kept: Column) -> Column:
+        after = lambda n: F.concat(F.slice(kept, F.lit(n + 1), F.greatest(F.size(kept) - n, F.lit(0))), F.array_repeat(F.lit(None).cast("string"), n))
+        # neighbours side by side; a phrase past the end is null
+        grams, out = kept, [kept]
+        for n in range(1, longest):
+            grams = F.zip_with(grams, after(n), lambda a, b: F.concat(a, F.lit(" "), b))
+            out.append(grams)
+        return F.array_distinct(F.filter(F.concat(*out), lambda p: F.length(p) >= least_letters))
 
-    return F.array_distinct(F.filter(F.concat(*[grams(n) for n in range(1, longest + 1)]), lambda p: F.length(p) >= least_letters))
+    return let(F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS)), of)
+
+
+def caught() -> Column:
+    """Whether the detectors alone name a row: contact, payment or safety."""
+    return F.exists("detections", lambda d: d["type"].rlike("^(contact|safety|payment)[.]"))
 
 
 def mined(rows: DataFrame, folded: str = "folded", *, least: int = 2, top: int | None = 40) -> DataFrame:
-    """Phrases by the number of rows that have them; with top, the most frequent."""
+    """Phrases by the number of rows that have them; with top, the most frequent. Of rows with detections only those that aren't caught count."""
+    if "detections" in rows.columns:
+        rows = rows.where(~caught())
     found = rows.select(F.explode(phrases(F.split(F.col(folded), r"[^\p{L}\p{N}]+"))).alias("phrase"))
     counted = found.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counted.orderBy(F.desc("n"), "phrase").limit(top) if top else counted
@@ -68,12 +102,16 @@ def self_play(candidates: DataFrame, caught: Column) -> tuple[DataFrame, DataFra
     return distinct.agg(F.count("*").alias("n"), F.count_if(caught).alias("caught")), distinct.where(~caught)
 
 
+#: Rows that are put in order together for a replay, about.
+ROWS_A_BUCKET = 100_000
+
+
 def replayed(rows: DataFrame, order: str = "message_id", size: int = 12, seconds: int = 1) -> DataFrame:
     """Single messages as conversations of `size` each, some seconds apart: conversation_id and ts replace what was there.
     Which conversation a row is in hangs on a hash of its id, so that numbering it needs no global order."""
-    buckets = F.pmod(F.xxhash64(order), F.lit(1024))
+    buckets = max(1, -(-rows.count() // ROWS_A_BUCKET))
     place = F.row_number().over(W.partitionBy("__bucket").orderBy(F.xxhash64(order), order)) - 1
-    rows = rows.withColumn("__bucket", buckets).withColumn("__place", place)
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets))).withColumn("__place", place)
     name = F.concat_ws("-", F.lit("replay"), F.col("__bucket").cast("string"), F.floor(F.col("__place") / size).cast("string"))
     ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("__place") % size * seconds)
     return rows.withColumns({"conversation_id": name, "ts": ts}).drop("__bucket", "__place")

@@ -49,38 +49,56 @@ def decayed_sum(df: DataFrame, key: str, amount: Column, half_life_ms: int, into
     return df.withColumn(into, value).drop("__ms", "__block", "__amount", "__own", "__key", "__next", "__total")
 
 
+def pressure() -> Column:
+    """What a message adds to the digit pressure: its digits, a fifth of them once there is a booking."""
+    digits = F.aggregate(F.transform("runs", lambda r: F.length(r["digits"])), F.lit(0), lambda a, b: a + b)
+    return digits * F.when(F.col("booking_stage") == "post_booking", 0.2).otherwise(1.0)
+
+
+def intent_hits() -> Column:
+    """What a message adds to the session's intent: its detections of intent."""
+    return F.size(F.filter("detections", lambda d: d["type"].startswith("intent.")))
+
+
+def kinds(detections: Column) -> Column:
+    return F.array_distinct(F.transform(detections, lambda d: d["type"]))
+
+
 def with_session(df: DataFrame, config: RiskConfig | None = None) -> DataFrame:
-    """Adds digit_pressure, session_intent, last_messages and rescan_text to rows with runs and detections."""
+    """Adds digit_pressure, session_intent, last_messages, rescan_text and seen (types that a remembered message of the sender had) to rows
+    with runs and detections."""
     config = config or RiskConfig()
     half = config.session["digitPressureHalfLifeMs"]
-    digits = F.aggregate(F.transform("runs", lambda r: F.length(r["digits"])), F.lit(0), lambda a, b: a + b)
-    df = decayed_sum(df, "conversation_id", digits * F.when(F.col("booking_stage") == "post_booking", 0.2).otherwise(1.0), half, "digit_pressure")
-    intents = F.array_distinct(F.transform(F.filter("detections", lambda d: d["type"].startswith("intent.")), lambda d: d["evidence"]))
-    df = decayed_sum(df, "conversation_id", F.size(intents), half, "session_intent")
+    df = decayed_sum(df, "conversation_id", pressure(), half, "digit_pressure")
+    df = decayed_sum(df, "conversation_id", intent_hits(), half, "session_intent")
     before = W.partitionBy("conversation_id").orderBy("ts", "message_id").rowsBetween(-config.session["lastMessagesSize"], -1)
-    types = F.array_distinct(F.transform("detections", lambda d: d["type"]))
-    df = df.withColumn("last_messages", F.collect_list(F.struct("sender_role", "text", types.alias("types"))).over(before))
+    df = df.withColumn("last_messages", F.collect_list(F.struct("sender_role", "text", kinds(F.col("detections")).alias("types"))).over(before))
     own = F.filter("last_messages", lambda m: m["sender_role"] == F.col("sender_role"))
     recent = F.slice(own, F.greatest(F.size(own) - config.session["windowedRescanMessages"] + 1, F.lit(1)), F.lit(config.session["windowedRescanMessages"]))
     texts = F.transform(recent, lambda m: m["text"])
-    return df.withColumn("rescan_text", F.when(F.size(own) > 0, F.concat_ws(" ", F.array_join(texts, " "), F.col("text"))))
+    seen = F.array_distinct(F.flatten(F.transform(own, lambda m: m["types"])))
+    return df.withColumns({"rescan_text": F.when(F.size(own) > 0, F.concat_ws(" ", F.array_join(texts, " "), F.col("text"))), "seen": seen})
 
 
-def recovered(detections: Column, runs: Column, own: Column) -> Column:
-    """Detections of a re-scan that no message alone had, and to which this message's digits contribute."""
-    seen = F.flatten(F.transform(F.filter("last_messages", lambda m: m["sender_role"] == F.col("sender_role")), lambda m: m["types"]))
-    new = F.filter(detections, lambda d: d["type"].rlike(RECOVERABLE) & ~F.array_contains(seen, d["type"]) & ~F.exists(own, lambda o: o["type"] == d["type"]))
-    return F.filter(new, lambda d: F.exists(runs, lambda r: d["evidence"].contains(r["digits"]) | d["type"].startswith("contact.phone")))
+def recovered(joint: Column, own: Column) -> Column:
+    """Detections of a re-scan that no message alone had, and that reach into this message, the last of the joined text: what lies in
+    earlier ones says nothing about it. Rows have seen, rescan_text and text."""
+    begins = F.length("rescan_text") - F.length("text")
+    known = F.array_union(F.col("seen"), kinds(own))
+    return F.filter(joint, lambda d: d["type"].rlike(RECOVERABLE) & ~F.array_contains(known, d["type"]) & (d["end"] > begins))
 
 
-def strikes(df: DataFrame, blocked: Column, config: RiskConfig | None = None) -> DataFrame:
-    """Adds strikes (blocks of the conversation up to this message) and recent_blocks (of the same sender, before it, within the window)."""
-    config = config or RiskConfig()
-    reach = config.policy["blockCooldownWindowMs"]
-    hit = blocked.cast("int")
+def strikes(df: DataFrame, blocked: Column) -> DataFrame:
+    """Adds strikes: blocks of the conversation up to this message."""
     so_far = W.partitionBy("conversation_id").orderBy("ts", "message_id").rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("strikes", F.sum(blocked.cast("int")).over(so_far))
+
+
+def recent_blocks(df: DataFrame, blocked: Column, config: RiskConfig | None = None) -> DataFrame:
+    """Adds recent_blocks: of the same sender, before this message and within the cooldown's window."""
+    reach = (config or RiskConfig()).policy["blockCooldownWindowMs"]
     lately = W.partitionBy("conversation_id", "sender_role").orderBy(millis()).rangeBetween(-reach, -1)
-    return df.withColumns({"strikes": F.sum(hit).over(so_far), "recent_blocks": F.coalesce(F.sum(hit).over(lately), F.lit(0))})
+    return df.withColumn("recent_blocks", F.coalesce(F.sum(blocked.cast("int")).over(lately), F.lit(0)))
 
 
 def fragments(runs: Column, text: Column, detections: Column, compat: bool = False) -> Column:
@@ -92,7 +110,7 @@ def fragments(runs: Column, text: Column, detections: Column, compat: bool = Fal
         before = F.substring(text, F.greatest(r["start"] - NEAR, F.lit(0)) + 1, F.least(r["start"], F.lit(NEAR)))
         after = F.substring(text, r["end"] + 1, F.lit(NEAR))
         glued = before.rlike("(?i)[a-z]$") | after.rlike("(?i)^[a-z]") | (within.rlike("(?i)[a-z]") if compat else F.lit(False))
-        other = F.exists(detections, lambda d: ~d["type"].startswith("contact.phone") & ~d["type"].startswith("intent.") & (d["start"] <= r["start"]) & (d["end"] >= r["end"]))
+        other = F.exists(detections, lambda d: ~d["type"].startswith("contact.phone") & ~d["type"].startswith("intent.") & (d["start"] <= r["raw_start"]) & (d["end"] >= r["raw_end"]))
         return ~(whole | glued | other | before.rlike(EXPLAINED) | after.rlike(EXPLAINED))
 
     return F.transform(F.filter(runs, loose), lambda r: r["digits"])

@@ -109,8 +109,8 @@ def c7_trained(spark: SparkSession, folder: str) -> DataFrame:
     rows.write.parquet(path)  # training goes over the rows again and again
     rows = spark.read.schema(rows.schema).parquet(path)
     chosen = classifier.samples(rows, "y")
-    weights, bias = classifier.train(chosen, "message_id", "y", iterations=20)
-    p = classifier.probabilities(classifier.features(rows, "message_id"), weights, bias, "message_id")
+    model = classifier.train(chosen, "message_id", "y", iterations=20)
+    p = classifier.probabilities(classifier.features(rows, "message_id"), model.weights, model.bias, "message_id")
     return rows.join(p, "message_id").groupBy("label", score.decided(F.col("probability")).alias("decision")).agg(F.count("*").alias("n"))
 
 

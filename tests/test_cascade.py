@@ -1,9 +1,11 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from saltmarsh.config import RiskConfig, load, parse_env
-from saltmarsh.functions import policy, score
-from saltmarsh.operators import adjudicate, moderate, session, stateful
+from saltmarsh.functions import policy, score, spans
+from saltmarsh.operators import adjudicate, classifier, evaluate, moderate, session, stateful
 from saltmarsh.sources import corpus, messages
 from saltmarsh.streaming import moderation
 
@@ -86,13 +88,13 @@ def conversations(spark):
 
 
 def test_stream_and_batch_agree(spark, conversations, tmp_path):
-    batch = {r.message_id: r for r in stateful.moderated(conversations).select("message_id", "technique", "verdict", "merged", "digit_pressure").collect()}
+    batch = {r.message_id: r for r in stateful.moderated(conversations).select("message_id", "technique", "verdict", "merged", "digit_pressure", "score", "cross_message_categories").collect()}
     for k, r in batch.items():
-        caught = r.technique != "calm" and not (r.technique == "split" and k.endswith("-0"))
+        caught = r.technique != "calm" and not (r.technique == "split-across-messages" and k.endswith("-0"))
         assert (r.verdict != "allow") == caught, (k, r)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     conversations.drop("technique", "turn").coalesce(1).write.json(str(tmp_path / "in"))
-    out = moderation.moderated(messages.stream(spark, str(tmp_path / "in"))).select("message_id", "merged", "digit_pressure")
+    out = moderation.moderated(messages.stream(spark, str(tmp_path / "in"))).select("message_id", "merged", "digit_pressure", "verdict", "score", "cross_message_categories")
     q = out.writeStream.format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(300)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
@@ -100,6 +102,7 @@ def test_stream_and_batch_agree(spark, conversations, tmp_path):
     assert got.keys() == batch.keys()
     for k, r in got.items():
         assert r.merged == batch[k].merged and abs(r.digit_pressure - batch[k].digit_pressure) < 1e-9
+        assert (r.verdict, sorted(r.cross_message_categories)) == (batch[k].verdict, sorted(batch[k].cross_message_categories)) and abs(r.score - batch[k].score) < 1e-9
 
 
 def test_pressure_is_the_sequential_sum(spark):
@@ -178,6 +181,116 @@ def test_rescanned_detections_count(spark):
     pairs = [("mail john.doe99 at", "99 gmail dot com"), ("pay 98765", "43210@okaxis"), ("order 98765", "43210 ok"), ("room 98765", "43210 please"), ("mail me a.b@", "99.com"), ("write john.doe@", "gmail99.com"), ("upi is someone@", "okaxis 1"), ("mail me john", "77 at gmail dot com"), ("mail me john99@gmail", "99.com")]
     rows = [(f"{c}-{k}", f"c{c}", "guest", "pre_booking", 1_700_000_000 + 60 * k, t) for c, pair in enumerate(pairs) for k, t in enumerate(pair)]
     df = spark.createDataFrame(rows, "message_id string, conversation_id string, sender_role string, booking_stage string, t long, text string").withColumn("ts", F.timestamp_seconds("t"))
-    done = stateful.moderated(df, ascii_only=True).select("message_id", "score", "band", "verdict", "merged", "cross_message_categories").collect()
+    done = stateful.moderated(df, ascii_only=True).select("message_id", "score", "band", "verdict", "merged", "cross_message_categories", "categories").collect()
     crossed = [r for r in done if r.cross_message_categories and r.merged is None]
     assert crossed and all(r.score >= 4 and r.verdict != "allow" for r in crossed)
+    assert all(not set(r.cross_message_categories) & set(r.categories) for r in done)
+
+
+def turns(spark, *conversations):
+    rows = [(f"{c}-{k}", f"c{c}", "guest", "pre_booking", 1_700_000_000 + 60 * k, t) for c, texts in enumerate(conversations) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "message_id string, conversation_id string, sender_role string, booking_stage string, t long, text string").withColumn("ts", F.timestamp_seconds("t"))
+
+
+def test_later_messages_are_not_charged_with_earlier_numbers(spark):
+    df = turns(spark, ["98765", "43210", "we are 2 guests", "will do! iPhone 15 Pro 256GB"], ["pay 98765", "43210@okaxis"], ["booking ref 202601150001 please"], ["call +44 20 7946 0958"])
+    done = {r.message_id: r for r in stateful.delivered(stateful.moderated(df, ascii_only=True)).collect()}
+    assert done["0-1"].merged == "9876543210" and done["0-1"].verdict == "block" and done["0-1"].strikes == 1
+    for k in ("0-2", "0-3"):
+        assert (done[k].verdict, list(done[k].categories), list(done[k].cross_message_categories)) == ("allow", [], []), done[k]
+    assert done["0-2"].recent_blocks == 1 and not done["0-2"].cooldown
+    assert done["2-0"].verdict == "allow" and done["3-0"].verdict == "block"
+
+
+GOLDEN = {
+    "hi i a92m a121ksh35ay call me on nine eight 7 six zero": "nine eight 7 six zero",
+    "a92m call me on 9876543210 now": "9876543210",
+    "ca\u200bll\u200b me\u200b 9876543210 now": "9876543210",
+    "ﬁnd me: 9\u200b8\u200b7\u200b6\u200b5\u200b4\u200b3\u200b2\u200b1\u200b0 ok": "9\u200b8\u200b7\u200b6\u200b5\u200b4\u200b3\u200b2\u200b1\u200b0",
+    "cœur ﬀ call me on ９８７６５４３２１０ now": "９８７６５４３２１０",
+    "Straße a.b@gmail.com ok": "a.b@gmail.com",
+    "e\u0301te\u0301 pay x9y@okaxis": "x9y@okaxis",
+}
+
+
+def test_places_are_in_the_message(spark):
+    df = spark.createDataFrame([(t, "pre_booking", "guest") for t in GOLDEN], "text string, booking_stage string, sender_role string")
+    for r in policy.with_policy(moderate.moderated(df), prefer_masking=True).collect():
+        found = {r.text[d.start : d.end] for d in r.detections if not d.type.startswith("intent.")}
+        assert GOLDEN[r.text] in found, (r.text, found)
+        if r.action == "mask":
+            assert not any(c.isdigit() for c in r.delivered_text.replace("a92m", "").replace("a121ksh35ay", "")), r.delivered_text
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["call me on ", "ﬁ", "œ", "\u200b", "９", "8", "76", "nine ", "a1b", " 9876543210 ", "@okaxis ", "x.y@gmail.com ", "İ", "e\u0301", ", "]), max_size=12), min_size=1, max_size=12))
+def test_masked_texts_keep_nothing_of_what_was_found(spark, texts):
+    df = spark.createDataFrame([("".join(t), "pre_booking", "guest") for t in texts], "text string, booking_stage string, sender_role string")
+    for r in policy.with_policy(moderate.moderated(df), prefer_masking=True).collect():
+        spans = sorted((d.start, d.end) for d in r.detections if not d.type.startswith("intent."))
+        assert all(0 <= a < b <= len(r.text) for a, b in spans)
+        if r.action == "mask":
+            hidden = set().union(*[range(a, b) for a, b in spans])
+            rest = "".join(c for k, c in enumerate(r.text) if k not in hidden)
+            assert r.delivered_text.replace("•", "") == rest
+
+
+def test_terms_that_overlap_in_part_all_count(spark):
+    df = spark.createDataFrame([("find me on insta gram now", ), ("call me", ), ("recall me call",), ("",)], "t string")
+    terms = ["me on insta", "on insta gram", "insta", "call me", "me", "call"]
+    got = [[(h.start, h.end, h.match) for h in r.h] for r in df.select(spans.terms_in(F.col("t"), terms).alias("h")).collect()]
+    assert got == [[(5, 16, "me on insta"), (8, 21, "on insta gram")], [(0, 7, "call me")], [(7, 9, "me"), (10, 14, "call")], []]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text("ab c", max_size=14), min_size=1, max_size=20))
+def test_terms_are_those_of_plain_python(spark, texts):
+    terms = ["a", "ab", "b a", "a b", "b c", "abc", "c a b", "c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", spans.terms_in(F.col("t"), terms).alias("h")).collect():
+        word = lambda k: 0 <= k < len(r.t) and r.t[k].isalnum()  # noqa: B023, E731
+        every = sorted(((k, k + len(x)) for x in terms for k in range(len(r.t)) if r.t.startswith(x, k) and not word(k - 1) and not word(k + len(x))), key=lambda s: (s[0], -s[1]))
+        kept = []
+        for s in every:
+            if not any(a <= s[0] and b >= s[1] for a, b in kept):
+                kept.append(s)
+        assert [(h.start, h.end) for h in r.h] == kept
+
+
+def test_kept_longest(spark):
+    df = spark.sql("select array(named_struct('start', 3, 'end', 5, 'k', 1), named_struct('start', 0, 'end', 4, 'k', 2), named_struct('start', 3, 'end', 4, 'k', 3), named_struct('start', 0, 'end', 4, 'k', 4)) s")
+    assert [x.k for x in df.select(spans.kept_longest(F.col("s")).alias("s")).first().s] == [2, 1]
+
+
+def test_all_tiers_settle_messages(spark):
+    """Named features alone decide the classifier; the adjudicator sees what it leaves open."""
+    texts = ["hello there", "call me on 9876543210", "you stupid clown", "insta: some_one please", "book direct with me", "house address is here ok"]
+    df = spark.createDataFrame([(str(k), t, "pre_booking", "guest") for k, t in enumerate(texts)], "message_id string, text string, booking_stage string, sender_role string")
+    at = classifier.DENSE.index
+    weights = spark.createDataFrame([(at("hostility"), 9.0), (at("handle"), -9.0)], "idx int, w double")
+    tiers = moderate.Tiers(classifier=classifier.Classifier(weights, 0.0), transport=lambda p: adjudicate.stub("book direct" in p)(p))
+    done = {r.text: r for r in moderate.moderated(df, tiers=tiers, ascii_only=True).collect()}
+    got = {t: (r.verdict, r.resolved_by) for t, r in done.items()}
+    assert got["hello there"] == ("allow", "tier1.normalize") and got["call me on 9876543210"] == ("block", "tier3.risk")
+    assert got["you stupid clown"] == ("block", "tier4.classifier")
+    assert got["book direct with me"] == ("block", "tier5.llm") and got["house address is here ok"] == ("allow", "tier5.llm")
+    tiers.transport = None
+    tiers.cache = spark.createDataFrame([], "key string, reply string, used timestamp")
+    none = {r.text: (r.verdict, r.resolved_by) for r in moderate.moderated(df, tiers=tiers, ascii_only=True).collect()}
+    assert none["book direct with me"] == ("block", "tier5.llm")  # pre-booking fails closed
+
+
+def test_health_and_stats(spark):
+    r = evaluate.health(spark, RiskConfig(), moderate.Tiers(transport=adjudicate.stub(True))).first()
+    assert (r.adjudicator, r.classifier, r.fail_pre_booking, r.fail_post_booking) == (True, False, "closed", "open")
+    rows = spark.createDataFrame([("allow", "tier1.normalize", 1.0, 0.0), ("block", "tier3.risk", 3.0, 0.0), ("allow", "tier5.llm", 8.0, 0.002)], "verdict string, resolved_by string, latency_ms double, cost_usd double")
+    got = {(r["kind"], r["name"]): r for r in evaluate.stats(rows).collect()}
+    assert got["verdict", "allow"].n == 2 and got["tier", "tier5.llm"].share == pytest.approx(1 / 3)
+    assert got["all", None].p50 == 3.0 and got["all", None].per_100k == pytest.approx(0.002 / 3 * 100_000)
+
+
+def test_presets(spark):
+    """What the demonstration's messages come to."""
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(corpus.PRESETS)], "k int, text string, group string, sender_role string, booking_stage string, verdicts string")
+    for r in moderate.moderated(df.withColumnRenamed("verdicts", "wanted")).collect():
+        assert r.verdict in r.wanted.split(), (r.text, r.verdict, r.score, r.categories)
