@@ -7,6 +7,7 @@ with_detections() turns them into places in the message. All offsets count code
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from saltmarsh import lexicons as lex
 from saltmarsh.config import RiskConfig
 from saltmarsh.functions.normalize import raw_place
 from saltmarsh.functions.digitruns import placed
-from saltmarsh.functions.spans import DETECTION, alternation, ascii_words, best_per_span, detection, empty, inside_any, let, located, moved, terms_in
+from saltmarsh.functions.spans import DETECTION, alternation, ascii_words, best_per_span, detection, empty, constants, inside_any, let, located, looked_up, moved, one_of, terms_in
 
 # Shapes of numbers, and the patterns of the detectors.
 MOBILE, PREFIXED, POSTAL = r"^[6-9][0-9]{9}$", r"^91[6-9][0-9]{9}$", r"^[1-8][0-9]{5}$"
@@ -125,7 +126,7 @@ def phones(runs: Column, text: Column, signals: Column) -> Column:
 def emails(folded: Column) -> Column:
     def spelled(h: Column) -> Column:
         swapped = ~F.trim(h["match"]).rlike(r"^[^\s@]+@[^\s@]+$")
-        known = F.lower(_group(h, SPELLED_EMAIL, 2)).isin(*lex.EMAIL_DOMAINS)
+        known = one_of(F.lower(_group(h, SPELLED_EMAIL, 2)), lex.EMAIL_DOMAINS)
         kind = F.when(swapped, "contact.email.obfuscated").otherwise("contact.email")
         return detection(kind, h, F.when(known, 0.96).when(swapped, 0.9).otherwise(0.93), F.trim(h["match"]))
 
@@ -138,11 +139,7 @@ def emails(folded: Column) -> Column:
 
 
 def _of_domains(host: Column, domains: Iterable[str]) -> Column:
-    names = [F.substring_index(host, ".", -k) for k in (2, 3, 4)]
-    out = host.isin(*domains)
-    for n in names:
-        out = out | n.isin(*domains)
-    return out
+    return F.arrays_overlap(F.array(host, *[F.substring_index(host, ".", -k) for k in (2, 3, 4)]), constants(domains))
 
 
 def _hostname(host: Column) -> Column:
@@ -155,7 +152,7 @@ def classified(host: Column) -> Column:
     last = F.substring_index(host, ".", -1)
     kinds = [
         (_of_domains(host, lex.MESSENGER_DOMAINS), "contact.url.messenger", 0.97), (_of_domains(host, lex.SHORTENERS), "contact.url.shortener", 0.8),
-        (_of_domains(host, lex.PAYMENT_DOMAINS), "contact.url.payment", 0.9), (last.isin(*lex.RISKY_TLDS), "contact.url.risky_tld", 0.7),
+        (_of_domains(host, lex.PAYMENT_DOMAINS), "contact.url.payment", 0.9), (one_of(last, lex.RISKY_TLDS), "contact.url.risky_tld", 0.7),
     ]
     as_struct = lambda name, sure: F.struct(F.lit(name).alias("kind"), F.lit(sure).alias("sure"))
     out = as_struct("contact.url", 0.6)
@@ -207,7 +204,7 @@ def handles(folded: Column) -> Column:
     def of_platforms(hits: Column) -> Column:
         name_of = lambda h: F.lower(_group(h, PLATFORM, 2))
         digits = lambda h: F.regexp_replace(name_of(h), "[^0-9]", "")
-        found = F.filter(hits, lambda h: ~name_of(h).isin(*lex.NOT_A_HANDLE))
+        found = F.filter(hits, lambda h: ~one_of(name_of(h), lex.NOT_A_HANDLE))
         inside = F.filter(found, lambda h: F.length(digits(h)) >= 4)
         return F.concat(F.transform(found, lambda h: detection("contact.handle", h, 0.9, name_of(h))), F.transform(inside, lambda h: detection("contact.handle.embedded_digits", h, 0.8, digits(h))))
 
@@ -224,7 +221,7 @@ def handle_runs(folded: Column, runs: Column) -> Column:
 
 def upis(folded: Column) -> Column:
     local, psp = (lambda h: F.lower(_group(h, VPA, 1))), (lambda h: F.lower(_group(h, VPA, 2)))
-    found = F.filter(located(folded, VPA), lambda h: psp(h).isin(*lex.UPI_PSP_HANDLES))
+    found = F.filter(located(folded, VPA), lambda h: one_of(psp(h), lex.UPI_PSP_HANDLES))
     rails = F.transform(found, lambda h: detection("payment.upi", h, 0.95, F.lower(h["match"])))
     numbers = F.transform(F.filter(found, lambda h: local(h).rlike(MOBILE)), lambda h: detection("contact.phone", h, 0.95, local(h)))
     return F.when(folded.contains("@"), F.concat(rails, numbers)).otherwise(empty(DETECTION))
@@ -236,10 +233,6 @@ def addresses(deleet: Column) -> Column:
     return F.when(deleet.rlike(QUESTION), empty(DETECTION)).otherwise(F.concat(codes, places))
 
 
-def _tagged(terms: dict[str, str], term: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in terms.items() for x in pair]), term)
-
-
 def _by_term(lists: dict[str, Iterable[str]]) -> dict[str, str]:
     """The first list that has a term names it."""
     out: dict[str, str] = {}
@@ -258,7 +251,7 @@ def intents(deleet: Column) -> Column:
 
     def listed(calm: Column) -> Column:
         hits = F.filter(terms_in(deleet, INTENT_TERMS), lambda h: ~inside_any(h, calm))
-        named = F.transform(hits, lambda h: let(_tagged(INTENT_TERMS, h["match"]), lambda t: detection(t, h, _tagged_confidence(t))))
+        named = F.transform(hits, lambda h: let(looked_up(INTENT_TERMS, h["match"]), lambda t: detection(t, h, _tagged_confidence(t))))
         channel = F.slice(located(deleet, CHANNEL), 1, 1)
         moves = F.filter(channel, lambda h: _before(deleet, h, MOVE_REACH).rlike(MOVE) & ~deleet.rlike(REPORTED) & ~inside_any(h, calm))
         proposed = F.transform(moves, lambda h: detection("intent.offplatform", h, 0.85))
@@ -268,7 +261,7 @@ def intents(deleet: Column) -> Column:
 
 
 def _tagged_confidence(kind: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in INTENT_CONFIDENCE.items() for x in pair]), kind)
+    return looked_up({k: str(v) for k, v in INTENT_CONFIDENCE.items()}, kind).cast("double")
 
 
 HOSTILE = _by_term({"0": lex.HOSTILITY_MILD, "1": lex.HOSTILITY_SEV1, "2": lex.HOSTILITY_SEV2, "3": lex.HOSTILITY_SEV3})
@@ -282,7 +275,7 @@ def hostility(deleet: Column) -> Column:
         sure = F.when(level == "3", 0.95).when(level == "2", 0.9 if listed else 0.85).when(level == "1", 0.7).otherwise(0.4)
         return detection(F.concat(F.lit("safety.hostility.sev"), level), h, sure)
 
-    words = F.transform(terms_in(deleet, HOSTILE), lambda h: rated(h, _tagged(HOSTILE, h["match"]), True))
+    words = F.transform(terms_in(deleet, HOSTILE), lambda h: rated(h, looked_up(HOSTILE, h["match"]), True))
 
     def with_masked(known: Column) -> Column:
         more = [F.transform(F.slice(located(deleet, p), 1, 1), _rater(rated, level)) for p, level in MASKED]
@@ -305,7 +298,7 @@ def extortion(deleet: Column) -> Column:
     near = lambda others, h: F.try_element_at(F.filter(others, lambda o: apart(o, h) <= THREAT_REACH), F.lit(1))
 
     def judge(hits: Column) -> Column:
-        of = lambda tag: F.filter(hits, lambda h: _tagged(THREAT, h["match"]) == tag)
+        of = lambda tag: F.filter(hits, lambda h: looked_up(THREAT, h["match"]) == tag)
 
         def one(h: Column) -> Column:
             def told(x: Column) -> Column:
@@ -325,7 +318,7 @@ def extortion(deleet: Column) -> Column:
 
 def scam_links(deleet: Column, links: Column) -> Column:
     """Links beside words of urgency, payment or too good an offer, by how many of these there are."""
-    cues = F.size(F.array_distinct(F.transform(terms_in(deleet, SCAM), lambda h: _tagged(SCAM, h["match"]))))
+    cues = F.size(F.array_distinct(F.transform(terms_in(deleet, SCAM), lambda h: looked_up(SCAM, h["match"]))))
     found = let(cues, lambda n: F.when(n > 0, F.transform(links, lambda u: detection("safety.scamlink", u, F.least(F.lit(0.93), 0.6 + n * 0.12), u["evidence"]))).otherwise(empty(DETECTION)))
     return F.when(F.size(links) > 0, found).otherwise(empty(DETECTION))
 
@@ -346,13 +339,19 @@ REGISTRY = {
 }
 
 
+@cache
+def _column(name: str, allowlist: tuple[str, ...]) -> Column:
+    """A detector's expression, made once: it is of many parts, and hangs on names of columns alone."""
+    return REGISTRY[name][1](RiskConfig(allowlist=allowlist)).cast(DETECTION)
+
+
 def with_detections(df: DataFrame, config: RiskConfig | None = None, names: Iterable[str] | None = None) -> DataFrame:
     """Adds detections to rows with views, places and runs (see normalize.with_views): the union of the detectors, one per type and span,
     with places in the message."""
     config = config or RiskConfig()
     names = list(REGISTRY if names is None else names)
     df = df.withColumn("runs", placed(F.col("runs"), raw_place))
-    df = df.withColumns({f"__{n}": REGISTRY[n][1](config).cast(DETECTION) for n in names})
+    df = df.withColumns({f"__{n}": _column(n, config.allowlist) for n in names})
     views = {n: REGISTRY[n][0] for n in names}
     if "url" in names:
         df = df.withColumn("__scamlink", scam_links(F.col("deleet"), F.concat(*[F.col(f"__{n}") for n in ("url", "homograph") if n in names])).cast(DETECTION))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 from itertools import groupby
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIT = "array<struct<start:int,end:int,match:string>>"
@@ -22,6 +22,26 @@ def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def one_of(value: Column, names: Iterable[str]) -> Column:
+    """Whether a string is among fixed ones: one literal, however many there are."""
+    return F.array_contains(constants(names), value)
+
+
+def constants(names: Iterable[str]) -> Column:
+    return F.split(F.lit("\u0001".join(names)), "\u0001")
+
+
+def looked_up(table: dict[str, str], key: Column) -> Column:
+    """The value of a string in a fixed table, or null."""
+    return F.try_element_at(F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in table.items())), F.lit("\u0001"), F.lit("\u0002")), key)
+
+
+def exploded(df: DataFrame, value: Column, *names: str, kept: Iterable[str] = (), with_place: bool = False) -> DataFrame:
+    """A row for each element of an array or map that a costly expression makes. A plain explode would have it made twice: once to ask for its size."""
+    make = F.posexplode_outer if with_place else F.explode_outer
+    return df.select(*kept, make(value).alias(*names)).where(f"{names[-1]} IS NOT NULL")
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost matches that don't overlap, with their code point offsets: pieces between the matches give the starts."""
 

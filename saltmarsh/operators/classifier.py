@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from saltmarsh.config import CLASSIFIER
 from saltmarsh.functions import score
 from saltmarsh.functions.score import sigmoid
+from saltmarsh.functions.spans import exploded
 
 HASHED = 16_384
 # The named features in the order of the model's first weights.
@@ -67,7 +68,7 @@ def hashed_trigrams(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     grams = F.when(F.length(padded) >= 3, F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
     # counting distinct trigrams first hashes each of them once for a row
     dealt = df.select(key, text).repartition(key)
-    counts = dealt.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").count()
+    counts = exploded(dealt, grams, "gram", kept=[key]).groupBy(key, "gram").count()
     cells = counts.groupBy(key, (fnv1a(F.col("gram")) % HASHED + len(DENSE)).cast("int").alias("idx")).agg(F.sum("count").cast("double").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)))
     return cells.select(key, "idx", (F.col("n") / norm).alias("value"))
@@ -75,7 +76,7 @@ def hashed_trigrams(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def features(df: DataFrame, key: str, detections: str = "detections") -> DataFrame:
     """(key, idx, value) of all features that aren't zero; trigrams are those of the folded view."""
-    named = df.select(key, F.posexplode(dense(df, detections)).alias("idx", "value")).where("value <> 0")
+    named = exploded(df, dense(df, detections), "idx", "value", kept=[key], with_place=True).where("value <> 0")
     return named.unionByName(hashed_trigrams(df, key, "folded"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.config import COSTS, RiskConfig
-from saltmarsh.functions.spans import let
+from saltmarsh.functions.spans import exploded, let
 
 
 def confusion(rows: DataFrame, expected: Column, actioned: Column) -> DataFrame:
@@ -89,17 +89,18 @@ def caught() -> Column:
 
 def mined(rows: DataFrame, folded: str = "folded", *, least: int = 2, top: int | None = 40) -> DataFrame:
     """Phrases by the number of rows that have them; with top, the most frequent. Of rows with detections only those that aren't caught count."""
-    if "detections" in rows.columns:
-        rows = rows.where(~caught())
-    found = rows.select(F.explode(phrases(F.split(F.col(folded), r"[^\p{L}\p{N}]+"))).alias("phrase"))
+    value = phrases(F.split(F.col(folded), r"[^\p{L}\p{N}]+"))
+    # no filter: it would go below what makes the detections, and have them made twice
+    found = exploded(rows, F.when(~caught(), value) if "detections" in rows.columns else value, "phrase")
     counted = found.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counted.orderBy(F.desc("n"), "phrase").limit(top) if top else counted
 
 
 def self_play(candidates: DataFrame, caught: Column) -> tuple[DataFrame, DataFrame]:
-    """The catch rate over distinct candidates (by lower case), and the misses."""
-    distinct = candidates.withColumn("__lower", F.lower("text")).dropDuplicates(["__lower"]).drop("__lower")
-    return distinct.agg(F.count("*").alias("n"), F.count_if(caught).alias("caught")), distinct.where(~caught)
+    """How many distinct candidates there are (by lower case) and how many of them are caught, in one row at least; and the missed texts."""
+    distinct = candidates.groupBy(F.lower("text").alias("__lower")).agg(F.max(caught).alias("__caught"), F.min("text").alias("text"))
+    rate = distinct.agg(F.count("*").alias("n"), F.count_if("__caught").alias("caught"))
+    return rate, distinct.where("NOT __caught").select("text")
 
 
 #: Rows that are put in order together for a replay, about.

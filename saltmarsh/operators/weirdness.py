@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saltmarsh.functions.spans import exploded
+
 ALPHABET, LEAST = 37, 4
 PERCENTILE = 0.995
 
@@ -38,8 +40,8 @@ def trigrams(token: Column) -> Column:
 
 def counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(trigram, n) over all tokens of the cleaned texts, which may be short."""
-    words = texts.select(F.explode(F.split(clean(F.coalesce(F.col(text), F.lit(""))), " ")).alias("token")).where("token <> ''")
-    return words.groupBy("token").count().select(F.explode(trigrams(F.col("token"))).alias("trigram"), "count").groupBy("trigram").agg(F.sum("count").alias("n"))
+    words = exploded(texts, F.split(clean(F.coalesce(F.col(text), F.lit(""))), " "), "token").where("token <> ''")
+    return exploded(words.groupBy("token").count(), trigrams(F.col("token")), "trigram", kept=["count"]).groupBy("trigram").agg(F.sum("count").alias("n"))
 
 
 def smoothed(trigram_counts: DataFrame) -> tuple[DataFrame, float]:
@@ -59,7 +61,7 @@ def token_scores(tokens_: DataFrame, log_probs: DataFrame, unseen: float) -> Dat
 def train(texts: DataFrame, text: str = "text") -> TrigramModel:
     """The model of texts; its threshold is a high percentile over every occurrence of a token."""
     log_probs, unseen = smoothed(counts(texts, text))
-    found = texts.select(F.explode(tokens(clean(F.coalesce(F.col(text), F.lit(""))))).alias("token")).groupBy("token").count()
+    found = exploded(texts, tokens(clean(F.coalesce(F.col(text), F.lit("")))), "token").groupBy("token").count()
     scores = token_scores(found, log_probs, unseen).join(found, "token")
     threshold = scores.agg(F.percentile("score", F.lit(PERCENTILE), F.col("count"))).first()[0]
     return TrigramModel(log_probs, unseen, round(threshold or 0.0, 3))
@@ -68,7 +70,7 @@ def train(texts: DataFrame, text: str = "text") -> TrigramModel:
 def with_weirdness(df: DataFrame, model: TrigramModel, key: str, view: str = "folded") -> DataFrame:
     """Adds weird_score (the highest of a token) and weird_tokens to rows with a unique key."""
     letters = F.regexp_replace("token", r"[^\p{L}]", "")
-    found = df.select(key, F.explode(tokens(F.col(view))).alias("token")).withColumn("letters", letters)
+    found = exploded(df, tokens(F.col(view)), "token", kept=[key]).withColumn("letters", letters)
     every = found.select("token").union(found.where(F.length("letters") >= LEAST).select("letters"))
     scores = token_scores(every, model.log_probs, model.unseen)
     own = found.join(scores, "token").join(scores.select(F.col("token").alias("letters"), F.col("score").alias("letter_score")), "letters", "left")

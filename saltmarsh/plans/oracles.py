@@ -2,8 +2,10 @@ r"""DuckDB SQL of the registered queries, written independently of the Spark pla
 
 from __future__ import annotations
 
+from saltmarsh import lexicons
+from saltmarsh.functions import wording
 from saltmarsh.lexicons import CONFUSABLES, HOSTILITY_MILD, HOSTILITY_SEV1, HOSTILITY_SEV2, INTENT_CHANNEL, LEET, MESSENGER_DOMAINS, PAYMENT_DOMAINS, RISKY_TLDS, SHORTENERS
-from saltmarsh.operators.evaluate import STOPWORDS
+from saltmarsh.plans import cascade_sql as judged
 
 ZEROS = [0x0660, 0x06F0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0xFF10]
 DIGITS = "".join(chr(z + k) for z in ZEROS for k in range(10))
@@ -29,16 +31,7 @@ synth AS (
     CASE o_orderkey % 8 WHEN 0 THEN 'call me on ' || mobile WHEN 1 THEN 'the price is ' || (o_orderkey % 9000 + 1000) || ' per night for 2 guests'
       WHEN 2 THEN 'pay me on user' || o_orderkey || '@okaxis' WHEN 3 THEN 'thanks see you soon' WHEN 4 THEN 'write to guest' || o_orderkey || '@gmail.com'
       WHEN 5 THEN 'see wa.me/91' || mobile WHEN 6 THEN 'you stupid clown' ELSE 'house no 4 near the temple' END AS text
-  FROM orders),
-scored AS (
-  SELECT *, CASE k WHEN 0 THEN 9.0 + 1.1 WHEN 2 THEN 8.5 WHEN 4 THEN 8.5 WHEN 5 THEN 9.0 + 3.2 ELSE 0 END::DOUBLE AS contact, CASE k WHEN 6 THEN 3.5 ELSE 0 END::DOUBLE AS safety,
-    contact * (CASE booking_stage WHEN 'pre_booking' THEN 1.0 ELSE 0.35 END)::DOUBLE * (CASE sender_role WHEN 'host' THEN 1.25 ELSE 1.0 END)::DOUBLE + safety AS score,
-    CASE WHEN score < 3 THEN 'allow' WHEN score > 8 THEN 'block' ELSE 'escalate' END AS band, CASE band WHEN 'escalate' THEN 'review' ELSE band END AS verdict,
-    -- a number in a link, a payment address and an address are each told by one or two detections
-    CASE k WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 0 END::BIGINT AS n_detections,
-    CASE WHEN n_detections = 0 THEN 'tier1.normalize' ELSE 'tier3.risk' END AS resolved_by,
-    CASE WHEN band = 'allow' THEN 1.0 ELSE CASE k WHEN 0 THEN 0.95 WHEN 2 THEN 0.95 WHEN 4 THEN 0.97 WHEN 5 THEN 0.97 WHEN 6 THEN 0.7 END END::DOUBLE AS confidence
-  FROM synth)
+  FROM orders)
 """
 
 SINGLE = [t for t in dict.fromkeys([*INTENT_CHANNEL, *HOSTILITY_MILD, *HOSTILITY_SEV1, *HOSTILITY_SEV2]) if t.isalpha()]
@@ -70,27 +63,26 @@ def scores(tokens: str) -> str:
 
 
 ORACLES = {
-    "moderate_report": f"WITH {SYNTH} SELECT booking_stage, sender_role, band, verdict, resolved_by, count(*) AS n, round(sum(score), 4) AS score FROM scored GROUP BY ALL",
-    "moderate_messages": f"WITH {SYNTH} SELECT message_id, round(score, 6) AS score, band, verdict, n_detections, confidence FROM scored",
-    "policy_actions": f"""WITH {SYNTH},
-      masks AS (SELECT *, repeat('•', 12) AS long FROM scored)
-      SELECT message_id, CASE WHEN verdict = 'allow' THEN 'deliver' WHEN verdict = 'block' AND k <> 6 THEN 'mask' ELSE verdict END AS action,
-        CASE WHEN verdict = 'allow' THEN '' WHEN verdict = 'block' THEN 'Sharing contact details before booking isn''t allowed. Bookings made outside the platform aren''t protected.'
-             ELSE 'This message can''t be sent. Please review our messaging guidelines.' END AS reason,
-        CASE WHEN verdict = 'allow' THEN text WHEN verdict = 'review' THEN NULL
-             WHEN k = 0 THEN 'call me on ' || repeat('•', 10) WHEN k = 2 THEN 'pay me on ' || long WHEN k = 4 THEN 'write to ' || long WHEN k = 5 THEN 'see ' || long END AS delivered_text,
-        false AS cooldown
-      FROM masks""",
-    "io11_wording": f"""WITH {SYNTH} SELECT label, tone, summary, count(*) AS n FROM (
-      SELECT CASE verdict WHEN 'allow' THEN 'Sent' WHEN 'block' THEN 'Not delivered' ELSE 'Held for review' END AS label, CASE verdict WHEN 'allow' THEN 'good' WHEN 'block' THEN 'stop' ELSE 'caution' END AS tone,
-        CASE WHEN verdict = 'allow' THEN 'Nothing concerning found.' ELSE CASE k WHEN 0 THEN 'Looks like a phone number, and 1 more.' WHEN 2 THEN 'Looks like a payment ID.'
-          WHEN 4 THEN 'Looks like an email address, and 1 more.' WHEN 5 THEN 'Looks like a phone number, and 1 more.' WHEN 6 THEN 'Contains hostile language.' END END AS summary FROM scored) GROUP BY ALL""",
-    "io3_health": "SELECT 'ok' AS status, true AS deterministic, false AS adjudicator, 'open' AS fail_post_booking, 'closed' AS fail_pre_booking",
+    "moderate_report": judged.cascade(judged.source_synth()) + " SELECT booking_stage, sender_role, band, verdict, resolved_by, count(*) AS n, round(sum(score), 4) AS score FROM scored GROUP BY ALL",
+    "moderate_messages": judged.cascade(judged.source_synth()) + " SELECT message_id, round(score, 6) AS score, band, verdict, n_detections, round(confidence, 6) AS confidence FROM scored",
+    "policy_actions": judged.cascade(judged.source_synth()) + judged.FAMILIES + "," + judged.masked() + f""", acted AS (SELECT s.message_id, s.text, masked, {judged.FAMILY} AS family,
+        CASE WHEN verdict = 'allow' THEN 'deliver' WHEN verdict = 'block' AND family = 'contact' AND masked IS NOT NULL THEN 'mask' ELSE verdict END AS action FROM scored s LEFT JOIN hidden USING (message_id) LEFT JOIN kinds USING (message_id))
+      SELECT message_id, action, CASE action WHEN 'deliver' THEN text WHEN 'mask' THEN masked END AS delivered_text, false AS cooldown FROM acted""",
+    "io11_wording": judged.cascade(judged.source_techniques()) + judged.FAMILIES + f""" SELECT label, tone, summary, count(*) AS n FROM (
+      SELECT CASE verdict WHEN 'allow' THEN 'Delivered' WHEN 'block' THEN 'Held back' ELSE 'Being checked' END AS label, CASE verdict WHEN 'allow' THEN 'good' WHEN 'block' THEN 'stop' ELSE 'caution' END AS tone,
+        CASE WHEN verdict = 'allow' THEN 'Nothing found.' WHEN categories IS NULL THEN 'The score alone is high.' ELSE
+          CASE {" ".join(f"WHEN starts_with(string_split(categories, ',')[1], {judged.lit(k)}) THEN {judged.lit(v)}" for k, v in wording.SENTENCES.items())} ELSE string_split(categories, ',')[1] END
+          || CASE WHEN len(string_split(categories, ',')) > 1 THEN ', and ' || (len(string_split(categories, ',')) - 1) || ' more.' ELSE '.' END END AS summary FROM scored LEFT JOIN kinds USING (message_id)) GROUP BY ALL""",
+    "moderate_conversations": "WITH rows AS (SELECT row_number() OVER () AS message_id, conv_id AS conversation_id, CASE role WHEN 'user' THEN 'guest' ELSE 'host' END AS sender_role, 'pre_booking' AS booking_stage, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant'))"
+      + f",{judged.views()},{judged.runs()},{judged.found()},{judged.best()},{judged.scored()} SELECT sender_role, verdict, resolved_by, count(*) AS n FROM scored GROUP BY ALL",
+    "e6_replayed": "SELECT length, count(*) AS conversations FROM (SELECT unnest(CASE WHEN n % 12 > 0 THEN list_append(list_transform(range(0, n // 12), lambda i: 12), n % 12) ELSE list_transform(range(0, n // 12), lambda i: 12) END)::BIGINT AS length FROM (SELECT count(*) AS n FROM orders)) GROUP BY length",
+    "d29_terms": "WITH views AS (SELECT row_number() OVER () AS message_id, conv_id, turn, lower(text) AS deleet FROM conversations WHERE text IS NOT NULL), words AS (SELECT message_id, deleet FROM views), "
+      + judged.terms("any_term", {"a": [*lexicons.INTENT_CHANNEL, *lexicons.INTENT_ACTION, *lexicons.INTENT_OFFPLATFORM, *lexicons.INTENT_PAYMENT, *lexicons.HOSTILITY_MILD, *lexicons.HOSTILITY_SEV1, *lexicons.HOSTILITY_SEV2, *lexicons.HOSTILITY_SEV3, *lexicons.EXTORTION_DEMAND,
+          *lexicons.EXTORTION_CONDITIONAL, *lexicons.EXTORTION_LEVERAGE, *lexicons.SCAM_URGENCY, *lexicons.SCAM_PAYMENT, *lexicons.SCAM_TOO_GOOD, "the", "for the", "you", "a", "of the"]}).strip()
+      + " SELECT conv_id, turn, m AS term, s AS start FROM any_term JOIN views USING (message_id)",
     "io2_validation": """SELECT reason, count(*) AS n FROM (
       SELECT CASE WHEN conv_id % 7 = 0 THEN 'message_id is required' WHEN text IS NULL THEN 'text is required' WHEN length(text) > 8000 THEN 'text exceeds 8000 characters'
         WHEN role IS DISTINCT FROM 'user' THEN 'sender_role is unknown' WHEN turn % 5 = 4 THEN 'booking_stage is unknown' ELSE 'valid' END AS reason FROM conversations) GROUP BY reason""",
-    "io4_stats": """SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share, round(quantile_cont(value, 0.5), 6) AS p50,
-      round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""",
     "synth_messages": f"WITH {SYNTH} SELECT message_id, conversation_id, sender_role, booking_stage, text FROM synth",
     "n3_n6_folded": f"""SELECT doc_id, length(f) AS n, md5(f) AS digest, c AS confusables FROM (
       SELECT doc_id, lower({FOLDED}) AS f, len(regexp_extract_all(text, '{classes(COUNTED)}'))::BIGINT AS c FROM documents)""",
@@ -111,7 +103,7 @@ ORACLES = {
       long AS (SELECT token, count(*) AS times FROM (SELECT unnest(string_split_regex(token, '{SPLIT}')) AS token FROM cleaned) WHERE length(token) >= 4 AND regexp_matches(token, '\p{{L}}') GROUP BY token),
       trained AS ({scores("long")}),
       edge AS (SELECT round(quantile_cont(score, 0.995), 3) AS threshold FROM trained JOIN long USING (token), range(times)),
-      turns AS (SELECT DISTINCT ON (id) id, folded FROM (SELECT conv_id || '-' || turn AS id, lower(coalesce(text, '')) AS folded FROM conversations)),
+      turns AS (SELECT DISTINCT ON (id) id, folded FROM (SELECT conv_id || '-' || turn || CASE WHEN row_number() OVER w > 1 THEN '#' || row_number() OVER w ELSE '' END AS id, lower(coalesce(text, '')) AS folded FROM conversations WINDOW w AS (PARTITION BY conv_id, turn ORDER BY lower(coalesce(text, ''))))),
       found AS (SELECT id, token, regexp_replace(token, '[^\p{{L}}]', '', 'g') AS letters FROM (SELECT id, unnest(string_split_regex(folded, '{SPLIT}')) AS token FROM turns)
         WHERE length(token) >= 4 AND regexp_matches(token, '\p{{L}}')),
       every AS (SELECT token FROM found UNION ALL SELECT letters FROM found WHERE length(letters) >= 4),
@@ -130,16 +122,16 @@ ORACLES = {
                list_bool_or(list_transform([{listed(PAYMENT_DOMAINS)}], lambda d: host = d OR ends_with(host, '.' || d))) AS p,
                string_split(host, '.')[-1] IN ({listed(RISKY_TLDS)}) AS r
         FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages))) GROUP BY kind""",
-    "d14_d19_contacts": f"WITH {SYNTH} SELECT message_id, (k = 2)::BIGINT AS n, CASE WHEN k = 2 THEN 'user' || message_id || '@okaxis' END AS evidence, CASE WHEN k = 2 THEN 10 END::BIGINT AS start FROM synth",
     "d22_d25_lexicon": f"SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '{SPLIT}')) AS term FROM documents) WHERE term IN ({listed(SINGLE)}) GROUP BY term",
     "d30_keep_longest": """WITH e AS (SELECT user_id, event_id, event_id % 97 AS a, event_id % 97 + event_id % 11 + 1 AS b FROM events)
       SELECT user_id, event_id, a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.user_id = e.user_id AND o.event_id <> e.event_id AND o.a <= e.a AND o.b >= e.b
         AND (o.a < e.a OR o.b > e.b OR o.event_id < e.event_id))""",
-    "r11_saturation": """SELECT CASE WHEN l_quantity < 3 THEN 'allow' WHEN l_quantity > 8 THEN 'block' ELSE 'escalate' END AS band, count(*) AS n,
-      round(sum(0.35 * 6 * (1 - exp(-l_quantity / 12))), 4) AS value FROM lineitem GROUP BY 1""",
+    "r11_saturation": """SELECT 'allow' AS band, floor(0.35 * 6 * (1 - exp(-l_quantity / 12)))::BIGINT AS whole, count(*) AS n,
+      round(sum(0.35 * 6 * (1 - exp(-l_quantity / 12))), 4) AS value FROM lineitem GROUP BY 1, 2""",
     "s1_s2_pressure": """SELECT e.event_id, round(coalesce(sum(abs(o.value) * power(2, -((epoch_us(e.ts) // 1000) - (epoch_us(o.ts) // 1000)) / 3600000::DOUBLE)), 0), 6) AS pressure
       FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND ((epoch_us(o.ts) // 1000), o.event_id) < ((epoch_us(e.ts) // 1000), e.event_id) GROUP BY e.event_id""",
-    "s4_s5_last_messages": """WITH m AS (SELECT DISTINCT ON (id) id AS message_id, conv_id, turn, role, text FROM (SELECT conv_id || '-' || turn AS id, * FROM conversations WHERE role IN ('user', 'assistant'))),
+    "s4_s5_last_messages": """WITH m AS (SELECT conv_id || '-' || turn || CASE WHEN row_number() OVER v > 1 THEN '#' || row_number() OVER v ELSE '' END AS message_id, conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')
+        WINDOW v AS (PARTITION BY conv_id, turn ORDER BY CASE role WHEN 'user' THEN 'guest' ELSE 'host' END, text)),
       w AS (SELECT *, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id::VARCHAR ORDER BY turn, message_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l FROM m),
       o AS (SELECT *, list_filter(l, lambda x: x.role = w.role) AS own FROM w)
       SELECT message_id, CASE WHEN len(own) > 0 THEN array_to_string(list_transform(own[greatest(len(own) - 2, 1):], lambda x: x.text), ' ') || ' ' || text END AS rescan_text FROM o""",
@@ -147,7 +139,8 @@ ORACLES = {
       SELECT event_id, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS strikes,
         sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 600000 PRECEDING AND 1 PRECEDING) AS recent FROM events)""",
     "c2_fnv1a": """SELECT word, hash::BIGINT AS hash, (hash % 16384)::BIGINT AS cell FROM (
-      SELECT n_name AS word, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(n_name, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash FROM nation)""",
+      SELECT word, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(word, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash
+        FROM (SELECT n_name AS word FROM nation UNION SELECT c_mktsegment FROM customer))""",
     "c3_hashed_trigrams": """WITH grams AS (SELECT item_id, unnest(list_transform(range(1, length(text) + 1), lambda i: substring(' ' || lower(text) || ' ', i, 3))) AS g FROM benchmark),
       hashed AS (SELECT g, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(g, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 16384 AS cell
         FROM (SELECT DISTINCT g FROM grams)),
@@ -170,10 +163,7 @@ ORACLES = {
     "e4_cost": "SELECT event_type AS value, round((count(*) / sum(count(*)) OVER ())::DOUBLE * 100000 * (320 * 0.05 + 60 * 0.08)::DOUBLE / 1000000, 6) AS dollars FROM events GROUP BY event_type",
     "e5_percentiles": """SELECT round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99,
       round(max(l_extendedprice), 4) AS max FROM lineitem""",
-    "e7_mined": f"""WITH t AS (SELECT list_filter(string_split_regex(lower(coalesce(text, '')), '{SPLIT}'), lambda w: length(w) > 1 AND NOT list_contains([{listed(STOPWORDS)}], w)) AS w FROM conversations),
-      p AS (SELECT unnest(list_distinct(list_filter(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
-        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), lambda x: length(x) >= 4))) AS phrase FROM t)
-      SELECT phrase, count(*) AS n FROM p GROUP BY phrase HAVING count(*) >= 2""",
+    "e7_mined": f"WITH c AS (SELECT lower(coalesce(text, '')) AS folded FROM conversations), {judged.phrases('c')}",
     "p3_masked": """SELECT o_orderkey, substring(t, 1, k) || '•••' || substring(t, k + 3, 2) || '•••' || substring(t, k + 4 + o_orderkey % 3 + 2) AS masked FROM (
       SELECT o_orderkey, o_orderkey % 5 AS k, 'order ' || o_orderkey || ' is here and on its way' AS t FROM orders)""",
 }

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.config import RiskConfig
 from saltmarsh.functions import detectors, digitruns, normalize, policy, score, wording
-from saltmarsh.functions.spans import alternation, located
-from saltmarsh.lexicons import HOSTILITY_MILD, HOSTILITY_SEV1, HOSTILITY_SEV2, INTENT_CHANNEL
+from saltmarsh import lexicons
+from saltmarsh.functions.spans import DETECTION, alternation, exploded, kept_longest, terms_in
+from saltmarsh.lexicons import HOSTILITY_SEV1, HOSTILITY_SEV2
 from saltmarsh.operators import adjudicate, classifier, evaluate, moderate, session, stateful, weirdness
 from saltmarsh.sources import corpus, messages
+from saltmarsh.storage import scratch, written
 from saltmarsh.streaming import moderation
 
 QUERIES = {}
@@ -37,6 +36,13 @@ def rounded(c, digits: int = 6):
     return F.round(c, digits)
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that repeat a key get a number behind it."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(*[F.col(c) for c in rows.columns if c != key]))
+    rows = rows.withColumn("__place", place)
+    return rows.withColumn(key, F.when(F.col("__place") > 1, F.concat_ws("#", key, F.col("__place").cast("string"))).otherwise(F.col(key))).drop("__place")
+
+
 # --- the cascade over synthesised messages
 
 
@@ -62,13 +68,13 @@ def moderate_messages(spark: SparkSession, folder: str) -> DataFrame:
 def policy_actions(spark: SparkSession, folder: str) -> DataFrame:
     """What is delivered, with masking preferred."""
     done = policy.with_policy(moderate.moderated(synth(spark, folder)), prefer_masking=True)
-    return done.select("message_id", "action", "reason", "delivered_text", "cooldown")
+    return done.select("message_id", "action", "delivered_text", "cooldown")
 
 
 @query
 def stateful_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """The cascade with conversations' state."""
-    done = stateful.moderated(synth(spark, folder))
+    """The cascade with conversations' state, and the policy's cooldown."""
+    done = stateful.delivered(stateful.moderated(synth(spark, folder)))
     return done.select("message_id", rounded("score", 4).alias("score"), "verdict", "merged", rounded("digit_pressure", 4).alias("digit_pressure"), F.col("strikes").cast("long").alias("strikes"), F.col("recent_blocks").cast("long").alias("recent_blocks"))
 
 
@@ -79,22 +85,12 @@ def moderate_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return done.groupBy("sender_role", "verdict", "resolved_by").agg(F.count("*").alias("n"))
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; only a local master may do without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="saltmarsh-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def stream_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """The stateful cascade over the conversations' turns as a stream of files, run until all are read."""
     given = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{folder}/conversations.parque[t]")
     done = moderation.moderated(messages.from_conversations(given))
-    out, marks = shared(spark, "stream"), shared(spark, "marks")
+    out, marks = scratch(spark, "stream"), scratch(spark, "marks")
     flat = done.select("message_id", "sender_role", "verdict", rounded("score", 4).alias("score"), "merged")
     flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("message_id string, sender_role string, verdict string, score double, merged string").parquet(out)
@@ -105,9 +101,7 @@ def c7_trained(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled synthetic conversations under a classifier trained on them: rows by label and decision."""
     rows = corpus.generated(spark, 150).withColumnRenamed("id", "message_id")
     rows = score.with_score(moderate.analysed(rows)).withColumn("y", (F.col("label") == "adversarial").cast("int"))
-    path = shared(spark, "analysed")
-    rows.write.parquet(path)  # training goes over the rows again and again
-    rows = spark.read.schema(rows.schema).parquet(path)
+    rows = written(rows, "analysed")  # training goes over the rows again and again
     chosen = classifier.samples(rows, "y")
     model = classifier.train(chosen, "message_id", "y", iterations=20)
     p = classifier.probabilities(classifier.features(rows, "message_id"), model.weights, model.bias, "message_id")
@@ -119,8 +113,8 @@ def c7_trained(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def io11_wording(spark: SparkSession, folder: str) -> DataFrame:
-    """What senders read about the synthesised messages."""
-    done = moderate.moderated(synth(spark, folder))
+    """What people read about the messages of every technique."""
+    done = moderate.moderated(messages.techniques(table(spark, folder, "orders")))
     kinds, verdict = F.array_sort("categories"), F.col("verdict")
     told = done.select(wording.label(verdict).alias("label"), wording.tone(verdict).alias("tone"), wording.summary(kinds, verdict).alias("summary"))
     return told.groupBy("label", "tone", "summary").agg(F.count("*").alias("n"))
@@ -134,13 +128,6 @@ def e6_replayed(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.groupBy("length").agg(F.count("*").alias("conversations"))
 
 
-@query
-def io3_health(spark: SparkSession, folder: str) -> DataFrame:
-    """Which tiers are live, and what happens when the last one fails."""
-    c = RiskConfig()
-    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(True).alias("deterministic"), F.lit(False).alias("adjudicator"), *[F.lit(m).alias(f"fail_{k}") for k, m in sorted(c.failMode.items())])
-
-
 @query
 def io2_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Requests made of conversations, some broken on purpose, by the reason that they are rejected for."""
@@ -153,15 +140,6 @@ def io2_validation(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.coalesce(messages.reject_reason(), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query
-def io4_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts, shares and percentiles by type of event."""
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"), p.alias("p"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy())
-    return g.select("event_type", "n", rounded(share).alias("share"), *[rounded(F.col("p")[k]).alias(f"p{q}") for k, q in enumerate((50, 95, 99))])
-
-
 @query
 def synth_messages(spark: SparkSession, folder: str) -> DataFrame:
     return synth(spark, folder).select("message_id", "conversation_id", "sender_role", "booking_stage", "text")
@@ -231,7 +209,8 @@ def w7_w8_trigrams(spark: SparkSession, folder: str) -> DataFrame:
 def w1_w5_weird_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the conversations' tokens under the documents' model, and the number over the threshold."""
     model = weirdness.train(table(spark, folder, "documents"))
-    c = table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("folded")).dropDuplicates(["id"])
+    c = table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("folded"))
+    c = numbered(c, "id")
     done = weirdness.with_weirdness(c, model, "id")
     return done.select("id", rounded("weird_score").alias("weird_score"), F.col("weird_tokens").cast("long").alias("weird_tokens"))
 
@@ -242,43 +221,45 @@ def w1_w5_weird_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def d8_emails(spark: SparkSession, folder: str) -> DataFrame:
     """Plain addresses in the documents."""
-    d = table(spark, folder, "documents").select("doc_id", located(F.lower("text"), detectors.EMAIL).alias("hits"))
-    return d.select("doc_id", F.size("hits").cast("long").alias("n"), F.array_join(F.transform("hits", lambda h: h["match"]), ",").alias("found")).where("n > 0")
+    plain = F.filter(detectors.emails(F.lower("text")), lambda d: d["confidence"] == 0.97)
+    d = exploded(table(spark, folder, "documents"), plain, "d", kept=["doc_id"])
+    return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda x: x["evidence"]), ",").alias("found"))
 
 
 @query
 def d10_url_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Hosts of the pages by class."""
     host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
-    kind, sure = detectors._classified(host)
-    p = table(spark, folder, "pages").select(F.element_at(F.array(kind), 1).alias("kind"), sure.alias("sure"))
+    c = detectors.classified(host)
+    p = table(spark, folder, "pages").select(c["kind"].alias("kind"), c["sure"].alias("sure"))
     return p.groupBy("kind").agg(F.count("*").alias("n"), rounded(F.max("sure")).alias("confidence"))
 
 
 @query
-def d14_d19_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    """Handles and payment addresses in the synthesised messages."""
-    s = synth(spark, folder).select("message_id", F.col("text").alias("folded"))
-    upi = detectors.upis(F.col("folded"))
-    s = s.select("message_id", upi.alias("u"))
-    return s.select("message_id", F.size("u").cast("long").alias("n"), F.try_element_at("u", F.lit(1))["evidence"].alias("evidence"), F.try_element_at("u", F.lit(1))["start"].cast("long").alias("start"))
+def d22_d25_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """How often single words of the lexicons stand in the documents."""
+    single = [t for t in dict.fromkeys([*lexicons.INTENT_CHANNEL, *lexicons.HOSTILITY_MILD, *lexicons.HOSTILITY_SEV1, *lexicons.HOSTILITY_SEV2]) if t.isalpha()]
+    d = exploded(table(spark, folder, "documents"), terms_in(F.lower("text"), single), "h")
+    return d.groupBy(F.col("h.match").alias("term")).agg(F.count("*").alias("n"))
 
 
 @query
-def d22_d25_lexicon(spark: SparkSession, folder: str) -> DataFrame:
-    """How often single words of the lexicons stand in the documents."""
-    single = [t for t in dict.fromkeys([*INTENT_CHANNEL, *HOSTILITY_MILD, *HOSTILITY_SEV1, *HOSTILITY_SEV2]) if t.isalpha()]
-    d = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(alternation(single)), F.lit(0))).alias("term"))
-    return d.groupBy("term").agg(F.count("*").alias("n"))
+def d29_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Where terms of all lexicons, phrases too, stand in the conversations."""
+    c = table(spark, folder, "conversations").where("text IS NOT NULL")
+    terms = [*lexicons.INTENT_CHANNEL, *lexicons.INTENT_ACTION, *lexicons.INTENT_OFFPLATFORM, *lexicons.INTENT_PAYMENT, *detectors.HOSTILE, *detectors.THREAT, *detectors.SCAM, "the", "for the", "you", "a", "of the"]
+    h = exploded(c, terms_in(F.lower("text"), terms), "h", kept=["conv_id", "turn"])
+    return h.select("conv_id", "turn", F.col("h.match").alias("term"), F.col("h.start").cast("long").alias("start"))
 
 
 @query
 def d30_keep_longest(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a user as intervals, without those inside another."""
     e = table(spark, folder, "events").select("user_id", "event_id", (F.col("event_id") % 97).alias("a"), (F.col("event_id") % 97 + F.col("event_id") % 11 + 1).alias("b"))
-    w = W.partitionBy("user_id").orderBy("a", F.desc("b"), "event_id").rowsBetween(W.unboundedPreceding, -1)
-    kept = e.withColumn("reach", F.max("b").over(w)).where("reach IS NULL OR reach < b")
-    return kept.select("user_id", "event_id", "a", "b")
+    span = F.struct("event_id", F.col("a").alias("start"), F.col("b").alias("end"))
+    held = e.groupBy("user_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    k = exploded(held, kept_longest(F.col("spans")), "k", kept=["user_id"])
+    return k.select("user_id", "k.event_id", F.col("k.start").alias("a"), F.col("k.end").alias("b"))
 
 
 # --- scores
@@ -286,11 +267,11 @@ def d30_keep_longest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def r11_saturation(spark: SparkSession, folder: str) -> DataFrame:
-    """Contribution of digit pressure, and the band that a price stands for."""
-    p = F.col("l_quantity")
-    value = 0.35 * score.PRESSURE_CAP * (1 - F.exp(-p / score.PRESSURE_SCALE))
-    band = F.when(p < 3, "allow").when(p > 8, "block").otherwise("escalate")
-    return table(spark, folder, "lineitem").groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("value"))
+    """What digit pressure alone adds to scores, quantities standing for it."""
+    none = {"text": F.lit(""), "detections": F.array().cast(DETECTION), "runs": F.array().cast(digitruns.RUN), "booking_stage": F.lit("pre_booking"), "sender_role": F.lit("guest")}
+    rows = table(spark, folder, "lineitem").select(F.col("l_quantity").alias("digit_pressure"), *[v.alias(k) for k, v in none.items()], *[F.lit(0).alias(k) for k in ("zero_width", "confusables", "noise")])
+    done = score.with_score(rows)
+    return done.groupBy("band", F.floor("score").alias("whole")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("value"))
 
 
 # --- sessions
@@ -308,7 +289,7 @@ def s1_s2_pressure(spark: SparkSession, folder: str) -> DataFrame:
 def s4_s5_last_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The same sender's texts among the last five, at most three, and the current one."""
     c = messages.from_conversations(table(spark, folder, "conversations")).withColumns({"runs": F.array().cast(digitruns.RUN), "detections": F.array().cast(detectors.DETECTION)})
-    c = c.dropDuplicates(["message_id"])
+    c = numbered(c, "message_id")
     return session.with_session(c).select("message_id", F.col("rescan_text"))
 
 
@@ -316,7 +297,8 @@ def s4_s5_last_messages(spark: SparkSession, folder: str) -> DataFrame:
 def s13_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
     """Earlier purchases of a user within ten minutes, as blocks."""
     e = table(spark, folder, "events").select("event_id", F.col("user_id").alias("conversation_id"), F.lit("guest").alias("sender_role"), "ts", F.col("event_id").alias("message_id"), "event_type")
-    done = session.strikes(e, F.col("event_type") == "purchase")
+    hit = F.col("event_type") == "purchase"
+    done = session.recent_blocks(session.strikes(e, hit), hit)
     return done.select("event_id", F.col("strikes").cast("long").alias("strikes"), F.col("recent_blocks").cast("long").alias("recent_blocks"), (F.col("recent_blocks") >= 3).alias("cooldown"))
 
 
@@ -325,8 +307,8 @@ def s13_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def c2_fnv1a(spark: SparkSession, folder: str) -> DataFrame:
-    """Hashes of the customers' market segments and nations' names."""
-    n = table(spark, folder, "nation").select(F.col("n_name").alias("word"))
+    """Hashes of the customers' market segments and the nations' names."""
+    n = table(spark, folder, "nation").select(F.col("n_name").alias("word")).union(table(spark, folder, "customer").select("c_mktsegment")).distinct()
     return n.select("word", classifier.fnv1a(F.col("word")).alias("hash"), (classifier.fnv1a(F.col("word")) % classifier.HASHED).alias("cell"))
 
 
@@ -338,14 +320,6 @@ def c3_hashed_trigrams(spark: SparkSession, folder: str) -> DataFrame:
     return cells.groupBy("item_id").agg(F.count("*").alias("cells"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query
-def c1_dense_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Sums of the named features over the synthesised messages."""
-    done = score.with_score(moderate.analysed(synth(spark, folder)))
-    named = done.select(F.posexplode(classifier.dense(done)).alias("idx", "value"))
-    return named.groupBy("idx").agg(F.round(F.sum("value"), 4).alias("total"))
-
-
 @query
 def c5_c6_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Sigmoid and decision over the events' values as logits."""
@@ -439,14 +413,6 @@ def e7_mined(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.mined(c, top=None)
 
 
-@query
-def e8_self_play(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct synthesised texts, and those that the stateless cascade acts on."""
-    done = moderate.moderated(synth(spark, folder))
-    rate, _ = evaluate.self_play(done.select("text", "verdict"), F.col("verdict") != "allow")
-    return rate
-
-
 @query
 def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Comments masked at places given by their keys."""

@@ -70,3 +70,41 @@ def from_conversations(conversations: DataFrame) -> DataFrame:
         role.alias("sender_role"), F.lit("pre_booking").alias("booking_stage"), "text", F.lit(None).cast("string").alias("mode"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60).alias("ts"),
     )
+
+
+#: Texts for each technique and each innocent look-alike. <m> is a mobile made of the order's key, <s> it with blanks, <w> and <h> it in words,
+#: <v> with invisible characters, <f> in wide digits, <n> its nine last digits, <5> five, <4> four of them, <k> the key.
+TECHNIQUES = [
+    "call me on <m>", "my number is <s>", "reach me at <w>", "mera number <h>", "call me on <v> ok", "find me on <f> please", "c1all m22e on <m> now", "wh4t5app me on <m>",
+    "whаtsapp me оn <m>", "ﬁrst call Straße <m>", "ring +91<m>!", "ring (<5>) (<n>)", "<4>-<5>-<k>", "double <4> triple 9 <5> five4", "to do for no one", "nine one two to <5>",
+    "booking ref 20260115<4> please", "call 4420<n>", "<5> only", "the total is ₹98,<4> for 5 nights", "the pin code is 4<5>", "i left my iPhone 15 Pro, 256GB there", "flight AI<4> lands at 9 am", "we are 2 guests and 3 kids",
+    "write to guest<k>@gmail.com", "mail john.doe<k> at gmail dot com", "john<k> (at) proton [dot] me", "a.b@c<k>.co.in ok", "pay me on user<k>@okaxis", "pay <m>@ybl now", "pay x<k>@okaxis.com", "not@<k>",
+    "see wa.me/91<m>", "instagram dot com slash me<k>", "look at bit.ly/x<k>", "pay at paypal.me/u<k>", "go to deal<k>.xyz", "our site villa<k>.com/rooms", "gооgle<k>.com is it", "t.me/user<k> or x.com",
+    "insta: some_one<k>", "insta id is the", "follow @some.one<k> or @a.com", "telegram me <4> ok", "same handle as my name on insta", "signal user: abc<4>z", "whatsapp <w>", "the gate code is <4>",
+    "here is the address near gate code <4>", "what is the exact address", "share location and live location pin", "book direct with me", "let us chat on whatsapp", "someone asked me to chat on whatsapp", "call me or google pay me",
+    "find me on insta and dm me on telegram", "let us call it a day, call me", "book direct flights to <k>", "send me your number please", "you stupid clown", "we had a shitty flight", "you are such a damn idiot", "f*ck off you b*tch",
+    "refund me or else i leave a bad review", "refund me, the 1 star is written", "otherwise i report you", "give me a refund please", "pay the deposit urgently at secure<k>.xyz", "urgent: free gift at win<k>.click, hurry", "thanks see you soon",
+    "someone contacted me on whatsapp asking for my number <m>", "c4ll me 0n wh4tsapp", "is breakfast included", "",
+]
+WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+HINDI = ["shunya", "ek", "do", "teen", "chaar", "paanch", "chhe", "saat", "aath", "nau"]
+
+
+def techniques(orders: DataFrame) -> DataFrame:
+    """One message for each order, by arithmetic on its key, over all of TECHNIQUES."""
+    key = F.col("o_orderkey")
+    mobile = (F.lit(6_000_000_000) + (key * 7919) % 3_999_999_999).cast("string")
+    spaced = F.regexp_replace(mobile, "(?<=.)(?=.)", " ")
+    said = lambda words: F.array_join(F.transform(F.split(spaced, " "), lambda d: F.element_at(F.array(*map(F.lit, words)), d.cast("int") + 1)), " ")
+    made = {
+        "m": mobile, "s": spaced, "w": said(WORDS), "h": said(HINDI), "v": F.regexp_replace(mobile, "(?<=.)(?=.)", "​"), "f": F.translate(mobile, "0123456789", "０１２３４５６７８９"),
+        "n": F.substring(mobile, 2, 9), "5": F.substring(mobile, 1, 5), "4": F.substring(mobile, 7, 4), "k": key.cast("string"),
+    }
+    text = F.element_at(F.array(*map(F.lit, TECHNIQUES)), (key % len(TECHNIQUES) + 1).cast("int"))
+    for name, value in made.items():
+        text = F.replace(text, F.lit(f"<{name}>"), value)
+    return orders.select(
+        key.alias("message_id"), (F.floor(key / 96)).alias("conversation_id"), F.when(F.floor(key / 8) % 2 == 0, "guest").otherwise("host").alias("sender_role"),
+        F.when(F.floor(key / 8) % 5 == 0, "post_booking").otherwise("pre_booking").alias("booking_stage"), text.alias("text"), F.lit(None).cast("string").alias("mode"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + key * 300).alias("ts"),
+    )
