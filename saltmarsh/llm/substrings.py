@@ -11,7 +11,8 @@ two, four, ...) split suffixes until a part fits MOST_WINDOWS. A part's subtree
 common prefix of neighbours; an internal node is a run of neighbours that share that much. Words are compared, not hashes; a
 suffix whose window's hash is alone in its part is a leaf and left out before.
 
-A text that the same task has had under a smaller id is not sent: all its windows repeat.
+What the same task has had under a smaller id is not sent, since it repeats whatever others have: whole texts, and windows that a table of
+SLOTS recent ones still holds (known by 128 bits). So each task sends a passage that many documents share a few times, and not once for each of them.
 
 Defined cases: a null text has no words. Texts with fewer words than a window lose nothing. Rows that repeat an id are
 judged each by its own text; windows of equal ids don't remove each other, nor does a document its own. A null
@@ -37,6 +38,8 @@ WINDOW, GRAM = 13, 3
 GROUPS, PACKED_BYTES = 3, 40 << 20
 #: Suffixes that one subtree is built of.
 MOST_WINDOWS = 1_000_000
+#: Windows that a task remembers (a power of two).
+SLOTS = 1 << 20
 NULL_ID = (1 << 63) - 1
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 TAG = 0xFFFFFFFF
@@ -64,16 +67,49 @@ def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, h ^ (h >> np.uint64(29))
 
 
-def runs(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of suffixes that share their minimizer: first suffix, the one after the last, and the minimizer."""
+def runs(hashes: np.ndarray, window: int, lost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of suffixes that share their minimizer and aren't lost: first suffix, the one after the last, and the minimizer."""
     grams = hashes[: len(hashes) - GRAM + 1] * ODD[0]
     for k in range(1, GRAM):
         grams = (grams ^ hashes[k : len(hashes) - GRAM + 1 + k]) * ODD[k]
     grams ^= grams >> np.uint64(32)
     width = window - GRAM + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
-    first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-    return first, np.append(first[1:], len(at)), grams[at[first]]
+    turns = np.diff(at) != 0 if lost is None else (np.diff(at) != 0) | (lost[1:] != lost[:-1])
+    first = np.concatenate(([0], np.flatnonzero(turns) + 1))
+    after = np.append(first[1:], len(at))
+    if lost is not None:
+        stay = ~lost[first]
+        first, after = first[stay], after[stay]
+    return first, after, grams[at[first]]
+
+
+class Recent:
+    """Windows that a task had lately, each with the least id it was seen under; a slot holds the last one that falls on it."""
+
+    def __init__(self, window: int, slots: int = SLOTS) -> None:
+        self.window, self.mask = window, np.uint64(slots - 1)
+        self.keys, self.checks, self.ids = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, NULL_ID, np.int64)
+
+    def lost(self, docs: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+        """For each document (id, its words' hashes, a window or more) which of its windows a smaller id has had."""
+        sizes = [len(h) for _, h in docs]
+        words = np.concatenate([h for _, h in docs])
+        starts = np.array([n - self.window + 1 for n in sizes])
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(int(starts.sum())) + np.repeat(begin - (np.cumsum(starts) - starts), starts)
+        ids = np.repeat(np.array([i for i, _ in docs], np.int64), starts)
+        keys, checks = windows(words, self.window)[at], windows(words * ODD[1] ^ ODD[2], self.window)[at]
+        slots = (keys >> np.uint64(20)) & self.mask
+        gone = self._has(keys, checks, slots, ids)
+        left = np.flatnonzero(~gone)
+        left = left[np.argsort(-ids[left], kind="stable")]  # the least id is written last, and stays
+        self.keys[slots[left]], self.checks[slots[left]], self.ids[slots[left]] = keys[left], checks[left], ids[left]
+        gone[left] = self._has(keys[left], checks[left], slots[left], ids[left])
+        return np.split(gone, np.cumsum(starts)[:-1])
+
+    def _has(self, keys: np.ndarray, checks: np.ndarray, slots: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return (self.keys[slots] == keys) & (self.checks[slots] == checks) & (self.ids[slots] < ids)
 
 
 class Packer:
@@ -204,21 +240,21 @@ def _tag(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(TAG))
 
 
-def _spans(docs: DataFrame, window: int, most: int) -> DataFrame:
+def _spans(docs: DataFrame, window: int, most: int, slots: int) -> DataFrame:
     """(id, tag, first, last) of repeated passages of docs (id, content)."""
     n = shuffle_partitions(docs.sparkSession)
     groups = GROUPS * n
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(), {}
+        packer, seen, recent = Packer(), {}, Recent(window, slots)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["group", "blob", "id", "tag", "n"])
+            types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["group", "blob", "id", "tag", "first", "last"])
 
         for whole in batches:
             for batch in slices(whole):
-                copies = []
+                told, docs = [], []
                 for i, text in zip(batch.column(0).to_pylist(), contents(batch.column(1))):
                     begin, end, h = hashed(text)
                     if len(h) < window:
@@ -227,20 +263,24 @@ def _spans(docs: DataFrame, window: int, most: int) -> DataFrame:
                     tag = xxhash.xxh64_intdigest(text, 42) & TAG
                     if (before := seen.get(key)) is not None and before <= i:
                         if before < i:
-                            copies.append((i % groups, None, i, tag, len(h)))
+                            told.append((i % groups, None, i, tag, 0, len(h)))
                         continue
                     seen[key] = i
-                    first, after, least = runs(h, window)
+                    docs.append((i, tag, text, begin, end, h))
+                for (i, tag, text, begin, end, h), lost in zip(docs, recent.lost([(d[0], d[5]) for d in docs]) if docs else []):
+                    edges = np.flatnonzero(np.diff(lost.view(np.int8), prepend=0, append=0)).tolist()
+                    told += [(i % groups, None, i, tag, a, b + window - 1) for a, b in zip(edges[::2], edges[1::2])]
+                    first, after, least = runs(h, window, lost)
                     starts, stops = begin[first].tolist(), end[after + window - 2].tolist()
                     to = (((least * ODD[2]) >> np.uint64(20)) % np.uint64(groups)).tolist()
                     for g, a, b, f, e in zip(to, starts, stops, first.tolist(), after.tolist()):
                         packer.add(g, text[a:b], (i, tag, f, e - f + window - 1))
                     if packer.size > PACKED_BYTES:
                         for g, blob in packer.packed():
-                            yield out([(g, blob, None, None, None)])
-                if copies:
-                    yield out(copies)
-        rows = [(g, blob, None, None, None) for g, blob in packer.packed()]
+                            yield out([(g, blob, None, None, None, None)])
+                if told:
+                    yield out(told)
+        rows = [(g, blob, None, None, None, None) for g, blob in packer.packed()]
         for k in range(0, len(rows), 100):
             yield out(rows[k : k + 100])
 
@@ -253,30 +293,33 @@ def _spans(docs: DataFrame, window: int, most: int) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, 64):
-                for g, blob, i, tag, size in zip(*[c.to_pylist() for c in batch.columns]):
+                told = []
+                for g, blob, i, tag, first, last in zip(*[c.to_pylist() for c in batch.columns]):
                     if blob is None:
-                        yield out([i], [tag], [0], [size])
+                        told.append((i, tag, first, last))
                         continue
                     if g != group:
                         for found in repeats(held, window, most):
                             yield out(*found)
                         held, group = [], g
                     held.append(blob)
+                if told:
+                    yield out(*zip(*told))
         for found in repeats(held, window, most):
             yield out(*found)
 
-    packed = docs.mapInArrow(pack, "group int, blob binary, id long, tag long, n long")
+    packed = docs.mapInArrow(pack, "group int, blob binary, id long, tag long, first long, last long")
     return packed.repartition(n, "group").sortWithinPartitions("group").mapInArrow(find, "id long, tag long, first long, last long")
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, most: int = MOST_WINDOWS, slots: int = SLOTS) -> DataFrame:
     """Adds n_words, n_removed, removed (spans of words, as first and last + 1) and kept_text, the other words joined by blanks; columns of these names are replaced."""
     if window <= GRAM:
         raise ValueError(f"a window has more than {GRAM} words")
     new = ["n_words", "n_removed", "removed", "kept_text"]
     kept = [c for c in docs.columns if c not in new or c in (doc_id, text)]
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    spans = _spans(docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("content")), window, most)
+    spans = _spans(docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("content")), window, most, slots)
     by_row = spans.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("__spans"))
     plain = docs.select(*[docs[f"`{c}`"] for c in kept]).withColumns({"__own": ids, "__own_tag": _tag(text_of(text))})
     joined = plain.join(by_row, (F.col("__own") == F.col("__id")) & (F.col("__own_tag") == F.col("__tag")), "left").select(*[F.col(f"`{c}`") for c in kept], "__spans")

@@ -59,3 +59,19 @@ def test_whole_table(spark, small):
     done = substrings.deduplicated(docs.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in done.collect()], key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 64, 2])
+def test_common_passages_are_sent_seldom(spark, slots):
+    """A third of the rows share a line; whatever the table of recent windows holds, the results are those of all pairs."""
+    line = " ".join(f"line{k}" for k in range(20))
+    rows = [(900 - i if i % 7 else i, f"own{i} a{i} b{i} {line if i % 3 == 0 else 'none ' * (i % 20)} tail{i} {line if i % 5 == 0 else ''}", "en", "s", 1) for i in range(400)]
+    done = substrings.deduplicated(documents(spark, rows), slots=slots)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in done.collect()], key=str) == brute(rows)
+
+
+def test_recent_windows():
+    recent = substrings.Recent(13)
+    line = substrings.hashed(" ".join(f"w{k}" for k in range(30)).encode())[2]
+    assert [x.sum() for x in recent.lost([(5, line), (3, line), (9, line), (3, line)])] == [18, 0, 18, 0]
+    assert [x.sum() for x in recent.lost([(4, line), (2, line), (3, line[4:])])] == [18, 0, 14]
