@@ -64,7 +64,7 @@ rows AS (
     CASE WHEN (o_orderkey // 8) % 5 = 0 THEN 'post_booking' ELSE 'pre_booking' END AS booking_stage, (6000000000 + (o_orderkey * 7919) % 3999999999)::VARCHAR AS mobile,
     CASE o_orderkey % 8 WHEN 0 THEN 'call me on ' || mobile WHEN 1 THEN 'the price is ' || (o_orderkey % 9000 + 1000) || ' per night for 2 guests'
       WHEN 2 THEN 'pay me on user' || o_orderkey || '@okaxis' WHEN 3 THEN 'thanks see you soon' WHEN 4 THEN 'write to guest' || o_orderkey || '@gmail.com'
-      WHEN 5 THEN 'see wa.me/91' || mobile WHEN 6 THEN 'you stupid clown' ELSE 'house no 4 near the temple' END AS text, o_orderdate AS ts
+      WHEN 5 THEN 'see wa.me/91' || mobile WHEN 6 THEN 'you stupid clown' ELSE 'house no 4 near the temple' END AS text, epoch_ms(o_orderdate) AS ms
   FROM orders)"""
 
 
@@ -72,7 +72,7 @@ def source_techniques() -> str:
     spell = lambda words: "array_to_string(list_transform(string_split(mobile, ''), lambda c: ([" + listed(words) + "])[c::INT + 1]), ' ')"
     made = {
         "m": "mobile", "s": "array_to_string(string_split(mobile, ''), ' ')", "w": spell(WORDS), "h": spell(HINDI), "v": "array_to_string(string_split(mobile, ''), chr(8203))",
-        "f": "translate(mobile, '0123456789', '０１２３４５６７８９')", "n": "mobile[2:10]", "5": "mobile[1:5]", "4": "mobile[7:10]", "k": "o_orderkey::VARCHAR",
+        "f": "translate(mobile, '0123456789', '０１２３４５６７８９')", "n": "mobile[2:10]", "5": "mobile[1:5]", "t": "mobile[6:10]", "4": "mobile[7:10]", "k": "o_orderkey::VARCHAR",
     }
     text = f"([{listed(TECHNIQUES)}])[o_orderkey % {len(TECHNIQUES)} + 1]"
     for name, value in made.items():
@@ -413,3 +413,54 @@ ORACLES = {name: _all("best", LISTED, names) for name, names in DETECTORS.items(
     "e7_uncaught": _all("best", f", missed AS (SELECT folded FROM views v WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.message_id = v.message_id AND regexp_matches(type, '^(contact|safety|payment)[.]'))), {phrases('missed')}"),
     "e8_self_play": _all("scored", " SELECT count(*) AS n, count(*) FILTER (c) AS caught FROM (SELECT lower(text) AS t, bool_or(verdict <> 'allow') AS c FROM scored GROUP BY 1)"),
 }
+
+
+def sessions(source: str) -> str:
+    """Tables up to `settled`: conversations with state. Fragments are merged by a recursion over each conversation's messages that have some."""
+    from saltmarsh.operators.session import EXPLAINED
+
+    near = lambda part: f"regexp_matches({part}, {re2(EXPLAINED)})"
+    before, after = "denoised[greatest(start - 20, 0) + 1:start]", 'denoised["end" + 1:"end" + 20]'
+    joint = f"WITH rows AS (SELECT message_id, conversation_id, sender_role, booking_stage, again AS text FROM sess WHERE again IS NOT NULL AND message_id IN (SELECT message_id FROM runs)),{views()},{runs()},\n{found()},\n{best(['phone', 'email', 'url', 'upi'])} SELECT * FROM best"
+    return f"""WITH RECURSIVE {source},{views()},{runs()},
+{found()},
+{best()},
+amounts AS (SELECT v.message_id, v.conversation_id, v.sender_role, v.ms, v.text, coalesce(d.n, 0) * CASE v.booking_stage WHEN 'post_booking' THEN 0.2 ELSE 1 END AS amount, coalesce(i.n, 0) AS meant, coalesce(k.types, []) AS types
+  FROM views v LEFT JOIN (SELECT message_id, sum(length(digits)) AS n FROM runs GROUP BY 1) d USING (message_id) LEFT JOIN (SELECT message_id, count(*) AS n FROM best WHERE starts_with(type, 'intent.') GROUP BY 1) i USING (message_id)
+  LEFT JOIN (SELECT message_id, list(DISTINCT type) AS types FROM best GROUP BY 1) k USING (message_id)),
+decayed AS (SELECT a.message_id, coalesce(sum(b.amount * power(2, -(a.ms - b.ms) / 3600000::DOUBLE)), 0) AS digit_pressure, coalesce(sum(b.meant * power(2, -(a.ms - b.ms) / 3600000::DOUBLE)), 0) AS session_intent
+  FROM amounts a LEFT JOIN amounts b ON b.conversation_id = a.conversation_id AND (b.ms, b.message_id) < (a.ms, a.message_id) GROUP BY a.message_id),
+held AS (SELECT *, list({{'who': sender_role, 'text': text, 'types': types}}) OVER (PARTITION BY conversation_id ORDER BY ms, message_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS last FROM amounts),
+mine AS (SELECT *, list_filter(last, lambda x: x.who = held.sender_role) AS own FROM held),
+sess AS (SELECT m.*, v.booking_stage, CASE WHEN len(own) > 0 THEN array_to_string(list_transform(own[greatest(len(own) - 2, 1):], lambda x: x.text), ' ') || ' ' || m.text END AS again, list_concat(m.types, flatten(list_transform(own, lambda x: x.types))) AS seen
+  FROM mine m JOIN (SELECT message_id, booking_stage FROM views) v USING (message_id)),
+joint AS ({joint}),
+crossed AS (SELECT j.* FROM joint j JOIN sess s USING (message_id) WHERE regexp_matches(type, '^(contact\\.phone|payment\\.upi|contact\\.email)') AND NOT list_contains(seen, type) AND j.e > length(again) - length(text)),
+evidence AS (SELECT * FROM best UNION ALL SELECT * FROM crossed),
+loose AS (SELECT message_id, list(digits ORDER BY start) AS digits FROM (SELECT r.*, denoised FROM runs r JOIN views USING (message_id)) r WHERE NOT regexp_matches(digits, '^(91)?[6-9][0-9]{{9}}$') AND NOT regexp_matches({before}, '(?i)[a-z]$')
+  AND NOT regexp_matches({after}, '(?i)^[a-z]') AND NOT {near(before)} AND NOT {near(after)}
+  AND NOT EXISTS (SELECT 1 FROM best b WHERE b.message_id = r.message_id AND NOT starts_with(b.type, 'contact.phone') AND NOT starts_with(b.type, 'intent.') AND b.s <= r.s AND b.e >= r.e) GROUP BY message_id),
+fr AS (SELECT conversation_id, message_id, ms, sender_role, digits, row_number() OVER (PARTITION BY conversation_id ORDER BY ms, message_id) AS k FROM loose JOIN amounts USING (message_id)),
+fold_ AS (
+  SELECT DISTINCT conversation_id, 0::BIGINT AS k, NULL::BIGINT AS message_id, []::STRUCT(ms BIGINT, who VARCHAR, d VARCHAR)[] AS buffer, NULL::VARCHAR AS merged FROM fr
+  UNION ALL
+  SELECT conversation_id, k, message_id, CASE WHEN got IS NULL THEN buffer ELSE list_transform(list_filter(range(1, len(buffer) + 1), lambda i: NOT list_contains(own[got.a:-got.b], i)), lambda i: buffer[i]) END, got.j
+  FROM (SELECT *, list_sort(list_filter(flatten(list_transform(range(1, len(own)), lambda a: list_transform(range(a + 1, len(own) + 1), lambda b:
+        {{'l': -length(array_to_string(list_transform(own[a:b], lambda i: buffer[i].d), '')), 'a': a, 'b': -b, 'j': array_to_string(list_transform(own[a:b], lambda i: buffer[i].d), '')}}))), lambda c: regexp_full_match(c.j, '(91)?[6-9][0-9]{{9}}')))[1] AS got
+    FROM (SELECT *, list_filter(range(1, len(buffer) + 1), lambda i: buffer[i].who = z.sender_role) AS own
+      FROM (SELECT f.conversation_id, f.k, f.message_id, f.sender_role,
+          list_slice(list_concat(list_filter(p.buffer, lambda x: f.ms - x.ms <= 1800000), list_transform(f.digits, lambda d: {{'ms': f.ms::BIGINT, 'who': f.sender_role, 'd': d}})), -10, -1) AS buffer
+        FROM fold_ p JOIN fr f ON f.conversation_id = p.conversation_id AND f.k = p.k + 1) z))),{scored("evidence", "decayed")},
+settled AS (SELECT s.message_id, s.conversation_id, f.merged, CASE WHEN f.merged IS NOT NULL THEN greatest(s.score, 9) ELSE s.score END AS score, CASE WHEN f.merged IS NOT NULL THEN 'block' ELSE s.band END AS band
+  FROM scored s LEFT JOIN (SELECT message_id, merged FROM fold_ WHERE merged IS NOT NULL) f USING (message_id))"""
+
+
+ORACLES["s1_s12_sessions"] = sessions(source_techniques()) + """
+SELECT message_id, round(digit_pressure, 4) AS digit_pressure, round(session_intent, 4) AS session_intent, md5(coalesce(again, '')) AS rescan, coalesce(c.crossed, '') AS crossed, merged, round(score, 4) AS score, band,
+  (sum((band = 'block')::INT) OVER (PARTITION BY t.conversation_id ORDER BY ms, message_id ROWS UNBOUNDED PRECEDING))::BIGINT AS strikes
+FROM settled t JOIN decayed USING (message_id) JOIN (SELECT message_id, again, ms FROM sess) USING (message_id) LEFT JOIN (SELECT message_id, array_to_string(list_sort(list(DISTINCT type)), ',') AS crossed FROM crossed GROUP BY 1) c USING (message_id)"""
+ORACLES["stateful_messages"] = sessions(source_synth()) + """
+SELECT message_id, round(score, 4) AS score, CASE band WHEN 'escalate' THEN 'review' ELSE band END AS verdict, merged, round(digit_pressure, 4) AS digit_pressure,
+  (sum((band = 'block')::INT) OVER (PARTITION BY t.conversation_id ORDER BY ms, message_id ROWS UNBOUNDED PRECEDING))::BIGINT AS strikes,
+  coalesce(sum((band = 'block')::INT) OVER (PARTITION BY t.conversation_id, sender_role ORDER BY ms RANGE BETWEEN 600000 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS recent_blocks
+FROM settled t JOIN decayed USING (message_id) JOIN (SELECT message_id, sender_role, ms FROM sess) USING (message_id)"""

@@ -73,7 +73,7 @@ def from_conversations(conversations: DataFrame) -> DataFrame:
 
 
 #: Texts for each technique and each innocent look-alike. <m> is a mobile made of the order's key, <s> it with blanks, <w> and <h> it in words,
-#: <v> with invisible characters, <f> in wide digits, <n> its nine last digits, <5> five, <4> four of them, <k> the key.
+#: <v> with invisible characters, <f> in wide digits, <n> its nine last digits, <5> five, <t> its last five, <4> four of them, <k> the key.
 TECHNIQUES = [
     "call me on <m>", "my number is <s>", "reach me at <w>", "mera number <h>", "call me on <v> ok", "find me on <f> please", "c1all m22e on <m> now", "wh4t5app me on <m>",
     "whаtsapp me оn <m>", "ﬁrst call Straße <m>", "ring +91<m>!", "ring (<5>) (<n>)", "<4>-<5>-<k>", "double <4> triple 9 <5> five4", "to do for no one", "nine one two to <5>",
@@ -85,6 +85,7 @@ TECHNIQUES = [
     "find me on insta and dm me on telegram", "let us call it a day, call me", "book direct flights to <k>", "send me your number please", "you stupid clown", "we had a shitty flight", "you are such a damn idiot", "f*ck off you b*tch",
     "refund me or else i leave a bad review", "refund me, the 1 star is written", "otherwise i report you", "give me a refund please", "pay the deposit urgently at secure<k>.xyz", "urgent: free gift at win<k>.click, hurry", "thanks see you soon",
     "someone contacted me on whatsapp asking for my number <m>", "c4ll me 0n wh4tsapp", "is breakfast included", "",
+    "<5>", "<t>", "thanks, see you", "digits <5>", "then <t> ok",
 ]
 WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 HINDI = ["shunya", "ek", "do", "teen", "chaar", "paanch", "chhe", "saat", "aath", "nau"]
@@ -98,7 +99,7 @@ def techniques(orders: DataFrame) -> DataFrame:
     said = lambda words: F.array_join(F.transform(F.split(spaced, " "), lambda d: F.element_at(F.array(*map(F.lit, words)), d.cast("int") + 1)), " ")
     made = {
         "m": mobile, "s": spaced, "w": said(WORDS), "h": said(HINDI), "v": F.regexp_replace(mobile, "(?<=.)(?=.)", "​"), "f": F.translate(mobile, "0123456789", "０１２３４５６７８９"),
-        "n": F.substring(mobile, 2, 9), "5": F.substring(mobile, 1, 5), "4": F.substring(mobile, 7, 4), "k": key.cast("string"),
+        "n": F.substring(mobile, 2, 9), "5": F.substring(mobile, 1, 5), "t": F.substring(mobile, 6, 5), "4": F.substring(mobile, 7, 4), "k": key.cast("string"),
     }
     text = F.element_at(F.array(*map(F.lit, TECHNIQUES)), (key % len(TECHNIQUES) + 1).cast("int"))
     for name, value in made.items():
