@@ -31,27 +31,24 @@ def has(*kinds: str, detections: str = "detections") -> Column:
     return F.exists(detections, lambda d: d["type"].isin(*kinds))
 
 
-_count, _has = count, has
-
-
 def with_score(df: DataFrame, config: RiskConfig | None = None, detections: str = "detections") -> DataFrame:
     """Adds terms (by name), contact, safety, score and band. Rows have folded (or else text), detections, runs, zero_width, confusables, noise,
     booking_stage and sender_role; weird_tokens, digit_pressure and session_intent count as 0 where they are missing."""
-    count, has = partial(_count, detections=detections), partial(_has, detections=detections)
+    n_of, any_of = partial(count, detections=detections), partial(has, detections=detections)
     config = config or RiskConfig()
     w, sw = config.weights, config.safetyWeights
     df = df.withColumns({c: F.lit(0.0 if c != "weird_tokens" else 0) for c in ("weird_tokens", "digit_pressure", "session_intent") if c not in df.columns})
     lengths = F.transform("runs", lambda r: F.length(r["digits"]))
     df = df.withColumn("__longest", F.coalesce(F.array_max(lengths), F.lit(0)))
-    df = df.withColumn("__intents", F.struct(*[count(f"intent.{k}").alias(k) for k in ("channel", "contact", "offplatform")], count("intent.").alias("all")))
+    df = df.withColumn("__intents", F.struct(*[n_of(f"intent.{k}").alias(k) for k in ("channel", "contact", "offplatform")], n_of("intent.").alias("all")))
     intents = F.col("__intents")
 
     ratio = F.least(F.lit(1.0), F.col("__longest") / 10)
     carried = F.least(F.col("session_intent"), F.lit(float(INTENT_CAP)))
     total = intents["all"] + carried
     terms = {
-        "validPhone": F.when(has("contact.phone", "contact.phone.obfuscated"), w["validPhone"]),
-        "partialPhone": F.when(count("contact.phone.partial") > 0, w["partialPhone"] * (ratio + F.when(F.col("__longest") >= 8, 1.0).otherwise(0.0))),
+        "validPhone": F.when(any_of("contact.phone", "contact.phone.obfuscated"), w["validPhone"]),
+        "partialPhone": F.when(n_of("contact.phone.partial") > 0, w["partialPhone"] * (ratio + F.when(F.col("__longest") >= 8, 1.0).otherwise(0.0))),
         "mixedForm": w["mixedForm"] * F.size(F.filter("runs", lambda r: r["mixed"])),
         "noiseDigitsRemoved": w["noiseDigitsRemoved"] * F.col("noise"),
         "weirdnessFlags": w["weirdnessFlags"] * F.col("weird_tokens"),
@@ -69,22 +66,22 @@ def with_score(df: DataFrame, config: RiskConfig | None = None, detections: str
     floor = F.greatest(F.lit(w["offPlatformFloor"]) - F.col("__running"), F.lit(0.0))
     late = {
         "offPlatformFloor": F.when(proposed & ~text.rlike(REPORT), floor),
-        "unvalidatedNumber": F.when((F.col("__longest") >= 10) & (intents["contact"] > 0) & (count("contact.phone") == 0), w["validPhone"] * 0.75),
-        "handle": F.when(count("contact.handle") > 0, w["handle"]),
-        "address": F.when(count("contact.address") > 0, w["address"]),
-        "upi": F.when(count("payment.upi") > 0, w["upi"]),
-        "riskyUrl": w["riskyUrl"] * F.least(F.lit(2), count("contact.url.")),
+        "unvalidatedNumber": F.when((F.col("__longest") >= 10) & (intents["contact"] > 0) & (n_of("contact.phone") == 0), w["validPhone"] * 0.75),
+        "handle": F.when(n_of("contact.handle") > 0, w["handle"]),
+        "address": F.when(n_of("contact.address") > 0, w["address"]),
+        "upi": F.when(n_of("payment.upi") > 0, w["upi"]),
+        "riskyUrl": w["riskyUrl"] * F.least(F.lit(2), n_of("contact.url.")),
         "digitPressure": F.when(F.col("digit_pressure") > 0, w["digitPressure"] * PRESSURE_CAP * (1 - F.exp(-F.col("digit_pressure") / PRESSURE_SCALE))),
         "zeroWidthCount": w["zeroWidthCount"] * F.col("zero_width"),
-        "email": F.when(count("contact.email") > 0, w["email"]),
+        "email": F.when(n_of("contact.email") > 0, w["email"]),
         "confusablesFolded": w["confusablesFolded"] * F.col("confusables"),
     }
     safe = {f"safety.hostility.sev{k}": F.lit(sw[f"hostilitySev{k}"]) for k in (3, 2, 1, 0)}
-    top = F.coalesce(*[F.when(has(k), v) for k, v in safe.items()], F.lit(0.0))
+    top = F.coalesce(*[F.when(any_of(k), v) for k, v in safe.items()], F.lit(0.0))
     late_safe = {
         "hostility": top,
-        "extortion": F.when(has("safety.extortion"), sw["extortion"]).when(has("safety.extortion.implied"), sw["extortionImplied"]),
-        "scamlink": F.when(count("safety.scamlink") > 0, sw["scamlink"]),
+        "extortion": F.when(any_of("safety.extortion"), sw["extortion"]).when(any_of("safety.extortion.implied"), sw["extortionImplied"]),
+        "scamlink": F.when(n_of("safety.scamlink") > 0, sw["scamlink"]),
     }
     df = df.withColumns({f"__{k}": zero(v) for k, v in (late | late_safe).items()})
     add = lambda names: sum((F.col(f"__{k}") for k in names), F.lit(0.0))

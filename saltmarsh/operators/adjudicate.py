@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import secrets
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.config import COSTS
+from saltmarsh.storage import written
 
 # Kinds that a reply may name.
 CONTACT_KINDS = ["phone", "email", "handle", "url", "upi", "address", "off_platform", "other"]
@@ -48,9 +50,24 @@ def parsed(reply: Column) -> Column:
     return F.when(valid, fields)
 
 
-def adjudicated(df: DataFrame, transport: Callable[[str], str] | None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(key, source, ok, reply) for each distinct key of rows (folded), and the cache with the new replies. Only keys that the
-    cache lacks are asked for, once each, by Arrow batches on the executors."""
+class Limited:
+    """Calls that may take `seconds`; one that takes longer is left behind, and counts as a timeout."""
+
+    def __init__(self, call: Callable[[str], str], seconds: float) -> None:
+        self.call, self.seconds, self.pool = call, seconds, ThreadPoolExecutor(1)
+
+    def __call__(self, text: str) -> str:
+        try:
+            return self.pool.submit(self.call, text).result(self.seconds)
+        except TimeoutError:
+            self.pool.shutdown(wait=False)
+            self.pool = ThreadPoolExecutor(1)
+            raise
+
+
+def adjudicated(df: DataFrame, transport: Callable[[str], str] | None, cache: DataFrame | None = None, *, seconds: float = 1.2) -> tuple[DataFrame, DataFrame]:
+    """(key, source, ok, verdict) for each distinct key of rows (folded), and the cache with the new replies. Only keys that the
+    cache lacks are asked for, once each, by Arrow batches on the executors; a call has `seconds`."""
     spark = df.sparkSession
     known = cache if cache is not None else spark.createDataFrame([], "key string, reply string, used timestamp")
     keys = df.select(cache_key(F.col("folded")).alias("key"), "folded").groupBy("key").agg(F.min("folded").alias("text"))
@@ -58,11 +75,12 @@ def adjudicated(df: DataFrame, transport: Callable[[str], str] | None, cache: Da
     asked = keys.join(known.select("key"), "key", "left_anti")
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limited = Limited(transport, seconds)
         for pdf in frames:
             rows = []
             for r in pdf.itertuples(index=False):
                 try:
-                    rows.append((r.key, "llm", transport(prompt(r.text))))
+                    rows.append((r.key, "llm", limited(prompt(r.text))))
                 except TimeoutError:
                     rows.append((r.key, "timeout", None))
                 except Exception:  # noqa: BLE001  whatever a transport raises is an answer: error
@@ -79,6 +97,15 @@ def adjudicated(df: DataFrame, transport: Callable[[str], str] | None, cache: Da
     return out, known.unionByName(kept)
 
 
+def smoke(spark: SparkSession, transport: Callable[[str], str], cases: list[tuple[str, bool]], *, seconds: float = 8.0) -> DataFrame:
+    """A check of a transport on known texts: for each (text, whether it is to be flagged) what came, and where a second question was answered from."""
+    rows = spark.createDataFrame([(t, t.lower(), w) for t, w in cases], "text string, folded string, wanted boolean").withColumn("key", cache_key(F.col("folded")))
+    first, cache = adjudicated(rows, transport, seconds=seconds)
+    first = written(first.select("key", "source", "ok", F.coalesce(F.col("verdict.contact") | F.col("verdict.safety"), F.lit(False)).alias("flagged")), "smoke")
+    again, _ = adjudicated(rows, transport, written(cache, "smoke-cache"), seconds=seconds)
+    return rows.join(first, "key").join(again.select("key", F.col("source").alias("again")), "key").select("text", "wanted", "flagged", "ok", "source", "again", (F.col("flagged") == F.col("wanted")).alias("as_wanted"))
+
+
 def evicted(cache: DataFrame, now: Column, *, ttl_seconds: int = 86_400, most: int = 50_000) -> DataFrame:
     """The entries that stay: those of the last ttl_seconds, the most recently used of them. That number is the cache's size."""
     alive = cache.where(F.unix_timestamp(now) - F.unix_timestamp("used") <= ttl_seconds)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.config import RiskConfig
 from saltmarsh.functions import detectors, digitruns, normalize, policy, score
 from saltmarsh.functions.spans import exploded
 from saltmarsh.operators import adjudicate, classifier, evaluate, moderate, session, stateful
-from saltmarsh.sources import messages
-from saltmarsh.storage import written
+from saltmarsh.config import RiskConfig, load, parse_env
+from saltmarsh.sources import corpus, messages
+from saltmarsh.storage import scratch, written
 
 QUERIES = {}
 
@@ -242,3 +242,40 @@ def e8_self_play(spark: SparkSession, folder: str) -> DataFrame:
     """How many different texts there are, and how many of these the cascade acts on."""
     rate, _ = evaluate.self_play(moderate.moderated(texts(spark, folder)), F.col("verdict") != "allow")
     return rate
+
+
+@query
+def io5_io6_json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts, written as JSON lines and read again."""
+    path = scratch(spark, "lines")
+    messages.write_jsonl(texts(spark, folder).select(F.col("message_id").cast("string").alias("message_id"), "sender_role", "text"), path)
+    return messages.read_jsonl(spark, path, strict=True).select("message_id", "sender_role", "text")
+
+
+@query
+def io7_io8_config(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers and modes of a configuration: defaults, settings given as JSON, and an environment file over both."""
+    env = parse_env("# mode\nFAIL_MODE_PRE_BOOKING='open'\nnot a line\n")
+    c = load('{"$comment": "x", "bands": {"low": 2.5, "$note": 1}, "modifiers": {}, "policy": {"blockCooldownThreshold": 4}, "unknown": {"a": 1}}', env)
+    rows = [(section, k, str(float(v)) if isinstance(v, (int, float)) else v) for section in ("bands", "policy", "failMode") for k, v in getattr(c, section).items()]
+    return spark.createDataFrame(rows, "section string, name string, value string")
+
+
+@query
+def io10_presets(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the demonstration's messages."""
+    rows = [(k, text, role, stage) for k, (text, _, role, stage, _) in enumerate(corpus.PRESETS)]
+    df = spark.createDataFrame(rows, "message_id long, text string, sender_role string, booking_stage string")
+    return moderate.moderated(df).select("message_id", rounded("score").alias("score"), "verdict")
+
+
+@query
+def io12_smoke(spark: SparkSession, folder: str) -> DataFrame:
+    """The check of a transport, on the demonstration's messages and the transport above."""
+    return adjudicate.smoke(spark, answer, [(text, group != "innocent") for text, group, *_ in corpus.PRESETS])
+
+
+@query
+def e9_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a generated corpus by technique and label."""
+    return corpus.generated(spark, 660).groupBy("technique", "label").agg(F.count("*").alias("n"))

@@ -464,3 +464,26 @@ SELECT message_id, round(score, 4) AS score, CASE band WHEN 'escalate' THEN 'rev
   (sum((band = 'block')::INT) OVER (PARTITION BY t.conversation_id ORDER BY ms, message_id ROWS UNBOUNDED PRECEDING))::BIGINT AS strikes,
   coalesce(sum((band = 'block')::INT) OVER (PARTITION BY t.conversation_id, sender_role ORDER BY ms RANGE BETWEEN 600000 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS recent_blocks
 FROM settled t JOIN decayed USING (message_id) JOIN (SELECT message_id, sender_role, ms FROM sess) USING (message_id)"""
+
+
+def _presets() -> str:
+    from saltmarsh.sources.corpus import PRESETS
+
+    rows = ", ".join(f"({k}::BIGINT, {lit(t)}, {lit(r)}, {lit(g)}, {lit(group)})" for k, (t, group, r, g, _) in enumerate(PRESETS))
+    return f"rows AS (SELECT *, 0 AS conversation_id FROM (VALUES {rows}) v(message_id, text, sender_role, booking_stage, kind))"
+
+
+#: Typed apart: the techniques of the generated corpus, in order, but for split numbers.
+MADE = (
+    "verbatim-benchmark digit-splitting word-numbers-en word-numbers-hinglish word-numbers-devanagari noise-injection leet unicode-confusables zero-width separators mixed-form spelled-email handle-smuggling upi spoken-url "
+    "shortener arithmetic-hint pure-intent extortion hostility scam-link prompt-injection"
+).split()
+ORACLES |= {
+    "io5_io6_json_lines": f"WITH {source_techniques()} SELECT message_id::VARCHAR AS message_id, sender_role, text FROM rows",
+    "io7_io8_config": """SELECT * FROM (VALUES ('bands', 'low', '2.5'), ('bands', 'high', '8.0'), ('policy', 'blockCooldownThreshold', '4.0'), ('policy', 'blockCooldownWindowMs', '600000.0'),
+      ('failMode', 'pre_booking', 'open'), ('failMode', 'post_booking', 'open')) v(section, name, value)""",
+    "io10_presets": cascade(_presets()) + " SELECT message_id, round(score, 6) AS score, verdict FROM scored",
+    "io12_smoke": f"WITH {_presets()} SELECT text, wanted, flagged, ok, 'llm' AS source, CASE WHEN ok THEN 'cache' ELSE 'llm' END AS again, flagged = wanted AS as_wanted FROM (SELECT text, kind <> 'innocent' AS wanted, NOT contains(lower(text), 'review') AS ok, ok AND contains(lower(text), 'direct') AS flagged FROM rows)",
+    "e9_corpus": f"""SELECT technique, label, count(*) AS n FROM (SELECT unnest(CASE k % 3 WHEN 0 THEN [([{listed(MADE)}])[k // 3 % 22 + 1]] WHEN 1 THEN ['split-across-messages', 'split-across-messages'] ELSE ['calm'] END) AS technique,
+      CASE k % 3 WHEN 2 THEN 'negative' ELSE 'adversarial' END AS label FROM range(660) t(k)) GROUP BY ALL""",
+}

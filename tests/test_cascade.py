@@ -294,3 +294,15 @@ def test_presets(spark):
     df = spark.createDataFrame([(k, *row) for k, row in enumerate(corpus.PRESETS)], "k int, text string, group string, sender_role string, booking_stage string, verdicts string")
     for r in moderate.moderated(df.withColumnRenamed("verdicts", "wanted")).collect():
         assert r.verdict in r.wanted.split(), (r.text, r.verdict, r.score, r.categories)
+
+
+def test_calls_have_a_limit(spark):
+    def slow(prompt):
+        import time
+
+        time.sleep(3 if "slow" in prompt else 0)
+        return adjudicate.stub(True)(prompt)
+
+    rows = spark.createDataFrame([("slow one",), ("quick one",)], "folded string")
+    got = {(r.source, r.ok) for r in adjudicate.adjudicated(rows.coalesce(1), slow, seconds=1.0)[0].collect()}
+    assert got == {("timeout", False), ("llm", True)}
