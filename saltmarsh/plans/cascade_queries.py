@@ -25,7 +25,7 @@ def rounded(c, digits: int = 6) -> Column:
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    return messages.techniques(spark.read.parquet(f"{folder}/orders.parquet"))
+    return messages.techniques(messages.spread(spark.read.parquet(f"{folder}/orders.parquet")))
 
 
 def analysed(spark: SparkSession, folder: str, *names: str) -> DataFrame:

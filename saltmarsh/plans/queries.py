@@ -29,7 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def synth(spark: SparkSession, folder: str) -> DataFrame:
-    return messages.synthetic(table(spark, folder, "orders"))
+    return messages.synthetic(messages.spread(table(spark, folder, "orders")))
 
 
 def rounded(c, digits: int = 6):
@@ -114,7 +114,7 @@ def c7_trained(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def io11_wording(spark: SparkSession, folder: str) -> DataFrame:
     """What people read about the messages of every technique."""
-    done = moderate.moderated(messages.techniques(table(spark, folder, "orders")))
+    done = moderate.moderated(messages.techniques(messages.spread(table(spark, folder, "orders"))))
     kinds, verdict = F.array_sort("categories"), F.col("verdict")
     told = done.select(wording.label(verdict).alias("label"), wording.tone(verdict).alias("tone"), wording.summary(kinds, verdict).alias("summary"))
     return told.groupBy("label", "tone", "summary").agg(F.count("*").alias("n"))

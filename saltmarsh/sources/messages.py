@@ -43,6 +43,12 @@ def validated(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores. A small file is one partition, and judging a message costs far more than moving it; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def synthetic(orders: DataFrame) -> DataFrame:
     """One message for each order, by arithmetic on its key. Templates: a mobile, a price, a payment handle, thanks, an email
     address, a messenger link, an insult, a house number."""
