@@ -63,7 +63,7 @@ def scores(tokens: str) -> str:
 
 
 ORACLES = {
-    "moderate_report": judged.cascade(judged.source_synth()) + " SELECT booking_stage, sender_role, band, verdict, resolved_by, count(*) AS n, round(sum(score), 4) AS score FROM scored GROUP BY ALL",
+    "moderate_report": judged.cascade(judged.source_synth()) + " SELECT booking_stage, sender_role, band, verdict, resolved_by, count(*) AS n, sum(round(score, 6)::DECIMAL(18, 6))::DOUBLE AS score FROM scored GROUP BY ALL",
     "moderate_messages": judged.cascade(judged.source_synth()) + " SELECT message_id, round(score, 6) AS score, band, verdict, n_detections, round(confidence, 6) AS confidence FROM scored",
     "policy_actions": judged.cascade(judged.source_synth()) + judged.FAMILIES + "," + judged.masked() + f""", acted AS (SELECT s.message_id, s.text, masked, {judged.FAMILY} AS family,
         CASE WHEN verdict = 'allow' THEN 'deliver' WHEN verdict = 'block' AND family = 'contact' AND masked IS NOT NULL THEN 'mask' ELSE verdict END AS action FROM scored s LEFT JOIN hidden USING (message_id) LEFT JOIN kinds USING (message_id))

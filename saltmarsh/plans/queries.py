@@ -51,7 +51,7 @@ def moderate_report(spark: SparkSession, folder: str) -> DataFrame:
     """Messages by stage, role, band, verdict and tier, with the sum of their scores."""
     done = moderate.moderated(synth(spark, folder))
     keys = ["booking_stage", "sender_role", "band", "verdict", "resolved_by"]
-    return done.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
+    return done.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.round("score", 6).cast("decimal(18,6)")).cast("double").alias("score"))
 
 
 FLAGSHIP = moderate_report
