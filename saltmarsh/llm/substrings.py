@@ -6,10 +6,12 @@ the repeats: the smallest doc_id below such a node keeps the passage, the others
 
 Two steps partition the suffixes. Between tasks the prefix is reduced to its minimizer, the three neighbouring words of
 least hash in the window: neighbouring suffixes mostly share it, so they travel as one run of words, some three times the text in all
-instead of `words` times. Runs are packed and compressed by group. Within a group longer prefixes (one word,
-two, four, ...) split suffixes until a part fits MOST_WINDOWS. A part's subtree is kept as its suffixes in sorted order with the
-common prefix of neighbours; an internal node is a run of neighbours that share that much. Words are compared, not hashes; a
-suffix whose window's hash is alone in its part is a leaf and left out before.
+instead of `words` times. Runs are packed and compressed by group. Within a group, prefixes are made longer (one word,
+two, four, ...) where more suffixes share one, until a part fits MOST_WINDOWS; a single window that more suffixes begin with is a node by
+itself, walked a blob at a time. A part's subtree is its suffixes, each to the end of its run, in sorted order with the words that
+neighbours share; an internal node is a run of neighbours that share as much. A suffix loses the words down to its deepest
+node below which a smaller id is too; a repeat that goes on in the next run, which all its copies have, is joined to it by its place in the
+document. Words are compared, not hashes; a suffix whose window's hash is alone in its part is a leaf and left out before.
 
 What the same task has had under a smaller id is not sent, since it repeats whatever others have: whole texts, and windows that a table of
 SLOTS recent ones still holds (known by 128 bits). So each task sends a passage that many documents share a few times, and not once for each of them.
@@ -146,17 +148,53 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return ids, *rest, raw[8 + 20 * n :]
 
 
-def deep_nodes(suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Internal nodes of the suffixes' tree that are `depth` deep: the suffixes in order, and where the nodes begin in it.
+class Subtree:
+    """The suffix tree of a part, as its suffixes in order and the number of words that each shares with the next.
 
-    suffixes: a row of word numbers each. A node is a run of neighbours whose common prefix is that long; suffixes
-    that share it with no neighbour are nodes of one, which callers skip.
+    words: a row of word numbers for each suffix, padded behind its own `length` of words, which reaches to the end of its run.
     """
-    order = np.lexsort(suffixes.T[::-1])
-    ordered = suffixes[order]
-    same = ordered[1:] == ordered[:-1]
-    common = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-    return order, np.concatenate(([0], np.flatnonzero(common < depth) + 1))
+
+    def __init__(self, words: np.ndarray, length: np.ndarray) -> None:
+        self.order = _ordered(words)
+        words, length = words[self.order], length[self.order]
+        same = words[1:] == words[:-1]
+        shared = np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1))
+        self.common = np.minimum(shared, np.minimum(length[1:], length[:-1]))
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """Where the subtrees begin, in order, that hang below `depth` words: one suffix each, or an internal node with all its suffixes."""
+        return np.concatenate(([0], np.flatnonzero(self.common < depth) + 1))
+
+    def repeats(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The internal nodes, deepest first: their depth and their suffixes. No word follows all suffixes of a node, so a repeat ends there."""
+        for depth in np.unique(self.common)[::-1].tolist():
+            begins = self.nodes(depth)
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(self.order)]):
+                if b - a > 1 and self.common[a : b - 1].min() == depth:
+                    yield depth, self.order[a:b]
+
+    def lost(self, ids: np.ndarray, least: int) -> np.ndarray:
+        """For each suffix, the depth of its deepest node that a smaller id has a suffix of too; 0 if that is less than `least`."""
+        ids, deep = ids[self.order], np.zeros(len(self.order), np.int64)
+        for depth in range(least, int(self.common.max(initial=0)) + 1):
+            begins = self.nodes(depth)
+            below = np.repeat(np.minimum.reduceat(ids, begins), np.diff(np.append(begins, len(ids))))
+            deep[ids > below] = depth
+        found = np.zeros(len(deep), np.int64)
+        found[self.order] = deep
+        return found
+
+
+def _ordered(words: np.ndarray) -> np.ndarray:
+    """The rows in order. Neighbouring columns are sorted by as one number, as many as 63 bits hold."""
+    bits = max(1, int(words.max(initial=0) + 1).bit_length())
+    keys = []
+    for k in range(0, words.shape[1], each := 63 // bits):
+        key = np.zeros(len(words), np.int64)
+        for column in words.T[k : k + each]:
+            key = (key << bits) | (column + 1)
+        keys.append(key)
+    return np.lexsort(keys[::-1])
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -169,32 +207,73 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+class Prefixes:
+    """The parts of a group. Suffixes are told apart by prefixes of one word, two, four, ... a window, each as long as
+    it takes until half of `most` suffixes or fewer have it; neighbouring prefixes share a part of `most` suffixes at most.
+    """
+
+    def __init__(self, blobs: list[bytes], window: int, most: int) -> None:
+        self.parts, self.levels, self.common = 0, [], np.zeros(0, np.uint64)
+        half, shorter, length, above = max(1, most // 2), 0, 1, None
+        while True:
+            keys, counts = self._counted(blobs, window, length, shorter, above)
+            fits = counts <= half
+            part = (np.cumsum(counts[fits]) - counts[fits]) // half
+            part = np.cumsum(np.diff(part, prepend=part[:1]) > 0) + self.parts
+            self.levels.append((length, keys[fits], part))
+            self.parts = int(part[-1]) + 1 if len(part) else self.parts
+            above = keys[~fits]
+            if length == window or not len(above):
+                self.common = above  # windows that more suffixes begin with: nodes that no part can hold
+                return
+            shorter, length = length, min(window, 2 * length)
+
+    @staticmethod
+    def _counted(blobs: list[bytes], window: int, length: int, shorter: int, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for blob in blobs:
+            *_, n, text = unpacked(blob)
+            h, at = hashed(text)[2], _suffixes(n, window)[1]
+            if above is not None:
+                at = at[np.isin(windows(h, shorter)[at], above)]
+            own, times = np.unique(windows(h, length)[at], return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, times])).astype(np.int64)
+        return keys, counts
+
+    def of(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The part of each suffix; -1 for those of a node that is larger than a part."""
+        part = np.full(len(at), -1)
+        for length, keys, parts in self.levels:
+            if len(keys):
+                own = windows(h, length)[at]
+                near = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                part = np.where((part < 0) & (keys[near] == own), parts[near], part)
+        return part
+
+
 def repeats(blobs: list[bytes], window: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of a group, the passages that a smaller id has too: ids, tags, first words, and the words after the last."""
-    total = 0
-    for blob in blobs:
-        _, _, _, n, _ = unpacked(blob)
-        total += int((n - window + 1).sum())
-    parts = -(-total // most)
-    prefix = min(window, 1 << max(0, parts - 1).bit_length())  # words by which parts are told apart
-    for part in range(parts):
+    total = sum(int((unpacked(blob)[3] - window + 1).sum()) for blob in blobs)
+    prefixes = Prefixes(blobs, window, most) if total > most else None
+    for part in range(prefixes.parts if prefixes else min(total, 1)):
         # leaves first: suffixes whose window's hash is alone
         found = []
         for blob in blobs:
             *_, n, text = unpacked(blob)
             starts, ends, h = hashed(text)
             at = _suffixes(n, window)[1]
-            if parts > 1:
-                at = at[windows(h, prefix)[at] % np.uint64(parts) == part]
+            if prefixes:
+                at = at[prefixes.of(h, at) == part]
             # a group in parts is large: its words are found again for the few that need them
-            found.append((at, windows(h, window)[at], (starts.astype(np.int32), ends.astype(np.int32)) if parts == 1 else None))
+            found.append((at, windows(h, window)[at], None if prefixes else (starts.astype(np.int32), ends.astype(np.int32))))
         h = np.sort(np.concatenate([x for _, x, _ in found]))
         twice = np.unique(h[1:][h[1:] == h[:-1]])
         if not len(twice):
             continue
         # then the tree of the others
         numbers: dict[bytes, int] = {}
-        rows, where = [], []
+        rows, lengths, where = [], [], []
         for blob, (at, own, edges) in zip(blobs, found):
             near = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
             chosen = at[twice[near] == own]
@@ -203,14 +282,44 @@ def repeats(blobs: list[bytes], window: int, most: int) -> Iterator[tuple[np.nda
             ids, tags, first, n, text = unpacked(blob)
             run, every = _suffixes(n, window)
             k = np.searchsorted(every, chosen)
-            offset = chosen - (np.cumsum(n) - n)[run[k]]
+            begin = (np.cumsum(n) - n)[run[k]]
+            offset, length = chosen - begin, begin + n[run[k]] - chosen
             starts, ends = edges or hashed(text)[:2]
-            places = (chosen[:, None] + np.arange(window)).ravel()
-            used, back = np.unique(places, return_inverse=True)
+            inside = np.arange(int(length.max())) < length[:, None]
+            used, back = np.unique((chosen[:, None] + np.arange(inside.shape[1]))[inside], return_inverse=True)
             codes = np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(starts[used].tolist(), ends[used].tolist())], np.int32)
-            rows.append(codes[back].reshape(-1, window))
+            words = np.full(inside.shape, -1, np.int32)
+            words[inside] = codes[back]
+            rows.append(words)
+            lengths.append(length)
             where.append(np.stack([ids[run[k]], tags[run[k]], first[run[k]] + offset]))
-        yield from _found(np.concatenate(rows), np.concatenate(where, axis=1), window)
+        width = max(words.shape[1] for words in rows)
+        padded = [np.pad(words, ((0, 0), (0, width - words.shape[1])), constant_values=-1) for words in rows]
+        place = np.concatenate(where, axis=1)
+        deep = Subtree(np.concatenate(padded), np.concatenate(lengths)).lost(place[0], window)
+        yield from _spans_of(*place[:, deep > 0], deep[deep > 0])
+    if prefixes and len(prefixes.common):
+        yield from _of_one_node(blobs, window, prefixes)
+
+
+def _of_one_node(blobs: list[bytes], window: int, prefixes: Prefixes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Passages of windows that more suffixes begin with than a part may have: their least ids first, then what has them, a blob at a time."""
+    least: dict[bytes, int] = {}
+    for last in (False, True):
+        for blob in blobs:
+            ids, tags, first, n, text = unpacked(blob)
+            starts, ends, h = hashed(text)
+            run, at = _suffixes(n, window)
+            own = prefixes.of(h, at) < 0
+            run, at = run[own], at[own]
+            passages = [b" ".join(text[a:b].split()) for a, b in zip(starts[at].tolist(), ends[at + window - 1].tolist())]
+            if last:
+                lost = ids[run] > np.array([least[p] for p in passages], np.int64)
+                begin = (np.cumsum(n) - n)[run]
+                yield from _spans_of(ids[run][lost], tags[run][lost], (first[run] + at - begin)[lost], np.full(int(lost.sum()), window))
+            else:
+                for i, passage in zip(ids[run].tolist(), passages):
+                    least[passage] = min(i, least.get(passage, i))
 
 
 def _suffixes(n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,20 +329,16 @@ def _suffixes(n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return run, np.arange(len(run)) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(np.cumsum(n) - n, starts)
 
 
-def _found(suffixes: np.ndarray, place: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    order, begins = deep_nodes(suffixes, window)
-    ids = place[0][order]
-    least = np.minimum.reduceat(ids, begins)
-    lost = order[ids > np.repeat(least, np.diff(np.append(begins, len(order))))]
-    if not len(lost):
+def _spans_of(i: np.ndarray, tag: np.ndarray, first: np.ndarray, deep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Passages of `deep` words from first on, those joined that overlap or touch."""
+    if not len(i):
         return
-    i, tag, first = place[:, lost]
     order = np.lexsort((first, tag, i))
-    i, tag, first = i[order], tag[order], first[order]
-    new = np.concatenate(([True], (np.diff(i) != 0) | (np.diff(tag) != 0) | (np.diff(first) > 1)))
-    begins = np.flatnonzero(new)
-    last = np.append(begins[1:], len(i)) - 1
-    yield i[begins], tag[begins], first[begins], first[last] + window
+    i, tag, first, last = i[order], tag[order], first[order], (first + deep)[order]
+    text = np.cumsum(np.concatenate(([0], (np.diff(i) != 0) | (np.diff(tag) != 0))))
+    reach = np.maximum.accumulate(last + (text << 40)) - (text << 40)  # the furthest word so far of the same text
+    begins = np.flatnonzero(np.concatenate(([True], (np.diff(text) > 0) | (first[1:] > reach[:-1]))))
+    yield i[begins], tag[begins], first[begins], reach[np.append(begins[1:], len(i)) - 1]
 
 
 def _tag(text: Column) -> Column:
