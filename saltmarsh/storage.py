@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_folder() -> str:
+    """This process's folder for a local master whose session names none (the setting can't be changed in a running one)."""
+    return tempfile.mkdtemp(prefix="saltmarsh-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; only a local master may do without the setting, and gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="saltmarsh-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
