@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import random
 import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -106,6 +107,12 @@ def grace(records: Iterable[Record], folder: str, most: int, depth: int = 0) ->
         os.remove(f.name)
 
 
+def _spill_folder() -> str:
+    """A folder of this task's own, on the disks that the executor spills to."""
+    places = [p for p in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(p)]
+    return tempfile.mkdtemp(prefix="grace-", dir=random.choice(places) if places else None)
+
+
 def _spilled(path: str) -> Iterator[Record]:
     moved = f"{path}+"  # its name is free for the files of the next step
     os.rename(path, moved)
@@ -150,7 +157,7 @@ def _local(docs: DataFrame, doc_id: str, text: str, most: int, *, members: bool,
                         yield Record(xxhash.xxh3_64_intdigest(t), t, 1, i, number, [number], pickle.dumps(row) if others else None)
 
         record_of: dict[int, int] = {}
-        folder = tempfile.mkdtemp(prefix="grace-")
+        folder = _spill_folder()
         try:
             for bucket in grace(read(), folder, most):
                 for k in range(0, len(bucket), 256):
@@ -182,7 +189,7 @@ def _merged(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[list[Record]]
                 for number, h, content, count, best, at, rest in zip(*[c.to_pylist() for c in batch.columns]):
                     yield Record(h & (1 << 64) - 1, content, count, best, at, [number], rest)
 
-    folder = tempfile.mkdtemp(prefix="grace-")
+    folder = _spill_folder()
     try:
         yield from grace(read(), folder, most)
     finally:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saltmarsh.llm.common import contents, shuffle_partitions, slices, written
+from saltmarsh.llm.common import contents, forgotten, scratch, shuffle_partitions, slices, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Pairs of the four cells of 16 bits.
@@ -167,10 +167,11 @@ def _turned(cells: tuple[int, int]) -> list[int]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of edges (a, b) but the roots themselves; a root is the least of its component.
 
-    Large-star and small-star steps by turns, until nothing changes; each step's links are a table.
+    Large-star and small-star steps by turns, until nothing changes; each step's links are a table, which goes when the next one is there.
     """
+    spark, path = edges.sparkSession, scratch(edges.sparkSession, "star")
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    now, before = written(edges.where("a <> b").select(least.alias("root"), most.alias("node")).distinct(), "star"), None
+    now, before = written(edges.where("a <> b").select(least.alias("root"), most.alias("node")).distinct(), "star", path), None
     while True:
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)")).alias("s")).first()
         if before == (sign.n, sign.s):
@@ -182,7 +183,9 @@ def components(edges: DataFrame) -> DataFrame:
         least_of = large.groupBy("node").agg(F.min("root").alias("least"))
         small = large.join(least_of, "node")
         small = small.select(F.col("least").alias("root"), "node").unionByName(small.where("root <> least").select(F.col("least").alias("root"), F.col("root").alias("node")))
-        now = written(small.distinct(), "star")
+        last, path = path, scratch(spark, "star")
+        now = written(small.distinct(), "star", path)
+        forgotten(spark, last)
 
 
 def _grouped(rows: DataFrame, doc_id: str, radius: int, longest: int) -> DataFrame:

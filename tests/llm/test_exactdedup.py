@@ -45,3 +45,12 @@ def test_contents_are_compared_when_hashes_agree():
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert exactdedup.decisions(none).count() == 0 and exactdedup.deduplicated(none).count() == 0
+
+
+def test_spills_go_where_spark_spills(monkeypatch, tmp_path):
+    (tmp_path / "disk").mkdir()
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path}/none,{tmp_path}/disk")
+    folder = exactdedup._spill_folder()
+    assert folder.startswith(f"{tmp_path}/disk/grace-")
+    records = [exactdedup.Record(hash_ * (1 << 60) + k, b"t%d" % k, 1, k, k, [k], None) for k, hash_ in enumerate([1, 2, 3] * 50)]
+    assert sorted(r.text for b in exactdedup.grace(iter(records), folder, 2000) for r in b) == sorted(r.text for r in records)

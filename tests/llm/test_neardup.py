@@ -82,3 +82,12 @@ def test_empty_table(spark):
 def test_radius_is_bounded(spark):
     with pytest.raises(ValueError):
         neardup.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+def test_star_tables_do_not_pile_up(spark, monkeypatch, tmp_path):
+    names = iter(range(100))
+    monkeypatch.setattr(neardup, "scratch", lambda spark, name: f"{tmp_path}/{name}{next(names)}")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    found = neardup.components(chain)
+    assert next(names) > 2 and len(list(tmp_path.iterdir())) == 1
+    assert {(r.node, r.root) for r in found.collect()} == {(k, 0) for k in range(1, 41)}
