@@ -306,3 +306,36 @@ def test_calls_have_a_limit(spark):
     rows = spark.createDataFrame([("slow one",), ("quick one",)], "folded string")
     got = {(r.source, r.ok) for r in adjudicate.adjudicated(rows.coalesce(1), slow, seconds=1.0)[0].collect()}
     assert got == {("timeout", False), ("llm", True)}
+
+
+#: Conversations of sf0.01 with messages whose own evidence is on the lower bound; before, 16 scores there fell on the other side than the SQL's.
+ON_THE_BOUND = (18, 19, 21, 23, 33, 84)
+
+
+def test_sessions_with_scores_on_a_bound_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    keys = spark.createDataFrame([(c * 96 + k,) for c in ON_THE_BOUND for k in range(96)], "o_orderkey long")
+    keys.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view orders as from '{tmp_path}/orders.parquet/*.parquet'")
+    asked = ["message_id", "digit_pressure", "session_intent", "score", "band", "strikes"]
+    wanted = db.sql(f"select {', '.join(asked)} from ({entry.oracle_sql()['s1_s12_sessions']})").fetchall()
+    got = entry.queries()["s1_s12_sessions"](spark, str(tmp_path)).select(*asked).collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_products_of_settings_are_decimal():
+    assert score.product(0.35, 6.0) == 2.1 != 0.35 * 6.0
+
+
+@pytest.mark.parametrize("terms", [3, 256])
+def test_decayed_sums_go_on_before_the_rows_added_one_by_one(spark, monkeypatch, terms):
+    monkeypatch.setattr(session, "TERMS", terms)
+    rows = [("a", k, 1_700_000_000_000 + k * k * 200_000, float(k % 4)) for k in range(40)]
+    df = spark.createDataFrame(rows, "c string, message_id int, ms long, v double").withColumn("ts", F.timestamp_millis("ms"))
+    got = {x.message_id: x.p for x in session.decayed_sum(df, "c", F.col("v"), 3_600_000, "p").collect()}
+    for _, k, ms, _ in rows:
+        assert got[k] == pytest.approx(sum(v * 2.0 ** (-(ms - m) / 3_600_000) for _, j, m, v in rows if j < k), rel=1e-12)
