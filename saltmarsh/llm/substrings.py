@@ -6,7 +6,8 @@ the repeats: the smallest doc_id below such a node keeps the passage, the others
 
 Two steps partition the suffixes. Between tasks the prefix is reduced to its minimizer, the three neighbouring words of
 least hash in the window: neighbouring suffixes mostly share it, so they travel as one run of words, some three times the text in all
-instead of `words` times. Runs are packed and compressed by group. Within a group, prefixes are made longer (one word,
+instead of `words` times. Runs are packed and compressed by group. A group of more than MOST_WINDOWS suffixes is divided once more by the minimizers (a byte of
+each run tells them apart), run by run, so that each part is read as often as a small group is. What one minimizer has too many of is parted by prefixes, which are made longer (one word,
 two, four, ...) where more suffixes share one, until a part fits MOST_WINDOWS; a single window that more suffixes begin with is a node by
 itself, walked a blob at a time. A part's subtree is its suffixes, each to the end of its run, in sorted order with the words that
 neighbours share; an internal node is a run of neighbours that share as much. A suffix loses the words down to its deepest
@@ -23,7 +24,7 @@ id is larger than all others. An empty table gives an empty result. Columns of d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from saltmarsh.llm.common import contents, shuffle_partitions, slices, text_of
 WINDOW, GRAM = 13, 3
 #: Groups for each shuffle partition; bytes of runs that a task packs at a time.
 GROUPS, PACKED_BYTES = 3, 40 << 20
+#: What a group's minimizers are told apart by, where it has to be divided (a byte of each run).
+KINDS = 256
 #: Suffixes that one subtree is built of.
 MOST_WINDOWS = 1_000_000
 #: Windows that a task remembers (a power of two).
@@ -117,26 +120,37 @@ class Recent:
 class Packer:
     """Collects runs by group and packs them."""
 
-    def __init__(self) -> None:
+    def __init__(self, level: int = 3) -> None:
+        self.level = level
         self.texts: dict[int, list[bytes]] = {}
         self.heads: dict[int, list[int]] = {}
+        self.kinds: dict[int, bytearray] = {}
         self.size = 0
 
-    def add(self, group: int, text: bytes, head: tuple[int, int, int, int]) -> None:
+    def add(self, group: int, text: bytes, head: tuple[int, int, int, int], kind: int = 0) -> None:
         if group not in self.texts:
-            self.texts[group], self.heads[group] = [], []
+            self.texts[group], self.heads[group], self.kinds[group] = [], [], bytearray()
         self.texts[group].append(text)
         self.heads[group].extend(head)
-        self.size += len(text) + 40
+        self.kinds[group].append(kind)
+        self.size += len(text) + 41
+
+    def extend(self, group: int, texts: list[bytes], heads: Iterable[int], kinds: Iterable[int]) -> None:
+        if group not in self.texts:
+            self.texts[group], self.heads[group], self.kinds[group] = [], [], bytearray()
+        self.texts[group] += texts
+        self.heads[group].extend(heads)
+        self.kinds[group].extend(kinds)
+        self.size += sum(map(len, texts)) + 41 * len(texts)
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=self.level)
         for group, texts in self.texts.items():
             head = np.array(self.heads[group], np.int64).reshape(-1, 4)
             head[1:, 0] -= head[:-1, 0].copy()
-            parts = [head[:, 0].tobytes(), *[head[:, k].astype(np.uint32).tobytes() for k in (1, 2, 3)]]
+            parts = [head[:, 0].tobytes(), *[head[:, k].astype(np.uint32).tobytes() for k in (1, 2, 3)], bytes(self.kinds[group])]
             yield group, press.compress(len(texts).to_bytes(8, "little") + b"".join(parts) + b" ".join(texts))
-        self.__init__()
+        self.__init__(self.level)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -145,7 +159,54 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     n = int.from_bytes(raw[:8], "little")
     ids = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
     rest = [np.frombuffer(raw, np.uint32, n, 8 + 8 * n + 4 * n * k).astype(np.int64) for k in range(3)]
-    return ids, *rest, raw[8 + 20 * n :]
+    return ids, *rest, raw[8 + 21 * n :]
+
+
+def kinds_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each run, and its number of words."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw, np.uint8, n, 8 + 20 * n), np.frombuffer(raw, np.uint32, n, 8 + 16 * n).astype(np.int64)
+
+
+def divided(blobs: list[bytes], window: int, most: int) -> Iterator[tuple[list[bytes], int]]:
+    """The blobs of a group and the number of its suffixes, or if these are more than `most`, its runs in new blobs, list by list: each of neighbouring kinds that
+    have no more suffixes together, or of one kind. Equal windows are in one list, as their minimizers are equal. Blobs that are divided are taken from the list, so that they
+    aren't held twice."""
+    sizes = np.zeros(KINDS, np.int64)
+    for blob in blobs:
+        kinds, n = kinds_of(blob)
+        sizes += np.bincount(kinds, n - window + 1, KINDS).astype(np.int64)
+    to, last, held = np.zeros(KINDS, np.int64), 0, 0
+    for kind, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            last, held = last + 1, 0
+        to[kind], held = last, held + size
+    if not last:
+        yield blobs, int(sizes.sum())
+        return
+    lists: list[list[bytes]] = [[] for _ in range(last + 1)]
+    packer = Packer(level=1)
+
+    def flush() -> None:
+        for part, blob in packer.packed():
+            lists[part].append(blob)
+
+    while blobs:
+        (kinds, _), (ids, tags, first, n, text) = kinds_of(blobs[-1]), unpacked(blobs.pop())
+        b = np.frombuffer(text, np.uint8)
+        inside = (b > 32) | (b < 9) | ((b > 13) & (b < 32))
+        starts = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0) == 1)[np.cumsum(n) - n]
+        begins, ends = starts.tolist(), np.append(starts[1:] - 1, len(text)).tolist()
+        heads, part_of = np.stack([ids, tags, first, n], axis=1), to[kinds]
+        for part in np.unique(part_of).tolist():
+            own = np.flatnonzero(part_of == part)
+            packer.extend(part, [text[begins[k] : ends[k]] for k in own.tolist()], heads[own].ravel().tolist(), kinds[own].tobytes())
+        if packer.size > PACKED_BYTES:
+            flush()
+    flush()
+    for part in range(last, -1, -1):
+        yield lists.pop(), int(sizes[to == part].sum())
 
 
 class Subtree:
@@ -253,8 +314,13 @@ class Prefixes:
 
 
 def repeats(blobs: list[bytes], window: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a group, the passages that a smaller id has too: ids, tags, first words, and the words after the last."""
-    total = sum(int((unpacked(blob)[3] - window + 1).sum()) for blob in blobs)
+    """Of a group, the passages that a smaller id has too: ids, tags, first words, and the words after the last. Blobs of a group that is divided are taken from the list."""
+    for some, total in divided(blobs, window, most):
+        yield from _repeats(some, total, window, most)
+
+
+def _repeats(blobs: list[bytes], total: int, window: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of blobs that are judged together."""
     prefixes = Prefixes(blobs, window, most) if total > most else None
     for part in range(prefixes.parts if prefixes else min(total, 1)):
         # leaves first: suffixes whose window's hash is alone
@@ -378,8 +444,9 @@ def _spans(docs: DataFrame, window: int, most: int, slots: int) -> DataFrame:
                     first, after, least = runs(h, window, lost)
                     starts, stops = begin[first].tolist(), end[after + window - 2].tolist()
                     to = (((least * ODD[2]) >> np.uint64(20)) % np.uint64(groups)).tolist()
-                    for g, a, b, f, e in zip(to, starts, stops, first.tolist(), after.tolist()):
-                        packer.add(g, text[a:b], (i, tag, f, e - f + window - 1))
+                    kinds = (((least * ODD[1]) >> np.uint64(40)) % np.uint64(KINDS)).tolist()
+                    for g, kind, a, b, f, e in zip(to, kinds, starts, stops, first.tolist(), after.tolist()):
+                        packer.add(g, text[a:b], (i, tag, f, e - f + window - 1), kind)
                     if packer.size > PACKED_BYTES:
                         for g, blob in packer.packed():
                             yield out([(g, blob, None, None, None, None)])

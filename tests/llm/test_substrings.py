@@ -145,3 +145,28 @@ def test_long_repeats_are_one_span(spark):
     for row in substrings.deduplicated(documents(spark, rows)).where("doc_id > 2").collect():
         a, b = len(passages[row.doc_id % 3].split()), len(passages[(row.doc_id + 1) % 3].split())
         assert [(s.first, s.last) for s in row.removed] == [(1, 1 + a), (2 + a, 2 + a + b)]
+
+
+@pytest.mark.parametrize("kinds", [256, 40, 1])
+def test_large_groups_are_read_as_often_as_small_ones(monkeypatch, kinds):
+    """However many parts a group has, its text is hashed a few times; only what one minimizer has too many of is read once for each part."""
+    r = random.Random(kinds)
+    line = [f"l{k}" for k in range(60)]
+    texts = [(i, " ".join([*r.choices("abcdefghijklmnopqrstuvwxyz", k=30), *line[(a := r.randrange(20)) : a + 30], *r.choices("abcdefgh", k=9)])) for i in range(300)]
+    blobs, packer = [], substrings.Packer()
+    for i, text in texts:
+        begin, end, h = substrings.hashed(text.encode())
+        for f, e, least in zip(*[x.tolist() for x in substrings.runs(h, 13)]):
+            packer.add(0, text.encode()[begin[f] : end[e + 11]], (i, 1, f, e - f + 12), (least >> 9) % kinds)
+        if i % 20 == 19:
+            blobs += [blob for _, blob in packer.packed()]
+    blobs += [blob for _, blob in packer.packed()]
+    whole, seen = sum(len(substrings.unpacked(blob)[4]) for blob in blobs), []
+    hashed = substrings.hashed
+    monkeypatch.setattr(substrings, "hashed", lambda text: seen.append(len(text)) or hashed(text))
+    found = {}
+    for columns in substrings.repeats(blobs, 13, 1_500):
+        for i, _, first, last in zip(*[c.tolist() for c in columns]):
+            found.setdefault(i, set()).update(range(first, last))
+    assert [(i, len(text.split()), len(found.get(i, ()))) for i, text in texts] == [row[:3] for row in sorted(brute(texts))]
+    assert sum(seen) <= 3 * whole or kinds == 1
