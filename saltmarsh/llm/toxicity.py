@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney models of words and pairs of words.
 
 Counts are Kneser and Ney's: not how often a word occurs in a class, but in how many different contexts, here documents. Each
 class's counts are discounted by an amount estimated from its words seen once and twice, n1 / (n1 + 2 n2), and the mass so freed
@@ -6,6 +6,10 @@ goes to one distribution that both classes share. That is the same estimate over
 is spread evenly over all words and an unknown one. So each distribution sums to 1, and a rare expression differs between
 the classes by no more than their discounts allow.
 
+That is order 1. With order 2 a word's chance hangs on the word before it (a mark before the first). Each class's counts of pairs are discounted so, and
+the freed mass goes to pairs of both classes together, which both share; what those free goes to the class's words as above, whose counts are then
+Kneser and Ney's of how many different words stand before a word. Each distribution sums to 1 here too. No pair is left out.
+
 A toxic text is taken to draw each word from the toxic model with chance EXPRESSIVE and else from the ordinary one, as toxic texts
 are mostly ordinary words; an ordinary text draws all from the ordinary one. The difference of the two log-likelihoods, each
 divided by the number of words, is what a text is judged by. Its only other use is a logistic curve of two numbers, fitted on at
@@ -25,7 +29,7 @@ docs has to give the same rows in the same order each time it is read, as files
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -224,9 +228,226 @@ def count(rows: DataFrame) -> Model:
 SENT = "part long, chunk string, later int, a binary, b binary"
 
 
-def _judged(docs: DataFrame, model: Model, text: str, schema: T.StructType, finish, chunk: int = CHUNK) -> DataFrame:
+#: What stands before a text's first word, and the second halves of the keys of what a context has: its totals, the mass that each class frees, and what both together do.
+START, TOTALS, FREED, SHARED = np.uint64(0x5851F42D4C957F2D), np.uint64(1), np.uint64(2), np.uint64(3)
+
+
+@dataclass
+class PairModel:
+    """Kneser and Ney's of pairs: a table of part, and packed keys and numbers; the number of parts, the discounts of pairs (of both classes, and of both together) and both classes' chances of an unknown word."""
+
+    table: DataFrame | None
+    parts: int = 1
+    discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
+    unknown: tuple[float, float] = (1.0, 1.0)
+    slope: float = 0.0
+    shift: float = 0.0
+
+    @property
+    def usable(self) -> bool:
+        return self.table is not None
+
+    def entries(self) -> dict[int, tuple[float, float]]:
+        """All of the model, for tests."""
+        return {k: tuple(x) for r in self.table.collect() for k, x in zip(_keys_of(r["keys"]).tolist(), _numbers_of(r["values"]).tolist())}
+
+
+def before(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The word before each of texts with n words."""
+    v = np.roll(h, 1)
+    v[(np.cumsum(n) - n)[n > 0]] = START
+    return v
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """48 bits, beside the part that the word before is in; of 400,000 keys in a part, one that isn't there is taken for one of them with chance 1.4e-9."""
+    k = (v * ODD[0] + w) * ODD[1]
+    k = (k ^ (k >> np.uint64(29))) * ODD[0]
+    return (k ^ (k >> np.uint64(32))) >> np.uint64(16)
+
+
+def _press(values: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(values.tobytes())
+
+
+def _read(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Of keys in order: the leading bytes of their differences are 0, and stand together."""
+    return _press(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy())
+
+
+def _keys_of(blob: bytes) -> np.ndarray:
+    return np.cumsum(_read(blob, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _packed_numbers(values: np.ndarray) -> bytes:
+    """Of rows of two numbers: small counts as a byte each, other rows behind them."""
+    values = np.ascontiguousarray(values, np.float32)
+    small = ((values == np.floor(values)) & (values >= 0) & (values < 255)).all(axis=1)
+    codes = np.where(small[:, None], values, 255).astype(np.uint8)
+    rest = values[~small].view(np.uint8).reshape(-1, 8)
+    return _press(np.concatenate([np.array([len(values)]).view(np.uint8), codes.T.ravel(), rest.T.ravel()]))
+
+
+def _numbers_of(blob: bytes) -> np.ndarray:
+    raw = _read(blob, np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    values = raw[8 : 8 + 2 * n].reshape(2, n).T.astype(np.float32)
+    values[values[:, 0] == 255] = raw[8 + 2 * n :].reshape(8, -1).T.copy().view(np.float32).reshape(-1, 2)
+    return values
+
+
+def _pair_counts(rows: DataFrame, parts: int, chunk: int) -> DataFrame:
+    """Of rows (label, content), by kind: 1, a context's totals n0, n1 and different words after it k0, k1, in either class k; 2, a word, and k0, k1 different words before it (to be
+    added up); 3, how many pairs of a class (key; 2: of both together) are seen once (n0) and twice (n1); 4, the pairs of a part and their counts, packed."""
+    n = shuffle_partitions(rows.sparkSession)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, 1, chunk):
+            h, counts = words(table.column(1).to_pylist())
+            v, toxic = before(h, counts), np.repeat(table.column(0).to_numpy() == 1, counts)
+            _, first, back = np.unique(pair_key(v, h), return_index=True, return_inverse=True)
+            every, of_toxic = np.bincount(back, minlength=len(first)), np.bincount(back, toxic, minlength=len(first)).astype(np.int64)
+            v, h = v[first], h[first]
+            of = _part(v, parts)
+            order = np.lexsort((h, v, of))
+            v, h, every, of_toxic, of = v[order], h[order], every[order], of_toxic[order], of[order]
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    blobs = [_packed_keys(v[a:b]), _press(h[a:b]), _packed_numbers(np.stack([every[a:b] - of_toxic[a:b], of_toxic[a:b]], axis=1))]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "v", "w", "n"])
+
+    def out(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = len(columns[0])
+        columns = (*columns, *[np.zeros(size)] * (6 - len(columns)))
+        for k in range(0, size, 100_000):
+            some = [pa.array(np.asarray(c[k : k + 100_000]).astype(np.uint64).view(np.int64), pa.int64()) for c in columns]
+            m = len(some[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind), pa.int32()), *some, *[pa.nulls(m, pa.binary())] * 2], names=["kind", "key", "n0", "n1", "k0", "k1", "k", "keys", "values"])
+
+    def reduced(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        v, w, c = np.concatenate([_keys_of(x[0]) for x in held]), np.concatenate([_read(x[1], np.uint64) for x in held]), np.concatenate([_numbers_of(x[2]) for x in held]).astype(np.int64)
+        order = np.lexsort((w, v))
+        v, w, c = v[order], w[order], c[order]
+        begins = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+        v, w, c = v[begins], w[begins], np.add.reduceat(c, begins)
+        some = (c > 0).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        yield from out(1, v[begins], *np.add.reduceat(c, begins).T, *np.add.reduceat(some, begins).T, np.diff(np.append(begins, len(v))))
+        order = np.argsort(w, kind="stable")
+        own = w[order]
+        begins = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        kinds = np.add.reduceat(some[order], begins)
+        yield from out(2, own[begins], *np.zeros_like(kinds).T, *kinds.T)
+        of_all = np.column_stack([c, c.sum(axis=1)])
+        yield from out(3, np.arange(3), (of_all == 1).sum(axis=0), (of_all == 2).sum(axis=0))
+        key = pair_key(v, w)
+        order = np.argsort(key)
+        values = [pa.array([x], t) for x, t in zip((4, part, 0, 0, 0, 0, 0, _packed_keys(key[order]), _packed_numbers(c[order])), [pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * 2])]
+        yield pa.RecordBatch.from_arrays(values, names=["kind", "key", "n0", "n1", "k0", "k1", "k", "keys", "values"])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
+                if part != now and held:
+                    yield from reduced(now, held)
+                    held = []
+                now = part
+                held.append(blobs)
+        if held:
+            yield from reduced(now, held)
+
+    packed = rows.mapInArrow(gather, "part long, v binary, w binary, n binary").repartition(n, "part").sortWithinPartitions("part")
+    return packed.mapInArrow(reduce, "kind int, key long, n0 long, n1 long, k0 long, k1 long, k long, keys binary, values binary")
+
+
+def count_pairs(rows: DataFrame, parts: int | None = None, chunk: int = CHUNK // 4) -> PairModel:
+    """The model of pairs of all rows (label, content). A word's own chances are those of chances(), from the numbers of different words before it."""
+    parts = parts or 2 * shuffle_partitions(rows.sparkSession)
+    found = written(_pair_counts(rows, parts, chunk), "pairs")
+    counts = written(found.where("kind = 2").groupBy("key").agg(F.sum("k0").alias("n0"), F.sum("k1").alias("n1")), "words")
+    totals = totals_of(counts)
+    if not (totals["all0"] and totals["all1"]):
+        return PairModel(None)
+    shared, p0, p1, _ = chances(totals)
+    seen = {r.key: discount(r.once, r.twice) for r in found.where("kind = 3").groupBy("key").agg(F.sum("n0").alias("once"), F.sum("n1").alias("twice")).collect()}
+    d = seen[0], seen[1], seen[2]
+    contexts = found.where("kind = 1").select("key", "n0", "n1", "k0", "k1", "k")
+    rows = counts.select("key", p0.alias("p0"), p1.alias("p1")).join(contexts.hint("merge"), "key", "full")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _merged(batches, 500_000):
+            key, p0, p1, n0, n1, k0, k1, k = (c.to_numpy() for c in batch.columns)
+            key = np.asarray(key).view(np.uint64)
+            word, context = ~np.isnan(p0), ~np.isnan(n0)
+            v = key[context]
+            freed = [np.divide(d[c] * x[context], n[context], out=np.zeros(len(v)), where=n[context] > 0) for c, (x, n) in enumerate(((k0, n0), (k1, n1), (k, n0 + n1)))]
+            keys = np.concatenate([key[word], pair_key(v, TOTALS), pair_key(v, FREED), pair_key(v, SHARED)])
+            of = np.concatenate([_part(key[word], parts), *[_part(v, parts)] * 3])
+            numbers = np.concatenate([np.stack(x, axis=1) for x in ((p0[word], p1[word]), (n0[context], n1[context]), freed[:2], [freed[2], freed[2]])])
+            order = np.lexsort((keys, of))
+            keys, of, numbers = keys[order], of[order], numbers[order]
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int64()), pa.array([_packed_keys(keys[a:b])], pa.binary()), pa.array([_packed_numbers(numbers[a:b])], pa.binary())], names=["part", "keys", "values"])
+
+    doubles = rows.select("key", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("p0", "p1", "n0", "n1", "k0", "k1", "k")])
+    packed = written(doubles.mapInArrow(pack, "part long, keys binary, values binary"), "model").unionByName(found.where("kind = 4").select(F.col("key").alias("part"), "keys", "values"))
+    free = {c: discount(totals[f"once{c}"], totals[f"twice{c}"]) * totals[f"kinds{c}"] / totals[f"all{c}"] for c in ("", "0", "1")}
+    never = free[""] / (totals["kinds"] + 1)
+    return PairModel(packed, parts, d, (free["0"] * never, free["1"] * never))
+
+
+def _merged(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _asked(model: PairModel, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The different keys that texts ask for, by part, their parts, and for each word the places of its own chances, the totals and the freed mass of the word before it, and the pair."""
+    v = before(h, n)
+    w, of_w = np.unique(h, return_inverse=True)
+    u, of_u = np.unique(v, return_inverse=True)
+    _, first, of_pair = np.unique(pair_key(v, h), return_index=True, return_inverse=True)
+    keys = np.concatenate([w, pair_key(u, TOTALS), pair_key(u, FREED), pair_key(u, SHARED), pair_key(v[first], h[first])])
+    of = np.concatenate([_part(w, model.parts), *[_part(u, model.parts)] * 3, _part(v[first], model.parts)])
+    order = np.lexsort((keys, of))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    own, *of_context = np.split(place, [len(w) + k * len(u) for k in range(4)])
+    return keys[order], of[order], [own[of_w], *[x[of_u] for x in of_context[:3]], of_context[3][of_pair]]
+
+
+def pair_differences(model: PairModel, told: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """The difference of each word, by the numbers that its keys have."""
+    own, totals, freed, shared, pairs = (told[p].astype(np.float64) for p in places)
+    both, p = totals.sum(axis=1), []
+    for c in (0, 1):
+        word = np.where(own.any(axis=1), own[:, c], model.unknown[c])
+        backoff = np.where(both > 0, np.maximum(pairs.sum(axis=1) - model.discounts[2], 0) / np.maximum(both, 1) + shared[:, 0] * word, word)
+        p.append(np.where(totals[:, c] > 0, np.maximum(pairs[:, c] - model.discounts[c], 0) / np.maximum(totals[:, c], 1) + freed[:, c] * backoff, backoff))
+    return np.log1p(EXPRESSIVE * (p[1] / p[0] - 1))
+
+
+def _judged(docs: DataFrame, model: Model | PairModel, text: str, schema: T.StructType, finish, chunk: int = CHUNK) -> DataFrame:
     """finish(columns, difference of each row) of docs, of which `text` is the column of texts; chunk by chunk."""
     at, parts, unknown = docs.columns.index(text), model.parts, model.unknown
+    paired = isinstance(model, PairModel)
+    chunk = chunk // 4 if paired else chunk
+    numbers = replace(model, table=None)  # what tasks get of it
     n = shuffle_partitions(docs.sparkSession)
     arrow = pa.schema([("part", pa.int64()), ("chunk", pa.string()), ("later", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -257,7 +478,8 @@ def _judged(docs: DataFrame, model: Model, text: str, schema: T.StructType, fini
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches, at, chunk):
-            keys, of, _ = ordered(words(table.column(at).to_pylist())[0])
+            h, counts = words(table.column(at).to_pylist())
+            keys, of, _ = _asked(numbers, h, counts) if paired else ordered(h)
             name, cuts = chunk_of(table), [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a < b:
@@ -267,8 +489,26 @@ def _judged(docs: DataFrame, model: Model, text: str, schema: T.StructType, fini
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, values = None, None, None
+        held: list[tuple] = []
         for batch in batches:
             for part, name, later, a, b in zip(*[c.to_pylist() for c in batch.columns]):
+                if paired and not later:
+                    held = [*(held if now == part else []), (_keys_of(a), _numbers_of(b))]
+                    now, keys = part, None
+                    continue
+                if paired:
+                    asked = _keys_of(a)
+                    if now == part and keys is None:
+                        keys, values = (np.concatenate(x) for x in zip(*held))
+                        order = np.argsort(keys)
+                        keys, values, held = keys[order], values[order], []
+                    found = np.zeros((len(asked), 2), np.float32)
+                    if now == part:
+                        near = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                        has = keys[near] == asked
+                        found[has] = values[near[has]]
+                    yield row(part, name, 0, _packed_numbers(found), None)
+                    continue
                 if not later:
                     now, keys, values = part, np.frombuffer(a, np.uint64), np.frombuffer(b, np.float32)
                     continue
@@ -294,17 +534,18 @@ def _judged(docs: DataFrame, model: Model, text: str, schema: T.StructType, fini
                 if name != now:
                     now, told = name, {}
                 if not later:
-                    told[part] = read(a, np.uint8).reshape(4, -1).T.copy().view(np.float32).ravel()
+                    told[part] = _numbers_of(a) if paired else read(a, np.uint8).reshape(4, -1).T.copy().view(np.float32).ravel()
                     continue
                 table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(a)).read_all()
                 h, counts = words(table.column(at).to_pylist())
-                keys, _, place = ordered(h)
-                d = np.concatenate([np.zeros(0, np.float32), *[told[p] for p in sorted(told)]]).astype(np.float64)
+                keys, _, place = _asked(numbers, h, counts) if paired else ordered(h)
+                d = np.concatenate([np.zeros((0, 2) if paired else 0, np.float32), *[told[p] for p in sorted(told)]]).astype(np.float64)
                 if len(d) != len(keys):
                     raise ValueError("docs gave other rows when read again; write them as a table first")
                 means, some = np.zeros(len(counts)), counts > 0
                 if some.any():
-                    means[some] = np.add.reduceat(d[place], (np.cumsum(counts) - counts)[some]) / counts[some]
+                    each = pair_differences(numbers, d, place) if paired else d[place]
+                    means[some] = np.add.reduceat(each, (np.cumsum(counts) - counts)[some]) / counts[some]
                 yield from finish(table, means).to_batches(max_chunksize=256)
 
     numbered = model.table.select(F.col("part"), F.lit("").alias("chunk"), F.lit(0).alias("later"), F.col("keys").alias("a"), F.col("values").alias("b"))
@@ -328,15 +569,16 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """The model of all labelled rows for which `learn` holds, but for the bounded sample that fits the curve."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, order: int = 1) -> Model | PairModel:
+    """The model of all labelled rows for which `learn` holds, but for the bounded sample that fits the curve: of words (order 1), or of words behind the word
+    before them (order 2)."""
     known = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("label"))
     back = F.pmod(F.xxhash64("__id"), F.lit(KEPT_BACK)) == 0
     texts = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("content"))
     asked = written(known.where(back).join(texts.select("__id"), "__id", "left_semi").orderBy(F.xxhash64(F.lit("curve"), "__id"), "__id").limit(sample), "curve")
     known = written(known.join(F.broadcast(asked.select("__id")), "__id", "left_anti"), "labels")
     # both sides by id, at any size: labels grow with the documents
-    model = count(texts.join(known.hint("merge"), "__id").select("label", "content"))
+    model = (count_pairs if order > 1 else count)(texts.join(known.hint("merge"), "__id").select("label", "content"))
     if not model.usable:
         n = known.unionByName(asked).agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
         share = min(1 - 1e-6, max(1e-6, n.share)) if n.n else 0.5
@@ -356,7 +598,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxi
     return model
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score", chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, model: Model | PairModel, *, text: str = "text", into: str = "score", chunk: int = CHUNK) -> DataFrame:
     """Adds the probability of being toxic (a column of that name is replaced)."""
     slope, shift = model.slope, model.shift
     docs = docs.drop(into) if into != text else docs

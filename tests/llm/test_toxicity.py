@@ -142,3 +142,66 @@ def test_all_rows_but_the_curve_s_are_counted(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "count", lambda counted: seen.append(counted.count()) or toxicity.Model(None))
     toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True), sample=5)
     assert seen == [195]
+
+
+def test_pairs_have_kneser_ney_s_chances_that_sum_to_one(spark):
+    """By the formula, in plain Python: a word behind the word before it, discounted, backing off to the number of different words before it."""
+    rows, _ = corpus(60)
+    found = [(int(i % 4 == 0), f"{text} only{i} ab cd ab cd", i) for i, text, *_ in rows]
+    n, follows = ({}, {}), ({}, {})
+    for label, text, _ in found:
+        ws = split(text)
+        for v, w in zip([None, *ws], ws):
+            n[label][v, w] = n[label].get((v, w), 0) + 1
+    before = [{} for _ in n]
+    for c in (0, 1):
+        for v, w in n[c]:
+            before[c][w] = before[c].get(w, 0) + 1
+    every = {w: before[0].get(w, 0) + before[1].get(w, 0) for w in {**before[0], **before[1]}}
+
+    def parts(counts):
+        once, twice = (sum(x == k for x in counts.values()) for k in (1, 2))
+        d, all_ = once / (once + 2 * twice), sum(counts.values())
+        return d, all_, d * len(counts) / all_
+
+    d, all_, free = parts(every)
+    shared = {w: (x - d) / all_ + free / (len(every) + 1) for w, x in every.items()} | {"": free / (len(every) + 1)}
+    own, lower = [parts(x)[0] for x in n], []
+    for c in (0, 1):
+        d, all_, free = parts(before[c])
+        lower.append({w: max(before[c].get(w, 0) - d, 0) / all_ + free * s for w, s in shared.items()})
+
+    both = {k: n[0].get(k, 0) + n[1].get(k, 0) for k in {**n[0], **n[1]}}
+    together = parts(both)[0]
+
+    def level(counts, d, v, w, backoff):
+        total = sum(x for (a, _), x in counts.items() if a == v)
+        return max(counts.get((v, w), 0) - d, 0) / total + d * sum(a == v for a, _ in counts) / total * backoff if total else backoff
+
+    def chance(c, v, w):
+        return level(n[c], own[c], v, w, level(both, together, v, w, lower[c][w]))
+
+    for c in (0, 1):
+        for v in (None, "ab", "only0", "only1"):
+            assert abs(sum(chance(c, v, w) for w in shared) - 1) < 1e-9
+    model = toxicity.count_pairs(spark.createDataFrame([x[:2] for x in found], "label int, content string"), parts=5, chunk=2000)
+    model.slope = 1.0
+    texts = [*[x[1] for x in found[:6]], "ab only1 cd", "never ab seen", "cd ab", "", "only3"]
+    done = toxicity.score(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), model, chunk=3000).collect()
+    for r in done:
+        ws = [w if w in shared else "" for w in split(r.text)]
+        each = [math.log(1 + toxicity.EXPRESSIVE * (chance(1, v, w) / chance(0, v, w) - 1)) for v, w in zip([None, *ws], ws)]
+        assert abs(math.log(r.score / (1 - r.score)) - (sum(each) / len(each) if each else 0)) < 1e-4
+    assert len(done) == len(texts)
+
+
+def test_order_tells_texts_of_equal_words_apart(spark):
+    """Toxic texts have the words of ordinary ones, in another order."""
+    rows, labels = corpus()
+    calm = [" ".join([w for w in text.split() if not w.startswith("zqx")][:20]) for _, text, *_ in rows]
+    docs = documents(spark, [(i, f"{c} " + ("you are the rat" if t else "the rat you are"), "en", "s", 1) for c, (i, _, t) in zip(calm, labels)])
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for order, least in ((1, 0.0), (2, 0.9)):
+        found = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, marks, F.col("doc_id") % 5 != 0, order=order)).collect()}
+        right = [(found[i] >= 0.5) == bool(t) for i, _, t in labels if i % 5 == 0]
+        assert least <= sum(right) / len(right) < (0.8 if order == 1 else 1.01)
