@@ -23,7 +23,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_crc() % 5 != 0, order=2)
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    scored = toxicity.score(docs.select("doc_id", "text"), model, columns=["doc_id"])
     return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -205,3 +205,39 @@ def test_order_tells_texts_of_equal_words_apart(spark):
         found = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, marks, F.col("doc_id") % 5 != 0, order=order)).collect()}
         right = [(found[i] >= 0.5) == bool(t) for i, _, t in labels if i % 5 == 0]
         assert least <= sum(right) / len(right) < (0.8 if order == 1 else 1.01)
+
+
+def test_pairs_leave_no_shuffle_files_and_rounds_lose_no_row(spark):
+    """Questions, answers and texts of all rows together are several times the table; they go with the step that needs them."""
+    import os
+    import time
+
+    def on_disk():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        paths = [files.apply(k).getPath() for k in range(files.size())]
+        return {p: os.path.getsize(p) for p in paths if "shuffle_" in p and os.path.exists(p)}
+
+    rows, labels = corpus(400)
+    docs, marks = documents(spark, [*rows, *ROWS]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    former = on_disk()
+    model = toxicity.fit(docs, marks, F.col("doc_id") % 5 != 0, order=2)
+    got = toxicity.score(docs, model).select("doc_id", "score").collect()
+    until = time.time() + 20
+    while (left := sum(n for p, n in on_disk().items() if p not in former)) > 100_000 and time.time() < until:
+        time.sleep(0.5)
+    assert left < 100_000 < sum(len(r[1]) for r in rows) / 2
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    got.sort(key=key)
+    assert len(got) == len(rows) + len(ROWS)
+    for rounds in (1, 3):
+        done = toxicity.score(docs, model, columns=["doc_id"], rounds=rounds)
+        again = sorted(done.collect(), key=key)
+        assert done.columns == ["doc_id", "score"] and [r.doc_id for r in again] == [r.doc_id for r in got]
+        assert all(abs(a.score - b.score) < 1e-12 for a, b in zip(again, got))
+
+
+def test_texts_without_a_label_stay_out_of_the_join(spark):
+    texts = spark.createDataFrame([(k, f"t{k}") for k in range(5000)] + [(None, "none")], "__id long, content string")
+    kept = {r["__id"] for r in toxicity._perhaps(texts, texts.where("__id % 5 = 0").select("__id")).collect()}
+    assert set(range(0, 5000, 5)) <= kept and len(kept) < 1600
+    assert toxicity._perhaps(texts, texts.where("__id < 0").select("__id")).count() == 0
