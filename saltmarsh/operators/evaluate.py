@@ -108,11 +108,14 @@ ROWS_A_BUCKET = 100_000
 
 
 def replayed(rows: DataFrame, order: str = "message_id", size: int = 12, seconds: int = 1) -> DataFrame:
-    """Single messages as conversations of `size` each, some seconds apart: conversation_id and ts replace what was there.
-    Which conversation a row is in hangs on a hash of its id, so that numbering it needs no global order."""
+    """Single messages as conversations of `size` each, but the last with what is left, some seconds apart: conversation_id and ts replace what was
+    there. Rows are numbered in buckets by a hash of their ids, each bucket from where those before it end, so that no global order is needed."""
     buckets = max(1, -(-rows.count() // ROWS_A_BUCKET))
-    place = F.row_number().over(W.partitionBy("__bucket").orderBy(F.xxhash64(order), order)) - 1
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets))).withColumn("__place", place)
-    name = F.concat_ws("-", F.lit("replay"), F.col("__bucket").cast("string"), F.floor(F.col("__place") / size).cast("string"))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__size"))  # a row for each bucket
+    begins = sizes.select("__bucket", (F.sum("__size").over(W.orderBy("__bucket")) - F.col("__size")).alias("__begin"))
+    place = F.col("__begin") + F.row_number().over(W.partitionBy("__bucket").orderBy(F.xxhash64(order), order)) - 1
+    rows = rows.join(F.broadcast(begins), "__bucket").withColumn("__place", place)
+    name = F.concat_ws("-", F.lit("replay"), F.floor(F.col("__place") / size).cast("string"))
     ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("__place") % size * seconds)
-    return rows.withColumns({"conversation_id": name, "ts": ts}).drop("__bucket", "__place")
+    return rows.withColumns({"conversation_id": name, "ts": ts}).drop("__bucket", "__begin", "__place")
