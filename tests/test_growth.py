@@ -24,3 +24,12 @@ def test_a_replay_has_one_short_conversation_at_most(spark, monkeypatch, n):
     assert sorted(map(len, by.values()), reverse=True) == [12] * (n // 12) + [n % 12] * (n % 12 > 0)
 
 
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [None, 5.0, 1.0, 1.0], None])
+def test_percentiles_are_exact_without_all_values_in_one_place(spark, values):
+    values = [float(v) for v in np.random.default_rng(3).integers(0, 400, 1500)] if values is None else values
+    df = evaluate.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v")
+    held = [v for v in values if v is not None]
+    wanted = [*np.percentile(held, [50, 95, 99]), max(held)] if held else [None] * 4
+    assert "percentile(" not in plan(df) and list(df.first()) == (pytest.approx(wanted, rel=1e-12) if held else wanted)
+
+
