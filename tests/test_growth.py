@@ -24,6 +24,19 @@ def test_a_replay_has_one_short_conversation_at_most(spark, monkeypatch, n):
     assert sorted(map(len, by.values()), reverse=True) == [12] * (n // 12) + [n % 12] * (n % 12 > 0)
 
 
+def test_what_makes_the_rows_of_stats_is_done_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(k):
+        made.add(1)
+        return "allow" if k % 3 else "block"
+
+    rows = spark.range(60).select(told("id").alias("verdict"), F.lit("tier3.risk").alias("resolved_by"), F.col("id").cast("double").alias("latency_ms"), F.lit(0.0).alias("cost_usd"))
+    got = {(r["kind"], r["name"]): r for r in evaluate.stats(rows).collect()}
+    assert made.value == 60 and got["verdict", "block"].n == 20 and got["all", None].p50 == 29.5
+
+
 @pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [None, 5.0, 1.0, 1.0], None])
 def test_percentiles_are_exact_without_all_values_in_one_place(spark, values):
     values = [float(v) for v in np.random.default_rng(3).integers(0, 400, 1500)] if values is None else values
