@@ -46,3 +46,12 @@ def test_percentiles_are_exact_without_all_values_in_one_place(spark, values):
     assert "percentile(" not in plan(df) and list(df.first()) == (pytest.approx(wanted, rel=1e-12) if held else wanted)
 
 
+def test_fragments_are_folded_stretch_by_stretch_in_one_pass(spark):
+    """A number half in one conversation or stretch and half in the next isn't one; a missing conversation id is one as well."""
+    rows = [(c, f"{c}-{k}", "guest", 1_700_000_000 + t, [d]) for c in (1, 2, None) for k, (t, d) in enumerate([(0, "98765"), (60, "43210"), (9000, "98765"), (18000, "43210")])]
+    df = spark.createDataFrame(rows, "conversation_id long, message_id string, sender_role string, t long, fragments array<string>").withColumn("ts", F.timestamp_seconds("t"))
+    done = session.merged_numbers(df)
+    assert "MapInArrow" in plan(done) and "FlatMapGroups" not in plan(done)
+    assert {tuple(r) for r in done.collect()} == {(f"{c}-1", "9876543210") for c in (1, 2, None)}
+
+
