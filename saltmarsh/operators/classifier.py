@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,17 +63,35 @@ def dense(df: DataFrame, detections: str = "detections") -> Column:
     return F.array(*[values[n].cast("double") for n in DENSE])
 
 
+def _padded(text: str) -> Column:
+    return F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
+
+
+def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text, idx and value of the trigrams of padded texts by hash, each text's of unit length; by text and idx. idx counts from the dense features on."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    begins = np.flatnonzero(row[:-2] == row[2:]) if len(row) > 2 else np.zeros(0, np.int64)
+    h = np.full(len(begins), 0x811C9DC5, dtype=np.uint64)
+    for k in range(3):
+        h = ((h ^ codes[begins + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    both, n = np.unique(row[begins] * HASHED + (h % np.uint64(HASHED)).astype(np.int64), return_counts=True)
+    row, n = both // HASHED, n.astype(np.float64)
+    norm = np.sqrt(np.bincount(row, n * n, minlength=len(texts)))
+    return row, both % HASHED + len(DENSE), n / norm[row]
+
+
 def hashed_trigrams(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, idx, value): a text's trigrams by hash, of unit length. idx counts from the dense features on. Rows are dealt by key once; all
-    counting stays where they are."""
-    padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
-    grams = F.when(F.length(padded) >= 3, F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
-    # counting distinct trigrams first hashes each of them once for a row
-    dealt = df.select(key, text).repartition(key)
-    counts = exploded(dealt, grams, "gram", kept=[key]).groupBy(key, "gram").count()
-    cells = counts.groupBy(key, (fnv1a(F.col("gram")) % HASHED + len(DENSE)).cast("int").alias("idx")).agg(F.sum("count").cast("double").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)))
-    return cells.select(key, "idx", (F.col("n") / norm).alias("value"))
+    """(key, idx, value): a text's trigrams as cells() has them. Each row is counted where it is, by Arrow batches; counted as rows, they are some thirty times as many."""
+
+    @F.arrow_udf("array<struct<idx:int,value:double>>")
+    def made(padded: pa.Array) -> pa.Array:
+        row, idx, value = cells(padded.to_pylist())
+        parts = pa.StructArray.from_arrays([pa.array(idx, pa.int32()), pa.array(value, pa.float64())], ["idx", "value"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(padded) + 1)), pa.int32()), parts)
+
+    return exploded(df, made(_padded(text)), "cell", kept=[key]).select(key, "cell.idx", "cell.value")
 
 
 def features(df: DataFrame, key: str, detections: str = "detections") -> DataFrame:
@@ -127,7 +147,28 @@ def train(rows: DataFrame, key: str, label: str, *, iterations: int = 60, l2: fl
     return Classifier(spark.createDataFrame(kept, "idx int, w double"), float(model.intercept))
 
 
+def probability(df: DataFrame, model: Classifier, where: Column, detections: str = "detections") -> Column:
+    """The model's probability for rows as dense() takes them, null but for those asked for. A row's features are weighed where it is: neither
+    they nor the rows are dealt out. The weights, 16,413 at most, go along with the function."""
+    weights = np.zeros(len(DENSE) + HASHED)
+    for r in model.weights.collect():
+        weights[r.idx] += r.w
+    bias = float(model.bias)
+
+    @F.arrow_udf("double")
+    def weighed(named: pa.Array, padded: pa.Array) -> pa.Array:
+        asked = np.flatnonzero(named.is_valid().to_numpy(zero_copy_only=False))
+        out = np.full(len(named), np.nan)
+        if len(asked):
+            row, idx, value = cells(padded.take(pa.array(asked)).to_pylist())
+            own = named.take(pa.array(asked)).flatten().to_numpy(zero_copy_only=False).reshape(len(asked), len(DENSE))
+            out[asked] = np.nan_to_num(own) @ weights[: len(DENSE)] + np.bincount(row, value * weights[idx], minlength=len(asked)) + bias
+        return pa.array(out, mask=~np.isin(np.arange(len(named)), asked))
+
+    return sigmoid(weighed(F.when(where, dense(df, detections)), F.when(where, _padded("folded"))))
+
+
 def probabilities(cells: DataFrame, weights: DataFrame, bias: float, key: str) -> DataFrame:
-    """(key, probability): the weights, 16,413 rows at most, are broadcast to the sparse features."""
+    """(key, probability) of features as rows: the weights, 16,413 rows at most, are broadcast to them."""
     z = cells.join(F.broadcast(weights), "idx", "left").groupBy(key).agg((F.coalesce(F.sum(F.col("value") * F.col("w")), F.lit(0.0)) + bias).alias("z"))
     return z.select(key, sigmoid(F.col("z")).alias("probability"))

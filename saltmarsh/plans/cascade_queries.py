@@ -176,9 +176,9 @@ def c1_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def c4_c5_probabilities(spark: SparkSession, folder: str) -> DataFrame:
-    """The classifier's probability of those texts: a join of their features, trigrams included, with its weights."""
-    m = model(spark)
-    p = classifier.probabilities(classifier.features(undecided(spark, folder), "message_id"), m.weights, m.bias, "message_id")
+    """The classifier's probability of those texts: their features, trigrams included, by its weights."""
+    rows = undecided(spark, folder)
+    p = rows.withColumn("probability", classifier.probability(rows, model(spark), F.lit(True)))
     return p.select("message_id", rounded("probability").alias("probability"), score.decided(F.round("probability", 9)).alias("decision"))
 
 

@@ -46,6 +46,37 @@ def test_percentiles_are_exact_without_all_values_in_one_place(spark, values):
     assert "percentile(" not in plan(df) and list(df.first()) == (pytest.approx(wanted, rel=1e-12) if held else wanted)
 
 
+def test_features_are_weighed_where_their_row_is(spark):
+    texts = ["call me on 98765 please", "you stupid clown", "", "ünïcode \U0001f600 text"]
+    df = spark.createDataFrame([(k, t, "pre_booking", "host") for k, t in enumerate(texts)], "message_id long, text string, booking_stage string, sender_role string")
+    df = written(moderate.slim(moderate.analysed(df), df), "analysed")
+    size = len(classifier.DENSE) + classifier.HASHED
+    model = classifier.Classifier(spark.createDataFrame([(k, ((k * 37) % 11 - 5) / 7) for k in range(0, size, 3)], "idx int, w double"), 0.1)
+    done = df.withColumn("p", classifier.probability(df, model, F.col("message_id") != 1))
+    assert "Exchange" not in plan(done) and "Join" not in plan(done)
+    got = {r.message_id: r.p for r in done.collect()}
+    wanted = {r.message_id: r.probability for r in classifier.probabilities(classifier.features(df, "message_id"), model.weights, model.bias, "message_id").collect()}
+    assert got.pop(1) is None and got == {k: pytest.approx(wanted[k], rel=1e-9) for k in got}
+
+
+def test_trigrams_are_counted_by_code_points(spark):
+    text = "aab\U0001f600aab"
+    got = {r.idx: r.value for r in classifier.hashed_trigrams(spark.createDataFrame([(1, text)], "k int, text string"), "k").collect()}
+
+    def fnv(gram):
+        h = 0x811C9DC5
+        for c in gram:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        return h % classifier.HASHED + len(classifier.DENSE)
+
+    cells = {}
+    for k in range(len(text)):
+        at = fnv(f" {text} "[k : k + 3])
+        cells[at] = cells.get(at, 0) + 1
+    norm = sum(n * n for n in cells.values()) ** 0.5
+    assert got == {k: pytest.approx(n / norm) for k, n in cells.items()}
+
+
 def test_fragments_are_folded_stretch_by_stretch_in_one_pass(spark):
     """A number half in one conversation or stretch and half in the next isn't one; a missing conversation id is one as well."""
     rows = [(c, f"{c}-{k}", "guest", 1_700_000_000 + t, [d]) for c in (1, 2, None) for k, (t, d) in enumerate([(0, "98765"), (60, "43210"), (9000, "98765"), (18000, "43210")])]
