@@ -86,3 +86,16 @@ def test_fragments_are_folded_stretch_by_stretch_in_one_pass(spark):
     assert {tuple(r) for r in done.collect()} == {(f"{c}-1", "9876543210") for c in (1, 2, None)}
 
 
+def test_messages_that_nothing_is_asked_about_do_not_meet_under_one_key(spark):
+    df = spark.createDataFrame([(k, "hello there", "pre_booking", "guest") for k in range(40)], "message_id long, text string, booking_stage string, sender_role string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = moderate.moderated(df, tiers=moderate.Tiers(transport=lambda p: "no"), ascii_only=True)
+        assert len({r[0] for r in done.select(F.spark_partition_id()).collect()}) > 1 and done.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
