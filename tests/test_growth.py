@@ -14,6 +14,15 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_messages_are_spread_by_their_number(spark, monkeypatch, tmp_path):
+    """One row group in a file that is read in many parts lies in one of them."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(messages, "ROWS_A_TASK", 50)
+    df = messages.spread(spark.read.parquet(str(tmp_path / "t")))
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 60 and sum(sizes) == 1000
+
+
 @pytest.mark.parametrize("n", [10, 24, 115])
 def test_a_replay_has_one_short_conversation_at_most(spark, monkeypatch, n):
     monkeypatch.setattr(evaluate, "ROWS_A_BUCKET", 10)
@@ -99,3 +108,16 @@ def test_messages_that_nothing_is_asked_about_do_not_meet_under_one_key(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_places_of_hits_in_texts_with_the_marks_themselves(spark):
+    text = f"a{spans.MARK}b call {spans.AFTER}me call"
+    df = spark.createDataFrame([(text,), ("call call",), (None,)], "t string")
+    got = df.select(spans.located(F.col("t"), "call").alias("a"), spans.terms_in(F.col("t"), ["call", "b call"]).alias("b")).collect()
+    for r, t in zip(got, [text, "call call"]):
+        assert all(t[h.start : h.end] == h.match for h in [*r.a, *r.b]) and len(r.a) == 2
+    assert [h.match for h in got[0].b] == ["b call", "call"]
+
+
+def test_terms_that_begin_alike_share_their_beginning(spark):
+    """No place of a text is held against each of the terms."""
+    pattern = spans.alternation(detectors.INTENT_TERMS)
+    assert pattern.count("whatsapp") < sum("whatsapp" in t for t in detectors.INTENT_TERMS) and pattern.startswith("(?:(?=[")
